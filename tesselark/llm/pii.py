@@ -27,7 +27,6 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns. The look-behinds only spare hopeless starts within a run of digits.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -90,7 +89,7 @@ MAX_TOKENS = 15
 #: An added span must beat the best reading without it by this much (log score).
 MARGIN = 2.0
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+_TOKEN = re.compile(r"[^\W_]+|[^\s]")
 #: Where an entity may be: seven digits near together, an at sign or a word for it, or a chain of hex groups and colons.
 _HOT = re.compile(r"[0-9](?:[^0-9\n]{0,2}[0-9]){6}|@|[\[({] ?at ?[\])}]|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]", re.IGNORECASE | re.ASCII)
 _AT = re.compile(r"@|[\[({] ?at ?[\])}]", re.IGNORECASE)
@@ -156,7 +155,7 @@ def _segments(text: str, lo: int, hi: int, barred: list[tuple[int, int]]) -> tup
             tb, te = tokens[j]
             if bad[j] or j > i and (tb - tokens[j - 1][1] > 1 or text[tokens[j - 1][1] : tb] == "\n"):
                 break
-            digits += (te - tb) * text[tb].isdigit()
+            digits += sum(map(str.isdigit, text[tb:te]))
             if not text[te - 1].isalnum() or j == i and digits < 7:
                 continue
             s = text[b:te]
