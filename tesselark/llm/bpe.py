@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-#: Words kept by a worker; a size of the cache only: words beyond it are merged again when they come again.
-KEEP_WORDS = 150_000
+#: Words kept by a worker, in each of two generations; a size of the cache only: a word that was
+#: dropped is merged again when it comes again.
+KEEP_WORDS = 250_000
+#: Pairs of tokens whose rank is kept.
+KEEP_PAIRS = 1_000_000
+#: Words that are merged together: their positions stay in the processor's cache.
+TOGETHER = 1000
 #: Longer words are merged, but not kept.
 KEEP_CHARS = 64
 
@@ -41,117 +46,139 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
+        # All tokens' bytes in a row, for decoding.
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, r in ranks.items():
+            self.sizes[r] = len(t)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), np.uint8)
         self.find = regex.compile(pattern).findall
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
         self.known: dict[str, bytes] = {}
-
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. Within a word the lowest rank goes first, the leftmost of equals: so says the pattern of BPE."""
-        ranks, tokens = self.ranks, self.tokens
-        out: list[list[int] | None] = [[r] if (r := ranks.get(w)) is not None else [] if not w else None for w in words]
-        todo = [i for i, ids in enumerate(out) if ids is None]
-        ids: list[int] = []
-        nexts: list[int] = []
-        begins = []
-        for i in todo:
-            begins.append(len(ids))
-            n = len(ids) + len(words[i])
-            ids += [self.byte_ids[b] for b in words[i]]
-            nexts += range(begins[-1] + 1, n + 1)
-            nexts[-1] = -1  # the end of a word
-        prevs = [-1] * len(ids)
-        for p, q in enumerate(nexts):
-            if q >= 0:
-                prevs[q] = p
-        index: dict[int, list[int]] = {}
-        pair = [-1] * len(ids)  # rank of the pair that begins at a position
-        memo: dict[tuple[int, int], int] = {}
-
-        def rank(p: int) -> int:
-            key = (ids[p], ids[nexts[p]])
-            r = memo.get(key)
-            if r is None:
-                r = memo[key] = ranks.get(tokens[key[0]] + tokens[key[1]], -1)
-            return r
-
-        for p, q in enumerate(nexts):
-            if q >= 0 and (r := rank(p)) >= 0:
-                pair[p] = r
-                index.setdefault(r, []).append(p)
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, int] = {}
+        # Ranks of the pairs of bytes.
+        self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
+
+    def _rank(self, key: int) -> int:
+        if len(self.pairs) > KEEP_PAIRS:
+            self.pairs.clear()
+        r = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        return r
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers. Within a word the lowest rank goes first, the leftmost of equals: so says the definition of BPE."""
+        ranks = self.ranks
+        out = [ranks.get(w, -1).to_bytes(4, "little", signed=True) if w else w for w in words]
+        todo = [i for i, w in enumerate(out) if w == b"\xff\xff\xff\xff"]
+        if not todo:
+            return out
+        # All bytes in one row; a word's last position is followed by -1, its first one preceded by -1.
+        flat = np.frombuffer(b"".join([words[i] for i in todo]), np.uint8)
+        n = len(flat)
+        ends = np.cumsum([len(words[i]) for i in todo])
+        begins = np.r_[0, ends[:-1]]
+        follow, before_ = np.arange(1, n + 1), np.arange(-1, n - 1)
+        follow[ends - 1] = before_[begins] = -1
+        ids, nexts, prevs = self.byte_ids[flat].tolist(), follow.tolist(), before_.tolist()
+        ranked = np.full(n, -1)
+        ranked[:-1] = self.first[flat[:-1].astype(np.int64) << 8 | flat[1:]]
+        ranked[ends - 1] = -1
+        pair = ranked.tolist()
+        # The inverted index: from the rank of a pair to the positions where it begins.
+        at = np.flatnonzero(ranked >= 0)
+        at = at[np.argsort(ranked[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(ranked[at], prepend=-1)).tolist()
+        places = at.tolist()
+        index = {pair[places[b]]: places[b:e] for b, e in zip(cuts, [*cuts[1:], len(places)])}
         heap = list(index)
         heapq.heapify(heap)
+        pop, push, known, rank = heapq.heappop, heapq.heappush, self.pairs, self._rank
         while heap:
-            r = heapq.heappop(heap)
+            r = pop(heap)
             places = index.pop(r, None)
             if places is None:
                 continue
-            places.sort()
+            if len(places) > 1:
+                places.sort()
             for k, p in enumerate(places):
                 if pair[p] != r:
                     continue  # merged away meanwhile
                 q = nexts[p]
-                ids[p], pair[q] = r, -1
+                ids[p], ids[q], pair[q] = r, -1, -1
                 nexts[p] = after = nexts[q]
                 least = r
-                pair[p] = -1
                 if after >= 0:
                     prevs[after] = p
-                    if (x := rank(p)) >= 0:
-                        pair[p] = x
-                        if (at := index.get(x)) is None:
-                            index[x] = [p]
-                            heapq.heappush(heap, x)
+                    key = r << 32 | ids[after]
+                    pair[p] = x = known[key] if key in known else rank(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(p)
                         else:
-                            at.append(p)
-                        least = min(least, x)
-                if (before := prevs[p]) >= 0:
-                    pair[before] = x = rank(before)
+                            index[x] = [p]
+                            push(heap, x)
+                        if x < least:
+                            least = x
+                else:
+                    pair[p] = -1
+                before = prevs[p]
+                if before >= 0:
+                    key = ids[before] << 32 | r
+                    pair[before] = x = known[key] if key in known else rank(key)
                     if x >= 0:
-                        if (at := index.get(x)) is None:
-                            index[x] = [before]
-                            heapq.heappush(heap, x)
+                        if x in index:
+                            index[x].append(before)
                         else:
-                            at.append(before)
-                        least = min(least, x)
+                            index[x] = [before]
+                            push(heap, x)
+                        if x < least:
+                            least = x
                 if least < r and k + 1 < len(places):  # that pair goes first
-                    if (at := index.get(r)) is None:
-                        heapq.heappush(heap, r)
-                        index[r] = places[k + 1 :]
+                    if r in index:
+                        index[r] += places[k + 1 :]
                     else:
-                        at += places[k + 1 :]
+                        index[r] = places[k + 1 :]
+                        push(heap, r)
                     break
-        for i, p in zip(todo, begins):
-            row = []
-            while p >= 0:
-                row.append(ids[p])
-                p = nexts[p]
-            out[i] = row
+        row = np.array(ids, np.int64)
+        stay = np.concatenate([[0], np.cumsum(row >= 0)])
+        row = row[row >= 0].astype("<u4").tobytes()
+        for i, b, e in zip(todo, (4 * stay[begins]).tolist(), (4 * stay[ends]).tolist()):
+            out[i] = row[b:e]
         return out
 
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.find(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
-        if len(self.known) + len(new) > KEEP_WORDS:
-            self.known = {}
-            new = list({w for words in cut for w in words})
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            for w, ids in zip(part, self.merge([w.encode("utf-8", "replace") for w in part])):
-                self.known[w] = np.array(ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        if len(self.known) > KEEP_WORDS:  # words not used since the last time go
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in set().union(*cut):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        for begin in range(0, len(new), TOGETHER):
+            part = new[begin : begin + TOGETHER]
+            known.update(zip(part, self.merge([w.encode("utf-8", "replace") for w in part])))
+        get = known.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
-        if len(self.known) > KEEP_WORDS:
-            self.known = {}
-        else:
-            for w in new:
-                if len(w) > KEEP_CHARS:
-                    del self.known[w]
+        for w in new:
+            if len(w) > KEEP_CHARS:
+                del known[w]
         return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that encoded ids stand for."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        which = np.frombuffer(ids, "<u4")
+        size = self.sizes[which]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return b""
+        return self.blob[np.repeat(self.begins[which] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
 _replays: dict[tuple[str, str], Replay] = {}
