@@ -30,13 +30,15 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 #: Words whose hashes a worker keeps.
 KEEP_WORDS = 200_000
-#: Buckets are at least so many that the packed hashes of one stay near this size, and BUCKETS_A_TASK for each shuffle partition.
+#: Buckets are so many that the packed hashes of one stay near this size, BUCKETS_A_TASK for each shuffle partition, and LEAST_BUCKETS at least.
 BUCKET_BYTES = 128 << 20
-BUCKETS_A_TASK = 4
-#: Bytes of a block's hash that travel with a probe (equal ones are only candidates), and of a window's hash.
+BUCKETS_A_TASK, LEAST_BUCKETS = 1, 64
+#: Bytes of a block's hash that travel with a probe (equal ones are only candidates), and of a window's two hashes.
 BLOCK_BYTES, WINDOW_BYTES = 6, 10
+#: Of many rows, a table keeps those with the least keys whenever so many parts have come.
+PARTS = 64
 #: Texts are packed in slices of this many bytes.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 12 << 20
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _known: dict[bytes, int] = {}
@@ -72,55 +74,58 @@ def rolling(h: np.ndarray, size: int, factor: np.uint64 = _P1) -> np.ndarray:
         return _mix(out)
 
 
-def block_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every rolling block: 32 bits for its bucket, and the rest of its hash."""
-    x = rolling(h, BLOCK)
-    return (x >> np.uint64(32)).astype(np.int64), x & np.uint64((1 << 8 * BLOCK_BYTES) - 1)
+def block_hashes(h: np.ndarray) -> np.ndarray:
+    """Of every rolling block; what doesn't travel is cut off. The upper bits choose the bucket."""
+    return rolling(h, BLOCK)
 
 
 def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every window: 32 bits for its bucket, and WINDOW_BYTES bytes of two independent hashes."""
-    x, y = rolling(h, WINDOW), rolling(h, WINDOW, _P2)
-    raw = np.concatenate([x.view(np.uint8).reshape(-1, 8), y.view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES - 8]], axis=1)
-    return (x >> np.uint64(32)).astype(np.int64), np.frombuffer(raw.tobytes(), f"S{WINDOW_BYTES}")
+    """Of every window: 64 bits, and 16 bits of an independent hash."""
+    return rolling(h, WINDOW), (rolling(h, WINDOW, _P2) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _pack(h: np.ndarray) -> bytes:
-    if h.dtype.kind == "S":
-        return h.tobytes()
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BLOCK_BYTES].tobytes()
+def _pack(x: np.ndarray, y: np.ndarray | None) -> bytes:
+    size = BLOCK_BYTES if y is None else WINDOW_BYTES
+    raw = np.empty((len(x), size), np.uint8)
+    if y is None:
+        raw[:] = x.view(np.uint8).reshape(-1, 8)[:, :BLOCK_BYTES]
+    else:
+        raw[:, :8] = x.view(np.uint8).reshape(-1, 8)
+        raw[:, 8:] = y.view(np.uint8).reshape(-1, 2)
+    return raw.tobytes()
 
 
-def _unpack(b: bytes, size: int) -> np.ndarray:
-    if size > 8:
-        return np.frombuffer(b, f"S{size}")
-    out = np.zeros((len(b) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
-    return out.view("<u8").ravel()
+def _unpack(b: bytes, size: int) -> tuple[np.ndarray, np.ndarray | None]:
+    raw = np.frombuffer(b, np.uint8).reshape(-1, size)
+    x = np.zeros((len(raw), 8), np.uint8)
+    x[:, : min(8, size)] = raw[:, :8]
+    return x.view(np.uint64).ravel(), raw[:, 8:].copy().view(np.uint16).ravel() if size > 8 else None
 
 
 #: kind 0: the index, the least key of each hash; kind 1: probes. keys, counts: the documents in order of the hashes.
 _PACKED = "bucket long, kind int, keys array<long>, counts array<int>, hashes binary"
 
 
-def _packed(doc: np.ndarray, top: np.ndarray, h: np.ndarray, kind: int, keys: np.ndarray, bits: int) -> list[tuple]:
-    """Packed rows, one for each bucket, of hashes that belong to documents (indexes into keys)."""
-    bucket = top >> (32 - bits)
-    order = np.lexsort((doc, h, bucket)) if kind == 0 else np.lexsort((h, doc, bucket))
-    doc, h, bucket = doc[order], h[order], bucket[order]
-    fresh = np.ones(len(h), bool)
-    # The index keeps the least key of a hash (keys ascend); a hash that repeats within its document probes once.
-    fresh[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1]) if kind == 0 else (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
-    doc, h, bucket = doc[fresh], h[fresh], bucket[fresh]
-    if kind == 0:
-        order = np.lexsort((doc, bucket))
-        doc, h, bucket = doc[order], h[order], bucket[order]
+def _packed(doc: np.ndarray, x: np.ndarray, y: np.ndarray | None, kind: int, keys: np.ndarray, bits: int) -> list[tuple]:
+    """Packed rows, one for each bucket, of hashes that belong to documents (ascending indexes into ascending keys)."""
+    bucket = (x >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+    if kind == 0:  # of equal hashes, that of the least key
+        order = np.argsort(x, kind="stable")
+        sx = x[order]
+        new = np.ones(len(x), bool)
+        new[1:] = sx[1:] != sx[:-1]
+        if y is not None:
+            new[1:] |= y[order][1:] != y[order][:-1]
+        at = np.sort(order[new])
+        doc, x, y, bucket = doc[at], x[at], None if y is None else y[at], bucket[at]
+    order = np.argsort(bucket, kind="stable")
+    doc, x, y, bucket = doc[order], x[order], None if y is None else y[order], bucket[order]
     out = []
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else []
-    for b, e in zip(cuts, [*cuts[1:], len(h)]):
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(x) else []
+    for b, e in zip(cuts, [*cuts[1:], len(x)]):
         part = doc[b:e]
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        out.append((int(bucket[b]), kind, keys[part[first]], np.diff(np.r_[first, len(part)]).astype(np.int32), _pack(h[b:e])))
+        out.append((int(bucket[b]), kind, keys[part[first]], np.diff(np.r_[first, len(part)]).astype(np.int32), _pack(x[b:e], None if y is None else y[b:e])))
     return out
 
 
@@ -130,30 +135,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["bucket", "kind", "keys", "counts", "hashes"])
 
 
-class _Gather:
-    """Collects the hashes of documents and gives them as packed rows."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits = bits
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys: list[int] = []
-        self.parts: list[tuple] = []
-
-    def add(self, key: int, top: np.ndarray, h: np.ndarray, index: np.ndarray) -> None:
-        self.parts.append((np.full(len(h), len(self.keys), np.int32), top, h, index))
-        self.keys.append(key)
-
-    def rows(self) -> pa.RecordBatch:
-        doc, top, h, index = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(np.array(self.keys, np.int64), kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        keys, doc = np.array(self.keys, np.int64)[order], place[doc]
-        out = _batch(_packed(doc[index], top[index], h[index], 0, keys, self.bits) + _packed(doc, top, h, 1, keys, self.bits))
-        self.clear()
-        return out
+def _rows(got: list[tuple], bits: int) -> pa.RecordBatch:
+    """Packed rows of documents (key, x, y or None, which of them are indexed)."""
+    got.sort(key=lambda g: g[0])
+    keys = np.array([g[0] for g in got], np.int64)
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[1]) for g in got])
+    x = np.concatenate([g[1] for g in got])
+    y = None if got[0][2] is None else np.concatenate([g[2] for g in got])
+    index = slice(None) if got[0][3] is None else np.concatenate([g[3] for g in got])
+    got.clear()
+    return _batch(_packed(doc[index], x[index], None if y is None else y[index], 0, keys, bits) + _packed(doc, x, y, 1, keys, bits))
 
 
 def _blocks(bits: int):
@@ -161,48 +152,69 @@ def _blocks(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, PACK_BYTES):
-            got = _Gather(bits)
+            got = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = text.as_py().split() if key is not None and text.is_valid else ()
                 if len(words) >= WINDOW:
-                    top, h = block_hashes(word_hashes(words))
-                    got.add(key, top, h, np.arange(len(h)) % BLOCK == 0)
-            if got.keys:
-                yield got.rows()
+                    x = block_hashes(word_hashes(words))
+                    got.append((key, x, None, np.arange(len(x)) % BLOCK == 0))
+            if got:
+                yield _rows(got, bits)
 
     return run
 
 
 def _windows(bits: int):
     """Texts with their live blocks to packed windows: those that hold a live block, as index and as probes."""
+    low = np.uint64((1 << 8 * BLOCK_BYTES) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, PACK_BYTES):
-            got = _Gather(bits)
+            got = []
             for key, text, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = text.as_py().split() if text.is_valid else ()
                 if len(words) < WINDOW:
                     continue
-                wh = word_hashes(words)
-                live = np.isin(block_hashes(wh)[1], np.concatenate([_unpack(b, BLOCK_BYTES) for b in hits.as_py()]))
+                h = word_hashes(words)
+                live = np.isin(block_hashes(h) & low, _unpack(b"".join(hits.as_py()), BLOCK_BYTES)[0])
                 total = np.r_[0, np.cumsum(live)]
                 near = total[WINDOW - BLOCK + 1 :] > total[: -(WINDOW - BLOCK + 1)]  # any of the blocks within a window
                 if near.any():
-                    top, h = window_hashes(wh)
-                    got.add(key, top[near], h[near], np.ones(int(near.sum()), bool))
-            if got.keys:
-                yield got.rows()
+                    x, y = window_hashes(h)
+                    got.append((key, x[near], y[near], None))
+            if got:
+                yield _rows(got, bits)
 
     return run
 
 
-def _least(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, with the least key of each."""
-    h, k = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((k, h))
-    h, k = h[order], k[order]
-    first = np.r_[True, h[1:] != h[:-1]]
-    return h[first], k[first]
+def _least(parts: list[tuple]) -> tuple:
+    """Distinct hashes (x, y) in order, with the least key of each."""
+    x, k = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
+    y = None if parts[0][1] is None else np.concatenate([p[1] for p in parts])
+    order = np.lexsort((k, x) if y is None else (k, y, x))
+    x, y, k = x[order], None if y is None else y[order], k[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    if y is not None:
+        new[1:] |= y[1:] != y[:-1]
+    return x[new], None if y is None else y[new], k[new]
+
+
+def _place(table: tuple, x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes are in a table of them, and whether they are."""
+    tx, ty, _ = table
+    at = np.minimum(np.searchsorted(tx, x), len(tx) - 1)
+    same = tx[at] == x
+    if y is None:
+        return at, same
+    hit = same & (ty[at] == y)
+    for i in np.flatnonzero(same & ~hit):  # two windows that agree in 64 bits
+        j = at[i] + 1
+        while j < len(tx) and tx[j] == x[i] and not hit[i]:
+            at[i], hit[i] = j, ty[j] == y[i]
+            j += 1
+    return at, hit
 
 
 def _probe(size: int, owners: bool):
@@ -212,9 +224,10 @@ def _probe(size: int, owners: bool):
     ``owners``, the document of that least key gets the hashes that others have hit as well.
     """
 
-    def by_key(keys: np.ndarray, h: np.ndarray, out: list) -> None:
-        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-        out += [(int(keys[s]), _pack(h[s:e])) for s, e in zip(cut, [*cut[1:], len(keys)])]
+    def by_key(keys: np.ndarray, x: np.ndarray, y: np.ndarray | None, out: list) -> None:
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+        raw = _pack(x, y)
+        out += [(k, raw[size * s : size * e]) for k, s, e in zip(keys[cut].tolist(), cut, [*cut[1:], len(keys)])]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, table, live = None, [], None, None
@@ -222,9 +235,9 @@ def _probe(size: int, owners: bool):
 
         def close() -> None:
             if owners and table is not None and live.any():
-                th, tk = table[0][live], table[1][live]
+                tx, tk = table[0][live], table[2][live]
                 order = np.argsort(tk, kind="stable")
-                by_key(tk[order], th[order], out)
+                by_key(tk[order], tx[order], None, out)
 
         def made() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([h for _, h in out], pa.binary())], names=["key", "hits"])
@@ -237,11 +250,11 @@ def _probe(size: int, owners: bool):
                 if b.as_py() != bucket:
                     close()
                     bucket, parts, table, live = b.as_py(), [], None, None
-                h = _unpack(packed.as_py(), size)
+                x, y = _unpack(packed.as_py(), size)
                 k = np.repeat(keys.values.to_numpy(), counts.values.to_numpy())
                 if kind.as_py() == 0:
-                    parts.append((h, k))
-                    if len(parts) >= 64:
+                    parts.append((x, y, k))
+                    if len(parts) >= PARTS:
                         parts = [_least(parts)]
                     continue
                 if not parts:
@@ -249,10 +262,10 @@ def _probe(size: int, owners: bool):
                 if table is None:
                     table = _least(parts)
                     live = np.zeros(len(table[0]), bool)
-                at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-                hit = (table[0][at] == h) & (table[1][at] < k)
+                at, hit = _place(table, x, y)
+                hit &= table[2][at] < k
                 live[at[hit]] = True
-                by_key(k[hit], h[hit], out)
+                by_key(k[hit], x[hit], None if y is None else y[hit], out)
                 if len(out) > 20_000:
                     yield made()
         close()
@@ -270,11 +283,12 @@ def _covered(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = words
         found = hits.as_py() if hits.is_valid else []
         if found and len(words) >= WINDOW:
-            _, h = window_hashes(word_hashes(words))
-            gone = np.isin(h, np.concatenate([_unpack(b, WINDOW_BYTES) for b in found]))
+            x = rolling(word_hashes(words), WINDOW)
+            # The windows found are the document's own, so 64 bits tell them apart.
+            gone = np.isin(x, _unpack(b"".join(found), WINDOW_BYTES)[0])
             edge = np.zeros(len(words) + 1, np.int64)
-            edge[: len(h)] += gone
-            edge[WINDOW : WINDOW + len(h)] -= gone
+            edge[: len(x)] += gone
+            edge[WINDOW : WINDOW + len(x)] -= gone
             keep = [w for w, c in zip(words, np.cumsum(edge).tolist()) if not c]
         rows.append((len(words), len(words) - len(keep), b" ".join(keep)))
     n, gone, kept = zip(*rows)
@@ -293,7 +307,7 @@ def _mark(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(32, max(1, math.ceil(math.log2(max(2, size * 1.3 / BUCKET_BYTES, BUCKETS_A_TASK * tasks)))))
+    bits = min(32, max(1, math.ceil(math.log2(max(2, size * 1.3 / BUCKET_BYTES, BUCKETS_A_TASK * tasks, LEAST_BUCKETS)))))
 
     def met(packed: DataFrame, size: int, owners: bool) -> DataFrame:
         dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "kind")
