@@ -25,9 +25,9 @@ from .common import map_text
 
 #: Words kept by a worker, in each of two generations; a size of the cache only: a word that was
 #: dropped is merged again when it comes again.
-KEEP_WORDS = 250_000
+KEEP_WORDS = 120_000
 #: Pairs of tokens whose rank is kept.
-KEEP_PAIRS = 1_000_000
+KEEP_PAIRS = 300_000
 #: Words that are merged together: their positions stay in the processor's cache.
 TOGETHER = 1000
 #: Longer words are merged, but not kept.

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows are worked on in slices of at most so many bytes of text, whatever the size of Arrow's batches.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, column):
             yield fn(piece)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 

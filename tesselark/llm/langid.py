@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_text
+from .common import map_text, slices
 
 ORDER = 4
 #: The classifier is fitted on at most so many labelled documents of a language (whole texts, chosen by a hash of the key) ...
@@ -30,8 +31,10 @@ CALIBRATE_DOCS = 300
 MAX_LANGS = 256
 #: A text is rejected when its standardised excess entropy is over SLACK times this quantile of the calibration texts.
 REJECT_QUANTILE, SLACK = 0.999, 2.0
+#: A text's entropy varies with its length up to so many signs; beyond, texts differ more than by chance.
+CHANCE_SIGNS = 1000
 #: Words whose scores a worker keeps; others are scored again.
-KEEP_WORDS = 150_000
+KEEP_WORDS = 100_000
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 _START, _END = 1, 2
@@ -131,6 +134,10 @@ class Model:
             self.known, self.scores = {}, None
         return h, n
 
+    def forget(self) -> None:
+        """Drops the scores kept for words."""
+        self.known, self.scores = {}, None
+
     def confidence(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         z = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None] / self.temperature
         e = np.exp(z)
@@ -142,7 +149,7 @@ class Model:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         h, n = self.entropies(texts)
         best, sure = h.argmin(axis=1), self.confidence(h, n)
-        odd = (h.min(axis=1) - self.mean) * np.sqrt(n) > self.cut
+        odd = (h.min(axis=1) - self.mean) * np.sqrt(np.minimum(n, CHANCE_SIGNS)) > self.cut
         return (
             [self.langs[b] if k else "und" for b, k in zip(best, n)],
             [float(s) if k else 0.0 for s, k in zip(sure, n)],
@@ -250,7 +257,7 @@ def calibrate(model: Model, seen: list) -> Model:
     model.temperature = float(min(losses, key=lambda t: (losses[t], t)))
     least = h.min(axis=1)
     model.mean = float((least * n).sum() / n.sum())
-    model.cut = float(max(5.0, SLACK * np.quantile((least - model.mean) * np.sqrt(n), REJECT_QUANTILE)))
+    model.cut = float(max(5.0, SLACK * np.quantile((least - model.mean) * np.sqrt(np.minimum(n, CHANCE_SIGNS)), REJECT_QUANTILE)))
     return model
 
 
@@ -266,12 +273,15 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", lang_pred string, score double, rejected boolean"
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the fitted sample
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score, odd = shared.value.predict(batch.column(at).to_pylist())
-        cols = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(odd, pa.bool_())]
-        return pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            lang, score, odd = shared.value.predict(batch.column(at).to_pylist())
+            cols = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(odd, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
+        shared.value.forget()
+        pa.default_memory_pool().release_unused()
 
-    return map_text(df, run, schema, at)
+    return df.mapInArrow(run, schema)
 
 
 def predictions(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
