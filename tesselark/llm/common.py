@@ -33,11 +33,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
         yield batch.slice(begin)
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 1) -> DataFrame:
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
     """Applies ``fn`` to slices of the rows; no shuffle, memory bounded by a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column):
+        for piece in slices(batches, column, limit):
             yield fn(piece)
         pa.default_memory_pool().release_unused()  # the worker lives on
 
