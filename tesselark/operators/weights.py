@@ -84,3 +84,48 @@ def tiles(bins: DataFrame, side: int = 8) -> DataFrame:
     t = bins.select("gx", "gy", F.floor((F.col("gx") - 1) / side).cast("int").alias("tx"), F.floor((F.col("gy") - 1) / side).cast("int").alias("ty"))
     ids = t.select("tx", "ty").distinct().withColumn("tile", F.dense_rank().over(Window.orderBy("ty", "tx")))
     return t.join(F.broadcast(ids), ["tx", "ty"]).select("gx", "gy", "tile")
+
+
+def hex_like(centres: DataFrame) -> DataFrame:
+    """One row (hex, horizontal, vertical, ratio) on the directions and distances of adjacent bins (gx, gy, cx, cy).
+
+    Hexagonal: at least 0.4 of the directions near 60 or 120 degrees, below 0.8 level and upright ones, and
+    diagonal neighbours about as far (within 0.2) as those along the axes.
+    """
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 1), (1, 0), (1, 1), (1, -1))])).alias("s")
+    one = centres.select("gx", "gy", "cx", "cy", steps).select((F.col("gx") + F.col("s.dx")).alias("hx"), (F.col("gy") + F.col("s.dy")).alias("hy"), "cx", "cy", (F.abs("s.dx") + F.abs("s.dy")).alias("k"), F.col("s.dy").alias("dy"))
+    two = centres.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    e = one.join(two, ["hx", "hy"]).select("k", "dy", (F.col("ox") - F.col("cx")).alias("x"), (F.col("oy") - F.col("cy")).alias("y"))
+    e = e.withColumn("t", F.abs(F.degrees(F.atan2("y", "x")))).withColumn("far", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    share = lambda c: F.avg(c.cast("double"))
+    found = e.agg(
+        share(F.least("t", 180 - F.col("t")) <= 10).alias("horizontal"), share(F.abs(F.col("t") - 90) <= 10).alias("vertical"),
+        share((F.abs(F.col("t") - 60) <= 10) | (F.abs(F.col("t") - 120) <= 10)).alias("slanted"),
+        (F.percentile(F.when((F.col("k") == 2) & (F.col("dy") == 1), F.col("far")), 0.5) / F.nullif(F.percentile(F.when(F.col("k") == 1, F.col("far")), 0.5), F.lit(0.0))).alias("ratio"),
+    )
+    is_hex = (F.col("slanted") >= 0.4) & (F.greatest("horizontal", "vertical") < 0.8) & (F.abs(F.col("ratio") - 1) <= 0.2)
+    return found.select(F.coalesce(is_hex, F.lit(False)).alias("hex"), "horizontal", "vertical", "ratio")
+
+
+def hex_parity(centres: DataFrame, by: str = "r") -> DataFrame:
+    """One row (kind): which rows (r) or columns (q) are shifted by half a cell: odd or even ones, for ``neighbours``; odd if it can't be told."""
+    line, along = ("gy", "cx") if by == "r" else ("gx", "cy")
+    gap = centres.select(F.abs(F.col(along) - F.lag(along).over(Window.partitionBy(line).orderBy(along))).alias("g")).agg((F.percentile("g", 0.5) / 2).alias("half"))
+    start = centres.groupBy(line).agg(F.min(along).alias("at"))
+    low = start.agg(F.min("at").alias("low"))
+    ratio = start.crossJoin(F.broadcast(low)).crossJoin(F.broadcast(gap)).select(F.col(line).alias("line"), ((F.col("at") - F.col("low")) / F.nullif("half", F.lit(0.0))).alias("q"))
+    flag = ratio.select("line", F.when(F.abs(F.col("q") - F.rint("q")) <= 0.35, F.pmod(F.rint("q"), F.lit(2.0))).alias("f"))
+    means = flag.agg(F.avg(F.when(F.col("line") % 2 == 1, F.col("f"))).alias("odd"), F.avg(F.when(F.col("line") % 2 == 0, F.col("f"))).alias("even"))
+    odd = F.col("odd").isNull() & F.col("even").isNull() | F.col("odd").isNotNull() & (F.col("even").isNull() | (F.col("odd") >= 0.5)) | ~F.coalesce(F.col("even") >= 0.5, F.lit(False)) & F.coalesce(F.col("odd") > 0.25, F.lit(False))
+    return means.select(F.when(odd, f"odd{by}").otherwise(f"even{by}").alias("kind"))
+
+
+def topology(centres: DataFrame, kind: str | None = None, platform: str | None = None) -> str:
+    """The kind of neighbourhood: the one asked for, else the platform's, else what the centres look like."""
+    if kind:
+        return kind
+    if platform in ("xenium", "cosmx"):
+        return "queen"
+    if platform == "visium" or hex_like(centres).first().hex:
+        return hex_parity(centres).first().kind
+    return "queen"
