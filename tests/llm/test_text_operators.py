@@ -438,6 +438,17 @@ def test_images_find_edited_and_cropped_copies(spark):
     assert images.image_copies(df.limit(0)).count() == 0
 
 
+def test_descriptors_meet_at_every_distance_up_to_the_most():
+    r = np.random.default_rng(6)
+    at = np.arange(40, dtype=np.int64) * 13 << 20 | np.arange(40) * 7
+    d = r.integers(-(1 << 63), 1 << 63, (40, 2))
+    for n, want in ((4, 40), (images.MOST_BITS, 40), (images.MOST_BITS + 1, 0)):
+        flips = np.zeros((40, 128), np.uint8)
+        for row in flips:
+            row[np.concatenate([r.choice(32, n // 4 + (k < n % 4), replace=False) + 32 * k for k in range(4)])] = 1
+        assert images._votes((at, d), (at, d ^ np.packbits(flips, axis=1).view("<i8"))) == want
+
+
 def test_netpbm_round_trip():
     a = np.arange(600).reshape(20, 30) % 256
     assert (images.read_netpbm(images.write_pgm(a)) == a).all()
