@@ -438,6 +438,20 @@ def test_images_find_edited_and_cropped_copies(spark):
     assert images.image_copies(df.limit(0)).count() == 0
 
 
+def test_links_pass_by_lower_images_that_share_passages(spark):
+    r = np.random.default_rng(7)
+    kind = "image long, points array<struct<at:bigint,lo:bigint,hi:bigint>>"
+    copy = r.integers(-(1 << 63), 1 << 63, (60, 2)).tolist()
+    put = lambda d: [((13 * i << 20) | 7 * i, *map(int, x)) for i, x in enumerate(d)]
+    rows = [(100, put(copy)), (101, put(copy)), (102, put(copy))]
+    for k in range(14):  # each shares 4 descriptors with the copies and has 56 of its own
+        own = r.integers(-(1 << 63), 1 << 63, (56, 2)).tolist()
+        rows.append((k, put(own + copy[4 * k : 4 * k + 4])))
+    rows.append((20, put(r.integers(-(1 << 63), 1 << 63, (90, 2)).tolist() + copy[::-1])))  # all of them, in other places
+    got = {(x.a, x.b): x.votes for x in images.matches(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(101, 100): 60, (102, 100): 60, (102, 101): 60}
+
+
 def test_descriptors_meet_at_every_distance_up_to_the_most():
     r = np.random.default_rng(6)
     at = np.arange(40, dtype=np.int64) * 13 << 20 | np.arange(40) * 7
