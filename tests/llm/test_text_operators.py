@@ -452,6 +452,20 @@ def test_links_pass_by_lower_images_that_share_passages(spark):
     assert got == {(101, 100): 60, (102, 100): 60, (102, 101): 60}
 
 
+@pytest.mark.parametrize("n", [100, 300, 1700])
+def test_edited_copies_of_short_pages_are_linked(n):
+    r = random.Random(8)
+    page = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))[:n]
+    a, other = page(), page()
+    k = a.index(" ", n // 2)
+    pages = [a, f"{a[:k]}, edited,{a[k + 10:]}", other]
+    owner, place, d = images.describe([images.read_netpbm(images.drawn(t)) for t in pages])
+    ends = np.searchsorted(owner, range(4))
+    one, edited, unlike = ((place[b:e], d[b:e].view("<i8")) for b, e in zip(ends, ends[1:]))
+    linked = lambda x: images._votes(one, x) >= max(images.LEAST_VOTES, images.LEAST_SHARE * min(len(one[0]), len(x[0])))
+    assert linked(edited) and not linked(unlike)
+
+
 def test_descriptors_meet_at_every_distance_up_to_the_most():
     r = np.random.default_rng(6)
     at = np.arange(40, dtype=np.int64) * 13 << 20 | np.arange(40) * 7
