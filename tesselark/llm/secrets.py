@@ -32,9 +32,10 @@ ADDED_KINDS = ("identifier", "secret", "endpoint")
 #: Parts further apart than this (code points between them) are not linked.
 REACH = 200
 
-_IDENTIFIER = re.compile(r"""\b(?:access_?key_?id|client_?id|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,128})""", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])(?:https?|ftps?|s3|jdbc:[a-z]{1,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,2048}")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,64}(?![A-Za-z0-9+/_=-])")
+# Parts are whole runs of their signs, however long; each pattern looks at a sign a bounded number of times.
+_IDENTIFIER = re.compile(r"""\b(?:access_?key_?id|client_?id|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""", re.IGNORECASE | re.ASCII)
+_ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])(?:https?|ftps?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 

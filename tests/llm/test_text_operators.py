@@ -188,6 +188,20 @@ def test_weak_parts_need_one_another():
     assert secrets.mask(None) is None and secrets.mask("plain") == "plain"
 
 
+def test_weak_parts_are_whole_runs():
+    r = random.Random(9)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop0123456789+/") for _ in range(86)) + "=="
+    spans = lambda t: [(k, t[b:e]) for b, e, k in secrets.scan(t)[1]]
+    t = f"AccountKey={key} account_id: shop-4711 https://blob.example.com/v1"
+    assert spans(t) == [("secret", f"AccountKey={key}"), ("identifier", "shop-4711"), ("endpoint", "https://blob.example.com/v1")]
+    late = "abcdefghijklmnopqrst" * 4 + "7"  # its only digit is far in
+    assert spans(f"client_id: shop-4711 {late}")[1] == ("secret", late)
+    user, url = "u1." * 100, "https://example.com/" + "a.b/" * 1000
+    assert secrets.mask(f"user: {user} {url} end") == "user: [SECRET] [SECRET] end"
+    for t in ("a1" * 200_000, "user=" * 80_000, "s3://" * 80_000, "jdbc:" * 80_000, "=" * 400_000, "jdbc:" + "a" * 400_000):
+        secrets.scan(t)  # in time that grows with the length
+
+
 @pytest.mark.parametrize("op, brute", [("op3_pii", pii_brute), ("op7_secrets", secret_brute)])
 def test_scans_over_the_table(spark, sf_dir, op, brute):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
