@@ -27,6 +27,10 @@ ORDER = 4
 FIT_DOCS = 1000
 #: ... and its confidence and rejection are set on at most so many others.
 CALIBRATE_DOCS = 300
+#: Of every 13 documents of a language, in order of their hashes, these calibrate, at every size of the table.
+CALIBRATING = (4, 8, 12)
+#: A language with fewer calibration texts takes the cut of all languages' texts.
+OWN_CUT = 20
 #: At most so many languages (the most frequent) are learned.
 MAX_LANGS = 256
 #: A text is rejected when its standardised excess entropy is over SLACK times this quantile of the calibration texts.
@@ -79,8 +83,9 @@ class Model:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     base: np.ndarray
     temperature: float = 1.0
-    mean: float = 0.0
-    cut: float = float("inf")
+    #: By language: the calibration texts' mean entropy, and the standardised excess over it from which a text is rejected.
+    mean: np.ndarray | float = 0.0
+    cut: np.ndarray | float = float("inf")
     known: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
 
@@ -149,7 +154,8 @@ class Model:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         h, n = self.entropies(texts)
         best, sure = h.argmin(axis=1), self.confidence(h, n)
-        odd = (h.min(axis=1) - self.mean) * np.sqrt(np.minimum(n, CHANCE_SIGNS)) > self.cut
+        mean, cut = (np.broadcast_to(v, len(self.langs))[best] for v in (self.mean, self.cut))
+        odd = (h.min(axis=1) - mean) * np.sqrt(np.minimum(n, CHANCE_SIGNS)) > cut
         return (
             [self.langs[b] if k else "und" for b, k in zip(best, n)],
             [float(s) if k else 0.0 for s, k in zip(sure, n)],
@@ -220,7 +226,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     chosen = rows.select("key", "lang", h.alias("h")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIT_DOCS + CALIBRATE_DOCS)
     # At most MAX_LANGS * (FIT_DOCS + CALIBRATE_DOCS) keys; repeated rows of a key take part once each.
     chosen = chosen.where(F.col("lang").isin(top)).groupBy("key", "lang").agg(F.min("rank").alias("rank"))
-    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).select((F.col("rank") <= FIT_DOCS).alias("fit"), "text", "lang")
+    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).select((~(F.col("rank") % 13).isin(*CALIBRATING)).alias("fit"), "text", "lang")
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, Counter] = {}
@@ -247,7 +253,7 @@ def calibrate(model: Model, seen: list) -> Model:
     """Sets the confidence's temperature (least log loss) and the rejection's threshold from rows (lang, h, n)."""
     at = {g: i for i, g in enumerate(model.langs)}
     seen = [(at[g], h, n) for g, h, n in seen if g in at]
-    if len(seen) < 20:
+    if not seen:
         return model
     y, h, n = np.array([s[0] for s in seen]), np.array([s[1] for s in seen]), np.array([s[2] for s in seen])
     losses = {}
@@ -255,9 +261,17 @@ def calibrate(model: Model, seen: list) -> Model:
         z = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None] / t
         losses[t] = -(z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))).mean()
     model.temperature = float(min(losses, key=lambda t: (losses[t], t)))
-    least = h.min(axis=1)
-    model.mean = float((least * n).sum() / n.sum())
-    model.cut = float(max(5.0, SLACK * np.quantile((least - model.mean) * np.sqrt(np.minimum(n, CHANCE_SIGNS)), REJECT_QUANTILE)))
+    least, best = h.min(axis=1), h.argmin(axis=1)
+    mean = lambda of: (least[of] * n[of]).sum() / n[of].sum()
+    model.mean = np.full(len(model.langs), mean(np.full(len(n), True)))
+    for g in np.unique(best):
+        model.mean[g] = mean(best == g)
+    excess = (least - model.mean[best]) * np.sqrt(np.minimum(n, CHANCE_SIGNS))
+    cut = lambda of: max(5.0, SLACK * np.quantile(excess[of], REJECT_QUANTILE))
+    model.cut = np.full(len(model.langs), cut(np.full(len(n), True)))
+    for g, texts in zip(*np.unique(best, return_counts=True)):
+        if texts >= OWN_CUT:
+            model.cut[g] = cut(best == g)
     return model
 
 

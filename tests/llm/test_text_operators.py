@@ -406,6 +406,20 @@ def test_language(spark, sf_dir):
     assert sum(r.rejected for r in got) == 0
 
 
+@pytest.mark.parametrize("n", [60, 2400])
+def test_unlike_texts_are_rejected_at_every_size(spark, n):
+    r = random.Random(10)
+    word = lambda signs: "".join(r.choice(signs) for _ in range(r.randint(2, 8)))
+    texts = {g: [word(signs) for _ in range(300)] for g, signs in (("en", "abcdefgh"), ("de", "ijklmnop"))}
+    rows = [(i, " ".join(r.choices(texts[g], k=60)), g) for i in range(n) for g in [("en", "de")[i % 8 == 0]]]
+    odd = [(10**6 + i, " ".join(word("бгджзлпф") for _ in range(60)), None) for i in range(20)]
+    d = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert np.shape(model.cut) == np.shape(model.mean) == (2,) and np.isfinite(model.cut).all()
+    got = {x.doc_id: x.rejected for x in langid.identify(d, model).collect()}
+    assert all(got[i] for i, _, _ in odd) and not any(got[i] for i, _, _ in rows)
+
+
 def test_language_odd_rows(spark, sf_dir):
     base = [(100 + i, t, g, "s") for i, (t, g) in enumerate([("the cat and the dog went over there", "en"), ("der hund und die katze gehen dorthin", "de")] * 20)]
     d = docs(spark, base + [(1, None), (2, ""), (3, "123 !?"), (None, "the dog"), (4, "the dog", None, "s")])
@@ -472,7 +486,7 @@ def test_edited_copies_of_short_pages_are_linked(n):
     page = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))[:n]
     a, other = page(), page()
     k = a.index(" ", n // 2)
-    pages = [a, f"{a[:k]}, edited,{a[k + 10:]}", other]
+    pages = [a, f"{a[:k]}, edited,{a[k + 9:]}", other]
     owner, place, d = images.describe([images.read_netpbm(images.drawn(t)) for t in pages])
     ends = np.searchsorted(owner, range(4))
     one, edited, unlike = ((place[b:e], d[b:e].view("<i8")) for b, e in zip(ends, ends[1:]))
