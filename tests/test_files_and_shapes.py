@@ -55,6 +55,19 @@ def test_band_holds_the_fit_and_repeats(spark):
     assert ((wide.hi - wide.lo) >= 0.5 - 1e-9).all()
 
 
+def test_regressions_take_all_pairs(spark):
+    r = np.random.default_rng(3)
+    x = np.sort(r.uniform(-1, 1, 6000))
+    y = np.sin(3 * x) + r.normal(0, 0.1, 6000)
+    pairs = spark.createDataFrame([(f"g{i}", "h", float(u), float(v)) for i, (u, v) in enumerate(zip(x, y))], "a string, b string, r double, l double")
+    at = [-0.5, 0.0, 0.7]
+    want = R.Smoother(x, np.array(at))(y)
+    assert [t.fit for t in R.loess(pairs, at).collect()] == pytest.approx(want.tolist(), abs=1e-9)
+    assert R.loess_facts(pairs).first().n == 6000 and R.loess_facts(pairs, most=500).first().n == 500
+    band = R.loess_band(pairs, places=5, draws=20).toPandas()
+    assert band.fit.to_numpy() == pytest.approx(R.Smoother(x, band.r.to_numpy())(y), abs=1e-9) and (band.lo < band.hi).all()
+
+
 def edges(spark, rows):
     return spark.createDataFrame(rows, "a string, b string, weight double")
 
