@@ -23,6 +23,8 @@ SQL: dict[str, str] = {}
 FLAGSHIP = "association_pairs"
 FEATURES = ["Brand#11", "Brand#23", "Brand#4"]
 DRAWS = 8
+#: Draws of the permutation queries without SQL.
+ALL_DRAWS = 1000
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -246,6 +248,13 @@ def association_permuted(s, d):
     return A.permutation_counts(z, w, chosen, DRAWS).select("a", "b", "exceed", testing.smoothed_p(F.col("exceed"), DRAWS).alias("p"))
 
 
+@query()
+def association_permuted_all(s, d):
+    z, w = _z_w(s, d)
+    pairs = A.association(z, w).where("a < b")
+    return A.permutation_counts(z, w, pairs, ALL_DRAWS).select("a", "b", "exceed", testing.smoothed_p(F.col("exceed"), ALL_DRAWS).alias("p"))
+
+
 @query("SELECT feature, " + r6(slope_x="regr_slope(z, gx)", slope_y="regr_slope(z, gy)") + " FROM z GROUP BY feature")
 def feature_gradients(s, d):
     return A.gradients(V.z(s, d))
@@ -506,6 +515,11 @@ def module_null_scores(s, d):
     return B.module_null(V.modules(s, d), V.brands(s, d).select("feature"), V.interactions(s, d), DRAWS)
 
 
+@query()
+def module_null_scores_all(s, d):
+    return B.module_null(V.modules(s, d), V.brands(s, d).select("feature"), V.interactions(s, d), ALL_DRAWS)
+
+
 @query("WITH e AS (SELECT method, a, b, weight, round(1 - weight, 6) AS fdr FROM edges WHERE weight > 0) SELECT method, a, b, " + r6(weight="weight", fdr="fdr") + " FROM e WHERE fdr < 0.95 QUALIFY row_number() OVER (PARTITION BY method ORDER BY fdr, a, b) <= (SELECT min(c) FROM (SELECT count(*) AS c FROM e WHERE fdr < 0.95 GROUP BY method))")
 def common_pool(s, d):
     return B.common_pool(B.significant(_methods(s, d).withColumn("fdr", F.round(1 - F.col("weight"), 6)), 0.95))

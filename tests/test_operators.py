@@ -57,6 +57,12 @@ def test_distribution_functions(spark):
     assert r.p == pytest.approx(0.05, abs=1e-6) and r.q == pytest.approx(0.05, abs=1e-3) and r.f == pytest.approx(17 / 70)
 
 
+def test_permutations_take_all_pairs(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "ALL_DRAWS", 20)
+    got = catalog.QUERIES["association_permuted_all"](spark, sf_dir).toPandas()
+    assert len(got) == 300 and got.p.between(1 / 21 - 1e-6, 1).all() and (got.p < 1 / 9).any()
+
+
 def test_areas(spark):
     e = spark.createDataFrame([("m", "a", "b", 3.0, True), ("m", "a", "c", 2.0, False), ("m", "a", "d", 1.0, True)], "method string, a string, b string, weight double, label boolean")
     assert B.auroc(e).first().auroc == 0.5 and B.auprc(e).first().auprc == pytest.approx(5 / 6)
