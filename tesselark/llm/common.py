@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows are worked on in slices of at most so many bytes of text, whatever the size of Arrow's batches.
 SLICE_BYTES = 4 << 20
@@ -44,13 +44,52 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` but those that have one of these names, in any case (Spark doesn't tell cases apart)."""
+    low = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one under the warehouse is set only where the session names none."""
+    """This application's folder among those that all machines share; deleted when the driver ends.
+
+    It is in spark.checkpoint.dir. Only on a single machine, where that is unset, it is in the warehouse; elsewhere that is an error.
+    """
+    context = spark.sparkContext
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        here = given.get() if given.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return here.rstrip("/")
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            here = given.get()
+        elif context.master.startswith("local"):
+            here = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    path = f"{here.rstrip('/')}/tesselark-{context.applicationId}"
+    if getattr(context, "_tesselark_folder", None) != path:
+        where, files = _folder(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        context._tesselark_folder = path
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 _names = itertools.count()
@@ -60,18 +99,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, and survives the loss of an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}-{next(_names)}"
-    # The shuffles of this write are not read again; without the setting their files stay until the driver's garbage is collected.
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # The shuffles of a write are not read again: their files go when it ends, not when the driver's garbage is collected.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote; nothing may read it any more."""
+    where, files = _folder(df.sparkSession, df._stored_at)
+    files.delete(where, True)

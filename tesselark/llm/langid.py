@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Each language gets a model of the characters of its words (lower-cased runs of letters,
-with a start and an end sign). N-grams are 64-bit hashes in sorted arrays, one per
+Each language gets a model of the characters of its words (lower-cased runs of letters and
+their marks, with a start and an end sign). N-grams are 64-bit hashes in sorted arrays, one per
 order, with a column for each language, and are found by binary search. The language
 with the lowest cross-entropy per character is chosen; a text whose best entropy is far
 above what labelled texts of its length show is marked as rejected.
@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import map_text, slices
+from .common import col, discard, map_text, others, slices, stored
 
 ORDER = 4
 #: The classifier is fitted on at most so many labelled documents of a language (whole texts, chosen by a hash of the key) ...
@@ -31,8 +32,8 @@ CALIBRATE_DOCS = 300
 CALIBRATING = (4, 8, 12)
 #: A language with fewer calibration texts takes the cut of all languages' texts.
 OWN_CUT = 20
-#: At most so many languages (the most frequent) are learned.
-MAX_LANGS = 256
+#: The classifier has a column for each language; a table with more labels than this is refused.
+MAX_LANGS = 1024
 #: A text is rejected when its standardised excess entropy is over SLACK times this quantile of the calibration texts.
 REJECT_QUANTILE, SLACK = 0.999, 2.0
 #: A text's entropy varies with its length up to so many signs; beyond, texts differ more than by chance.
@@ -40,8 +41,17 @@ CHANCE_SIGNS = 1000
 #: Words whose scores a worker keeps; others are scored again.
 KEEP_WORDS = 100_000
 
-WORDS = re.compile(r"[^\W\d_]+").findall
-_START, _END = 1, 2
+# Up to U+024F, and among general punctuation and currency signs, there are no combining marks, and only these numbers that
+# are word characters but neither digits nor letters: superscripts and fractions.
+_PLAIN = re.compile(r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+").findall
+_BEYOND = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters with the marks that follow them."""
+    text = text.lower()
+    return _LETTERS(text) if _BEYOND(text) else _PLAIN(text)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -117,7 +127,7 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per sign of each text by language, and the number of signs (0: no letter)."""
-        cut = [WORDS(t.lower()) if t else [] for t in texts]
+        cut = [words_of(t) if t else [] for t in texts]
         if self.scores is None:
             self.scores = np.zeros((0, len(self.langs)), np.float32)
         new = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.known))
@@ -215,23 +225,39 @@ def held_out(key: Column) -> Column:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from the labelled rows that are not held out; rows with a null key, text or label teach nothing."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key")))
+    """A model from the labelled rows that are not held out; rows with a null key, text or label teach nothing.
+
+    A key's repeated rows of a language teach once, by the least of their texts. The table is read twice: keys and
+    labels to count the keys of each language, then the texts of the keys under a hash that leaves somewhat more of a
+    language than are wanted.
+    """
+    rows = df.select(col(key).alias("key"), col(text).alias("text"), col(lang).alias("lang"))
+    rows = rows.where("key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("key")))
     h = F.xxhash64("key")
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    if not top:
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages among the labels; the classifier has a column for each")
+    if not sizes:
         return fit({})
-    chosen = rows.select("key", "lang", h.alias("h")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIT_DOCS + CALIBRATE_DOCS)
-    # At most MAX_LANGS * (FIT_DOCS + CALIBRATE_DOCS) keys; repeated rows of a key take part once each.
-    chosen = chosen.where(F.col("lang").isin(top)).groupBy("key", "lang").agg(F.min("rank").alias("rank"))
-    sample = rows.join(F.broadcast(chosen), ["key", "lang"]).select((~(F.col("rank") % 13).isin(*CALIBRATING)).alias("fit"), "text", "lang")
+    wanted = FIT_DOCS + CALIBRATE_DOCS
+    share = lambda n: min(1.0, 1.25 * (wanted + 50) / n)
+    most = [(r.lang, min((1 << 63) - 1, int(share(r.n) * (1 << 64)) - (1 << 63))) for r in sizes]
+    below = F.broadcast(df.sparkSession.createDataFrame(most, "lang string, most long"))  # a row for each language
+    near = rows.join(below, "lang").where(h <= F.col("most")).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    near = stored(near.withColumn("h", h), "labelled")
+    # At most some 1.3 * (FIT_DOCS + CALIBRATE_DOCS) keys of a language; the texts stay where they are.
+    by_lang: dict[str, list] = {}
+    for r in near.select("lang", "h", "key").collect():
+        by_lang.setdefault(r.lang, []).append((r.h, r.key))
+    ranks = [(g, k, i % 13 not in CALIBRATING) for g, rows in by_lang.items() for i, (_, k) in enumerate(sorted(rows)[:wanted], 1)]
+    kind = df.schema[key].dataType.simpleString()
+    chosen = F.broadcast(df.sparkSession.createDataFrame(ranks, f"lang string, key {kind}, fit boolean"))
+    sample = near.join(chosen, ["lang", "key"]).select("fit", "text", "lang")
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, Counter] = {}
         for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            seen.setdefault(g, Counter()).update(WORDS((t or "").lower()))
+            seen.setdefault(g, Counter()).update(words_of(t))
         out = [(g, w, k) for g, c in seen.items() for w, k in c.items()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
@@ -239,6 +265,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counts: dict[str, Counter] = {g: Counter(dict(zip(part["word"], part["n"]))) for g, part in counted.groupby("lang")}
     model = fit(counts)
     if not model.langs:
+        discard(near)
         return model
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,6 +273,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return pa.RecordBatch.from_arrays([batch.column(2), pa.array(hs.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["lang", "h", "n"])
 
     seen = map_text(sample.where("NOT fit"), judged, "lang string, h array<double>, n long").where("n > 0").collect()
+    discard(near)
     return calibrate(model, seen)
 
 
@@ -276,15 +304,15 @@ def calibrate(model: Model, seen: list) -> Model:
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred, score, rejected`` to every row (columns of these names are replaced).
+    """Adds ``lang_pred, score, rejected`` to every row (columns of these names, in any case, are replaced).
 
     A text that is null or has no letter is ``und`` with score 0 and rejected; so is every text
     if nothing was learned. Ties go to the language that comes first. Repeated rows are judged alike.
     """
-    keep = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
-    df = df.select(*keep)
+    keep = others(df, "lang_pred", "score", "rejected")
+    df = df.select(*map(col, keep))
     at = keep.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", lang_pred string, score double, rejected boolean"
+    schema = StructType(df.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the fitted sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +329,6 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def predictions(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Key, held_out, lang_pred, score, rejected: learned from the rows that are not held out, given for all."""
     model = train(df, key, text, lang)
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(col(key).alias("doc_id"), col(text).alias("text"))
     out = identify(rows, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

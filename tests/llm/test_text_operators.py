@@ -374,7 +374,8 @@ def repeats_brute(rows):
             for k in range(len(w) - 12):
                 if first[tuple(w[k : k + 13])] < i:
                     gone |= set(range(k, k + 13))
-        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+        spans = ",".join(f"{k}:{next(e for e in range(k, len(w) + 1) if e not in gone)}" for k in sorted(gone) if k - 1 not in gone)
+        out.append((i, len(w), len(gone), spans, hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
