@@ -5,18 +5,19 @@ are summed by pattern (the only thing that leaves the cluster), and a flow route
 patterns' words to the sources' quotas. Words of a pattern may be taken up to
 ``MAX_REPEATS`` times; each repetition costs more than the one before, so that flow
 spreads before it repeats. Then whole documents are selected by a seeded hash so that
-each pattern's taken words come near its flow.
+each pattern's taken words come near its flow; a few exchanges bring them nearer.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD_RE
+from .common import WORD_RE, col, fresh, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -24,10 +25,12 @@ MAX_REPEATS = 3
 REPEAT_COST = (0, 1, 3)
 #: The flow is solved on one machine; more patterns than this are refused.
 MAX_PATTERNS = 20_000
-#: Buckets of the hash at each of two levels of the selection.
-BUCKETS = 1024
-#: Documents that fill what is left of a pattern's flow after the selection by hash, at most.
+#: Bits of the hash that each of two levels of the selection looks at.
+LEVEL_BITS = 10
+#: Documents of each power of two of sizes that may fill what is left of a pattern's flow after the selection by hash.
 FILLS = 4
+#: Exchanges of two documents that bring a pattern's words nearer to its flow, at most.
+EXCHANGES = 4
 
 
 def n_words(text: Column) -> Column:
@@ -60,80 +63,83 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int]) -> dict[tuple[tuple, str | None], int]:
     """Words that each pattern gives to each of its sources: a cheapest of the largest flows.
 
-    Successive shortest paths with potentials over start -> pattern (an arc for each repetition,
-    dearer each time) -> source -> end.
+    Arcs lead start -> pattern (one for each repetition, dearer each time) -> source -> end. All costs lie on the
+    first arcs, and a shortest path never comes back to the start, so the cost of a path is that of its first arc:
+    successive shortest paths take all paths of the cheapest repetition first, then of the next. Within one repetition
+    that is a largest flow, found by layers (breadth first, then blocking flows).
     """
     patterns, sources = sorted(supply, key=repr), sorted(quota, key=lambda s: (s is None, s or ""))
-    node = {("p", p): i + 1 for i, p in enumerate(patterns)} | {("s", s): len(patterns) + 1 + i for i, s in enumerate(sources)}
-    start, end = 0, len(patterns) + len(sources) + 1
-    to: list[int] = []
-    room: list[int] = []
-    cost: list[int] = []
-    arcs: list[list[int]] = [[] for _ in range(end + 1)]
-
-    def arc(a: int, b: int, capacity: int, price: int) -> int:
-        for u, v, c, w in ((a, b, capacity, price), (b, a, 0, -price)):
-            arcs[u].append(len(to))
-            to.append(v)
-            room.append(c)
-            cost.append(w)
-        return len(to) - 2
-
-    inner = {}
-    for p in patterns:
-        for price in REPEAT_COST:
-            arc(start, node["p", p], supply[p], price)
-        for s in p:
-            if s in quota:
-                inner[p, s] = arc(node["p", p], node["s", s], MAX_REPEATS * supply[p], 0)
-    for s in sources:
-        arc(node["s", s], end, quota[s], 0)
-    potential = [0] * (end + 1)
-    while True:
-        far: list[float] = [float("inf")] * (end + 1)
-        via = [-1] * (end + 1)
-        far[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u]:
-                continue
-            for a in arcs[u]:
-                if room[a] and (x := d + cost[a] + potential[u] - potential[to[a]]) < far[to[a]]:
-                    far[to[a]], via[to[a]] = x, a
-                    heapq.heappush(heap, (x, to[a]))
-        if far[end] == float("inf"):
-            return {k: room[a ^ 1] for k, a in inner.items() if room[a ^ 1]}
-        potential = [p + (int(f) if f < float("inf") else int(far[end])) for p, f in zip(potential, far)]
-        path = []
-        u = end
-        while u != start:
-            path.append(via[u])
-            u = to[via[u] ^ 1]
-        while path:  # the path found, then others of the same cost
-            push = min(room[a] for a in path)
-            for a in path:
-                room[a] -= push
-                room[a ^ 1] += push
-            path = _level_path(start, end, arcs, to, room, cost, potential)
-
-
-def _level_path(start: int, end: int, arcs: list, to: list, room: list, cost: list, potential: list) -> list[int]:
-    """Arcs with room and without reduced cost that lead from start to end, or none."""
-    via, todo = {start: -1}, [start]
-    while todo:
-        u = todo.pop()
-        for a in arcs[u]:
-            if room[a] and to[a] not in via and cost[a] + potential[u] == potential[to[a]]:
-                via[to[a]] = a
-                if to[a] == end:
-                    path = []
-                    while (a := via[end]) >= 0:
-                        path.append(a)
-                        end = to[a ^ 1]
-                    return path
-                todo.append(to[a])
-    return []
+    name = {s: i for i, s in enumerate(sources)}
+    gives = [[name[s] for s in p if s in name] for p in patterns]  # a pattern's sources
+    flow: list[dict[int, int]] = [dict.fromkeys(g, 0) for g in gives]
+    back: list[dict[int, None]] = [{} for _ in sources]  # patterns that give a source something
+    room = [quota[s] for s in sources]
+    for _ in sorted(REPEAT_COST):
+        left = [supply[p] for p in patterns]
+        # Words that can't reach a source with room now never can: layers that begin with them are not built again.
+        live = [i for i, n in enumerate(left) if n and gives[i]]
+        while live:
+            # Layers: patterns with words left, sources they may give to, patterns that may take back from those, and so on.
+            depth, seen = dict.fromkeys(live, 0), {}
+            layer, found, level = live, False, 0
+            while layer and not found:
+                level += 1
+                reached = [s for s in dict.fromkeys(s for i in layer for s in gives[i]) if s not in seen]
+                seen.update(dict.fromkeys(reached, level))
+                found = any(room[s] for s in reached)
+                level += 1
+                layer = [i for i in dict.fromkeys(i for s in reached for i in back[s]) if i not in depth]
+                depth.update(dict.fromkeys(layer, level))
+            if not found:
+                break
+            # Blocking flow: each arc is looked at once, a dead end never again.
+            turn_p = {i: iter(gives[i]) for i in depth}
+            turn_s = {s: iter(list(back[s])) for s in seen}
+            now_p: dict[int, int] = {}
+            now_s: dict[int, int] = {}
+            for i in live:
+                while left[i]:
+                    path, ends = [i], None  # patterns and sources by turns
+                    while path:
+                        u = path[-1]
+                        if len(path) % 2:  # a pattern: on to a source one layer further
+                            s = now_p[u] if u in now_p else next((s for s in turn_p[u] if seen.get(s) == depth[u] + 1), None)
+                            if s is None:
+                                path.pop()
+                                if path:
+                                    now_s.pop(path[-1], None)
+                                continue
+                            now_p[u] = s
+                            path.append(s)
+                            if room[s] and seen[s] == level - 1:
+                                ends = s
+                                break
+                        else:  # a source without room: on to a pattern that gives it something
+                            j = now_s[u] if u in now_s and flow[now_s[u]].get(u) else next((j for j in turn_s[u] if depth.get(j) == seen[u] + 1 and flow[j].get(u)), None)
+                            if j is None:
+                                path.pop()
+                                now_p.pop(path[-1], None)
+                                continue
+                            now_s[u] = j
+                            path.append(j)
+                    if ends is None:
+                        break
+                    push = min([left[i], room[ends]] + [flow[path[x + 1]][path[x]] for x in range(1, len(path) - 1, 2)])
+                    left[i] -= push
+                    room[ends] -= push
+                    for x in range(0, len(path), 2):
+                        u, s = path[x], path[x + 1]
+                        flow[u][s] += push
+                        back[s][u] = None
+                        if x:
+                            taken = path[x - 1]
+                            flow[u][taken] -= push
+                            if not flow[u][taken]:
+                                back[taken].pop(u, None)
+                    if not room[ends]:
+                        now_p.pop(path[-2], None)
+            live = [i for i in live if left[i]]
+    return {(p, sources[s]): n for p, f in zip(patterns, flow) for s, n in f.items() if n}
 
 
 @dataclass
@@ -145,8 +151,12 @@ class Plan:
     target: dict[str | None, float]
     flow: dict[tuple[tuple, str | None], int]
 
-    def taken(self, pattern: tuple) -> int:
-        return sum(v for (p, _), v in self.flow.items() if p == pattern)
+    def taken(self) -> dict[tuple, int]:
+        """Words to take of each pattern."""
+        out = dict.fromkeys(self.supply, 0)
+        for (p, _), n in self.flow.items():
+            out[p] += n
+        return out
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Plan:
@@ -170,83 +180,53 @@ def mix(df: DataFrame, sources: Column, key: str = "doc_id", text: str = "text",
     """One row per row of ``df``: key, size, source_size, target, copies, taken (= copies times size).
 
     ``sources`` is an array of a row's sources; null among them is a source of its own, and a null
-    or empty array is that source alone. Documents without words have size 0 and are taken once
+    or empty array is that source alone. Documents without words (null or empty texts too) have size 0 and are taken once
     (they cost nothing). source_size and target are of the first of a row's sources.
     Whole documents are taken, at most MAX_REPEATS times each; a pattern's taken words differ from its flow
     by less than the smallest document that is taken once less than others.
-    Reruns agree; repeated rows share their fate; an empty table gives an empty result.
+    Reruns agree; rows of one key share their fate (a null key is one key); an empty table gives an empty result. Other columns are not read.
     """
+    spark = df.sparkSession
     some = F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
-    docs = df.select(F.col(key).alias("key"), n_words(F.col(text)).alias("size"), some.alias("sources"))
-    docs = docs.withColumn("h", F.xxhash64(F.lit(seed), F.col("key")))
-    # Rows without their texts: small, and counted once for all passes.
-    docs = docs.persist()
+    docs = df.select(col(key).alias("key"), n_words(col(text)).alias("size"), some.alias("sources"))
+    # Hashes are compared as signed numbers.
+    docs = stored(docs.withColumn("h", F.xxhash64(F.lit(seed), F.col("key"))), "sizes")  # rows without their texts
     plan = plan_mix(docs, weights)
-    patterns = sorted(plan.supply, key=repr)
-    spark = df.sparkSession
-    base = {p: (plan.taken(p) // plan.supply[p] if plan.supply[p] else 1) for p in patterns}
-    rest = {p: (plan.taken(p) - base[p] * plan.supply[p] if plan.supply[p] else 0) for p in patterns}
+    patterns, goal = sorted(plan.supply, key=repr), plan.taken()
+    whole = {p: (goal[p] // plan.supply[p] if plan.supply[p] else 1) for p in patterns}
+    rest = {i: goal[p] - whole[p] * plan.supply[p] for i, p in enumerate(patterns) if plan.supply[p] and goal[p] > whole[p] * plan.supply[p]}
 
     def frame(rows: list, schema: str) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(rows, schema))  # at most MAX_PATTERNS rows
+        return F.broadcast(spark.createDataFrame(rows, schema))  # some rows for each of at most MAX_PATTERNS patterns
 
     pid = frame([(list(p), i) for i, p in enumerate(patterns)], "sources array<string>, p int")
     # An array with a null doesn't equal itself under =, so patterns are joined null-safely.
-    docs = docs.join(pid, docs.sources.eqNullSafe(pid.sources)).select("key", "size", "h", docs.sources, "p")
-    u1 = F.shiftrightunsigned("h", 54).cast("int")
-    u2 = (F.shiftrightunsigned("h", 44) % BUCKETS).cast("int")
-    need = frame([(i, rest[p]) for i, p in enumerate(patterns) if rest[p] > 0], "p int, rest long")
-    live = docs.where("size > 0").join(need, "p").select("key", "size", "h", "p")
-    # Two levels of buckets narrow the cut down to one bucket of some thousandth of a thousandth of a pattern.
-    cut1 = _crossing(live.withColumn("b", u1), {i: rest[p] for i, p in enumerate(patterns) if rest[p] > 0})
-    near1 = frame([(i, b) for i, (b, _) in cut1.items()], "p int, b1 int")
-    inside = live.withColumn("b1", u1).join(near1, ["p", "b1"])
-    cut2 = _crossing(inside.withColumn("b", u2), {i: left for i, (_, left) in cut1.items()})
-    near2 = frame([(i, b) for i, (b, _) in cut2.items()], "p int, b2 int")
-    last = inside.withColumn("b2", u2).join(near2, ["p", "b2"])
-    edge: dict[int, list] = {}
-    # The documents of the last bucket, summed by hash: a millionth of a pattern.
-    for r in last.groupBy("p", "h").agg(F.sum("size").alias("size")).toLocalIterator():
-        edge.setdefault(r.p, []).append((r.h & (1 << 64) - 1, r.size))
-    bound, left = {}, {}
-    for i, p in enumerate(patterns):
-        if rest[p] <= 0:
-            continue
-        if i not in cut2:  # the whole pattern fits
-            bound[i], left[i] = 1 << 64, 0
-            continue
-        low = cut1[i][0] << 54 | cut2[i][0] << 44
-        room = cut2[i][1]
-        bound[i] = low
-        for h, n in sorted(edge.get(i, [])):
-            if n > room:
-                break
-            room -= n
-            bound[i] = h + 1
-        left[i] = room
-    # Hashes are compared as unsigned numbers: as signed ones with the top bit turned.
-    flip = lambda x: x - (1 << 63)
-    turned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    limits = frame([(i, base[p], flip(bound.get(i, 0) - 1) if bound.get(i, 0) else None) for i, p in enumerate(patterns)], "p int, base long, upto long")
-    chosen = docs.join(limits, "p").withColumn("more", F.coalesce((turned <= F.col("upto")) & (F.col("size") > 0), F.lit(False)))
-    extra: list[tuple[int, int]] = []
-    for step in range(FILLS + 1):  # the largest documents that still fit; at last the smallest that brings the sum nearer
-        open_ = {i: n for i, n in left.items() if n > 0}
-        if not open_:
-            break
-        gaps = frame(list(open_.items()), "p int, gap long")
-        used = frame(extra or [(-1, 0)], "p int, h long")
-        fits = chosen.where("NOT more AND size > 0").join(used, ["p", "h"], "left_anti").groupBy("p", "h").agg(F.sum("size").alias("size")).join(gaps, "p")
-        if step < FILLS:
-            best = fits.where("size <= gap").groupBy("p").agg(F.max(F.struct("size", "h")).alias("best")).collect()
-        else:
-            best = fits.where("size < 2 * gap").groupBy("p").agg(F.min(F.struct("size", "h")).alias("best")).collect()
-        for r in best:
-            extra.append((r.p, r.best.h))
-            left[r.p] = open_[r.p] - r.best["size"]
-    filled = frame([(*x, True) for x in extra] or [(-1, 0, True)], "p int, h long, fill boolean")
+    docs = docs.join(pid, docs.sources.eqNullSafe(pid.sources)).select("key", "size", "h", "p")
+    live = docs.where("size > 0").join(frame(list(rest.items()), "p int, rest long").select("p"), "p")
+    # In order of hashes, documents are taken once more until the rest is reached. Two levels of buckets narrow the cut down to
+    # a bucket of some millionth of a pattern, whose documents are summed one by one.
+    b1, b2 = F.shiftright("h", 64 - LEVEL_BITS), F.shiftright("h", 64 - 2 * LEVEL_BITS)
+    cut1 = _crossing(live.groupBy("p", b1.alias("b")).agg(F.sum("size").alias("size")), frame(list(rest.items()), "p int, room long"))
+    inside = live.withColumn("b1", b1).join(frame([(i, b) for i, (b, _) in cut1.items()], "p int, b1 long"), ["p", "b1"])
+    cut2 = _crossing(inside.groupBy("p", b2.alias("b")).agg(F.sum("size").alias("size")), frame([(i, room) for i, (_, room) in cut1.items()], "p int, room long"))
+    last = inside.withColumn("b2", b2).join(frame([(i, b) for i, (b, _) in cut2.items()], "p int, b2 long"), ["p", "b2"])
+    cut3 = _crossing(last.groupBy("p", F.col("h").alias("b")).agg(F.sum("size").alias("size")), frame([(i, room) for i, (_, room) in cut2.items()], "p int, room long"))
+    # From this hash on, a pattern's documents are not taken once more; patterns without a cut are taken as a whole.
+    bound = {i: cut3[i][0] if i in cut3 else (1 << 63) - 1 for i in rest}
+    gap = {i: room for i, (_, room) in cut3.items() if room > 0}
+    limits = frame([(i, whole[p], bound.get(i)) for i, p in enumerate(patterns)], "p int, base long, bound long")
+    chosen = docs.join(limits, "p").withColumn("more", F.coalesce((F.col("h") < F.col("bound")) & (F.col("size") > 0), F.lit(False)))
+    # What is left of a rest is made up for by a few documents more, less or in exchange: the first, by hash, of each power of two of sizes.
+    units = chosen.where("size > 0").join(frame(list(gap.items()), "p int, gap long"), "p").groupBy("p", "more", "h").agg(F.sum("size").alias("size"))
+    first = Window.partitionBy("p", "more", "power").orderBy("h")
+    units = units.withColumn("power", F.floor(F.log2("size"))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= FILLS).select("p", "more", "size", "h")
+    sides: dict[int, tuple[dict[int, int], dict[int, int]]] = {}
+    for r in units.collect() if gap else []:  # at most 2 * FILLS rows for each pattern and power of two
+        sides.setdefault(r.p, ({}, {}))[r.more][r.h] = r["size"]
+    changes = [(i, h, more) for i, (out, taken) in sides.items() for h, more in _nearer(gap[i], out, taken).items()]
+    filled = frame(changes, "p int, h long, fill boolean")
     facts = frame([(i, plan.size[p[0]], float(plan.target[p[0]])) for i, p in enumerate(patterns)], "p int, source_size long, target double")
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("base") + (F.col("more") | F.coalesce(F.col("fill"), F.lit(False))).cast("long"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("base") + F.coalesce("fill", "more").cast("long")).cast("long")
     return (
         chosen.join(filled, ["p", "h"], "left")
         .join(facts, "p")
@@ -254,25 +234,45 @@ def mix(df: DataFrame, sources: Column, key: str = "doc_id", text: str = "text",
     )
 
 
-def _crossing(rows: DataFrame, room: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """By pattern: the bucket in which the running sum of sizes passes the room, and the room left at its beginning."""
-    sums: dict[int, dict[int, int]] = {}
-    for r in rows.groupBy("p", "b").agg(F.sum("size").alias("size")).toLocalIterator():  # at most BUCKETS rows a pattern
-        sums.setdefault(r.p, {})[r.b] = r.size
-    out = {}
-    for i, left in room.items():
-        for b in sorted(sums.get(i, {})):
-            if sums[i][b] > left:
-                out[i] = b, left
-                break
-            left -= sums[i][b]
-    return out
+def _nearer(gap: int, out: dict[int, int], taken: dict[int, int]) -> dict[int, bool]:
+    """Documents (hash and size) to take (true) or to leave (false) so that ``gap`` words more are taken, as near as a few exchanges come.
+
+    The largest that fit come first; then single documents and exchanges of two, as long as they bring the sum nearer.
+    """
+    change: dict[int, bool] = {}
+    for h, n in sorted(out.items(), key=lambda x: (-x[1], x[0])):
+        if n <= gap:
+            gap -= n
+            change[h] = True
+    for _ in range(EXCHANGES):
+        if not gap:
+            break
+        add = [(0, None), *sorted((n, h) for h, n in out.items() if h not in change)]
+        drop = [(0, None), *sorted((n, h) for h, n in taken.items() if h not in change)]
+        left = np.abs(gap - np.array([n for n, _ in add])[:, None] + np.array([n for n, _ in drop]))
+        i, k = np.unravel_index(left.argmin(), left.shape)
+        if left[i, k] >= abs(gap):
+            break
+        gap += drop[k][0] - add[i][0]
+        change |= {h: more for (_, h), more in ((add[i], True), (drop[k], False)) if h is not None}
+    return change
+
+
+def _crossing(sums: DataFrame, rooms: DataFrame) -> dict[int, tuple[int, int]]:
+    """By pattern (at most MAX_PATTERNS rows leave the cluster): the bucket in which the running sum passes the room, and the room left before it.
+
+    ``sums``: rows (p, b, size), at most 2 ** LEVEL_BITS or the documents of a last bucket for each pattern.
+    """
+    before = F.sum("size").over(Window.partitionBy("p").orderBy("b")) - F.col("size")
+    rows = sums.join(rooms, "p").withColumn("left", F.col("room") - before).where("left >= 0 AND size > left")
+    return {r.p: (r.b, r.left) for r in rows.select("p", "b", "left").collect()}
 
 
 def take(df: DataFrame, sources: Column, key: str = "doc_id", **options) -> DataFrame:
     """The mixed rows of ``df`` with its columns: each as often as the mix takes it, rows it doesn't take left out."""
-    # Repeated rows share their fate, so a key's copies agree; a null key is one key here.
-    plan = mix(df, sources, key, **options).groupBy(key).agg(F.max("copies").alias("_copies"))
-    left, right = df.alias("l"), plan.withColumnRenamed(key, "_key")
-    out = left.join(right, F.col(f"l.{key}").eqNullSafe(F.col("_key"))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(f"l.{c}" for c in df.columns))
+    # Rows of one key share their fate, so a key's copies agree; a null key is one key here. Rows without words are taken once.
+    plan = mix(df, sources, key, **options).groupBy(key).agg(F.max("copies").alias("copies"))
+    name, copies, copy = fresh(df, "mixed_key"), fresh(df, "mixed_copies"), fresh(df, "mixed_copy")
+    plan = plan.select(col(key).alias(name), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    out = df.join(plan, col(key).eqNullSafe(F.col(name)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*map(col, df.columns))
