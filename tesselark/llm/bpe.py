@@ -18,10 +18,11 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import map_text
+from .common import col, map_text
 
 #: Words kept by a worker, in each of two generations; a size of the cache only: a word that was
 #: dropped is merged again when it comes again.
@@ -34,10 +35,13 @@ TOGETHER = 1000
 KEEP_CHARS = 64
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ranks of a ``.tiktoken`` file."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+#: A larger vocabulary file is refused: every worker gets it.
+VOCABULARY_BYTES = 64 << 20
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes and ranks of a ``.tiktoken`` file's bytes."""
+    return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line.strip())}
 
 
 class Replay:
@@ -181,25 +185,41 @@ class Replay:
         return self.blob[np.repeat(self.begins[which] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
 
-_replays: dict[tuple[str, str], Replay] = {}
+_replays: dict[tuple[bytes, str], Replay] = {}
+
 
+def replay_of(data: bytes, pattern: str) -> Replay:
+    """The worker's encoder for the bytes of a vocabulary file, made once."""
+    which = hashlib.sha256(data).digest(), pattern
+    if which not in _replays:
+        _replays[which] = Replay(read_ranks(data), pattern)
+    return _replays[which]
 
-def replay_of(path: str, pattern: str) -> Replay:
-    """The worker's encoder for the vocabulary at ``path``, made once."""
-    if (path, pattern) not in _replays:
-        _replays[path, pattern] = Replay(read_ranks(path), pattern)
-    return _replays[path, pattern]
+
+def _shipped(df: DataFrame, path: str) -> Broadcast[bytes]:
+    """The vocabulary file at the driver's ``path``, for all workers."""
+    with open(path, "rb") as f:
+        data = f.read(VOCABULARY_BYTES + 1)
+    if len(data) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is no vocabulary: more than {VOCABULARY_BYTES} bytes")
+    return df.sparkSession.sparkContext.broadcast(data)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with an array column ``ids`` in place of ``text``; a null text has no ids (an empty array)."""
-    at = df.columns.index(text)
-    schema = ", ".join(f"`{ids}` array<long>" if i == at else f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
+    """``df`` with an array column ``ids`` in place of ``text``; a null text has no ids (an empty array).
+
+    Another column named like ``ids``, in any case, is replaced; the rest is kept.
+    """
+    keep = [c for c in df.columns if c == text or c.lower() != ids.lower()]
+    df = df.select(*map(col, keep))
+    at = keep.index(text)
+    schema = StructType([StructField(ids, ArrayType(LongType())) if i == at else f for i, f in enumerate(df.schema.fields)])
+    data = _shipped(df, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = replay_of(path, pattern).encode_batch([t or "" for t in batch.column(at).to_pylist()])
-        col = pa.array([np.frombuffer(b, "<u4").astype("i8") for b in made], pa.list_(pa.int64()))
-        return batch.set_column(at, ids, col)
+        made = replay_of(data.value, pattern).encode_batch([t or "" for t in batch.column(at).to_pylist()])
+        column = pa.array([np.frombuffer(b, "<u4").astype("i8") for b in made], pa.list_(pa.int64()))
+        return batch.set_column(at, ids, column)
 
     return map_text(df, run, schema, at)
 
@@ -211,9 +231,10 @@ def digest(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     Other columns are not read.
     """
     kind = df.schema[key].dataType.simpleString()
+    data = _shipped(df, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = replay_of(path, pattern)
+        coder = replay_of(data.value, pattern)
         made = coder.encode_batch([t or "" for t in batch.column(1).to_pylist()])
         return pa.RecordBatch.from_arrays(
             [
@@ -225,4 +246,4 @@ def digest(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
             names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_text(df.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_text(df.select(col(key), col(text)), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows are worked on in slices of at most so many bytes of text, whatever the size of Arrow's batches.
 SLICE_BYTES = 4 << 20
@@ -33,7 +34,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
         yield batch.slice(begin)
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` for columns of any names (its own way to refer to them takes dots and backticks for syntax)."""
+    if isinstance(schema, str):
+        return df.mapInArrow(fn, schema)
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in fn(batches):
+            yield pa.RecordBatch.from_arrays(made.columns, names=plain.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, plain).toDF(*schema.names)
+
+
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
     """Applies ``fn`` to slices of the rows; no shuffle, memory bounded by a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +55,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
             yield fn(piece)
         pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, run, schema)
 
 
 def col(name: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import col, discard, map_text, others, slices, stored
+from .common import col, discard, map_rows, map_text, others, slices, stored
 
 ORDER = 4
 #: The classifier is fitted on at most so many labelled documents of a language (whole texts, chosen by a hash of the key) ...
@@ -323,7 +323,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         shared.value.forget()
         pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, run, schema)
 
 
 def predictions(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

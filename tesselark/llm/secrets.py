@@ -17,9 +17,8 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import col, map_text
 
 # The base patterns, and the least length of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -133,7 +132,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return map_text(df.select(F.col(key), F.col(text)), run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_text(df.select(col(key), col(text)), run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask(text: str | None, marker: str = "[SECRET]") -> str | None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, stored
+from .common import col, map_text, stored
 from .components import components
 
 RADIUS = 3
@@ -64,7 +64,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[key, "fp"])
 
-    return map_text(df.select(F.col(key), F.col(text).cast("binary")), run, f"`{key}` {kind}, fp long")
+    return map_text(df.select(col(key), col(text).cast("binary")), run, f"`{key}` {kind}, fp long")
 
 
 def _bits(n: int) -> list[int]:
