@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +30,7 @@ def _scale(z: DataFrame, w: DataFrame, formula: str) -> DataFrame:
 def association(z: DataFrame, w: DataFrame, formula: str = "s0", engine: str = "gram") -> DataFrame:
     """L of all ordered feature pairs (a, b): k z_a' W z_b / (|z_a| |z_b|); with s2 both sides are lagged. Zero norms give 0.
 
-    engine "sql" joins the long tables (n bins times pairs of features); "gram" packs the bins' values and sums
-    outer products within a task, so only tasks times pairs of features are shuffled. It needs all features' names, which are
-    many fewer than bins.
+    engine "sql" joins the long tables (n bins times pairs of features); "gram" sums outer products within a task.
     """
     norms = z.groupBy("feature").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("norm"))
     lag = spatial_lag(z, w)
@@ -41,35 +39,74 @@ def association(z: DataFrame, w: DataFrame, formula: str = "s0", engine: str = "
         right = lag.select("gx", "gy", F.col("feature").alias("b"), "wz")
         sums = left.withColumnRenamed("feature", "a").join(right, ["gx", "gy"]).groupBy("a", "b").agg(F.sum(F.col("u") * F.col("wz")).alias("num"))
     else:
-        both = left.join(lag, ["gx", "gy", "feature"]).groupBy("gx", "gy").agg(F.collect_list(F.struct("feature", "u", "wz")).alias("cells"))
-        sums = both.select("cells").mapInPandas(_partial_gram, "a string, b string, num double").groupBy("a", "b").agg(F.sum("num").alias("num"))
+        sums = gram(left, lag.withColumnRenamed("wz", "v"), ["gx", "gy"])
     pairs = norms.select(F.col("feature").alias("a"), F.col("norm").alias("na")).crossJoin(norms.select(F.col("feature").alias("b"), F.col("norm").alias("nb")))
     full = pairs.join(sums, ["a", "b"], "left").crossJoin(F.broadcast(_scale(z, w, formula)))
     den = F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))
     return full.select("a", "b", F.coalesce(F.col("k") * F.coalesce("num", F.lit(0.0)) / den, F.lit(0.0)).alias("l"))
 
 
-def _partial_gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names: dict[str, int] = {}
-    total = np.zeros((0, 0))
-    for frame in frames:
-        for begin in range(0, len(frame), 2048):
-            rows = frame["cells"].iloc[begin : begin + 2048]
-            at, col, u, wz = [], [], [], []
-            for i, cells in enumerate(rows):
-                for c in cells:
-                    at.append(i)
-                    col.append(names.setdefault(c["feature"], len(names)))
-                    u.append(c["u"])
-                    wz.append(c["wz"])
-            x, y = np.zeros((len(rows), len(names))), np.zeros((len(rows), len(names)))
-            x[at, col], y[at, col] = u, wz
-            grown = np.zeros((len(names), len(names)))
-            grown[: len(total), : len(total)] = total
-            total = grown + x.T @ y
-    if names:
-        k = np.array(list(names))
-        yield pd.DataFrame({"a": np.repeat(k, len(k)), "b": np.tile(k, len(k)), "num": total.ravel()})
+#: Products of all pairs are summed in every task, in a square of this side at most; more features are refused (use engine "sql").
+MOST_FEATURES = 5000
+
+
+def gram(left: DataFrame, right: DataFrame, unit: list[str]) -> DataFrame:
+    """Sums of u v over the units for all pairs (a, b, num) of left's features (unit, feature, u) and right's (unit, feature, v).
+
+    Absent values are zeros and need not be made. Values of a unit meet in one list; each task sums outer products of its units, so only
+    tasks times pairs of features are shuffled.
+    """
+    names = left.select("feature").union(right.select("feature")).distinct().orderBy("feature").limit(MOST_FEATURES + 1).toPandas()["feature"].to_list()
+    if len(names) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features; their pairs don't fit a task")
+    ids = F.broadcast(left.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, id int"))
+    zero = F.lit(0.0)
+    both = left.select(*unit, "feature", F.col("u").cast("double").alias("u"), zero.alias("v")).union(right.select(*unit, "feature", zero.alias("u"), F.col("v").cast("double").alias("v"))).join(ids, "feature")
+    rows = both.groupBy(*unit).agg(F.collect_list("id").alias("id"), F.collect_list("u").alias("u"), F.collect_list("v").alias("v")).select("id", "u", "v")
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((n, n)), False
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                ids, u, v = (part.column(k) for k in range(3))
+                at = np.repeat(np.arange(part.num_rows), ids.value_lengths().to_numpy())
+                x, y = np.zeros((part.num_rows, n)), np.zeros((part.num_rows, n))
+                cell = at, ids.flatten().to_numpy()
+                np.add.at(x, cell, u.flatten().to_numpy())
+                np.add.at(y, cell, v.flatten().to_numpy())
+                total += x.T @ y
+                some = True
+        if some:
+            a, b = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b])], names=["i", "k", "num"])
+
+    sums = rows.mapInArrow(run, "i int, k int, num double").groupBy("i", "k").agg(F.sum("num").alias("num"))
+    return sums.join(ids.toDF("a", "i"), "i").join(ids.toDF("b", "k"), "k").select("a", "b", "num")
+
+
+def association_of(values: DataFrame, w: DataFrame) -> DataFrame:
+    """L of all ordered feature pairs as ``association`` gives it for the z-scores of ``values`` (gx, gy, feature, v; absent ones zero).
+
+    Z-scores are never made: with means m and deviations s, z_a' W z_b is v_a' W v_b less the means' terms, over s_a s_b, so only
+    bins where a feature or a neighbour's is present count.
+    """
+    v = values.select("gx", "gy", "feature", F.col("v").cast("double").alias("v"))
+    out = w.groupBy("gx", "gy").agg(F.sum("w").alias("r"))
+    into = w.groupBy(F.col("hx").alias("gx"), F.col("hy").alias("gy")).agg(F.sum("w").alias("c"))
+    facts = v.select("gx", "gy").distinct().agg(F.count("*").alias("n")).crossJoin(w.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("s0")))
+    one = v.join(out, ["gx", "gy"], "left").join(into, ["gx", "gy"], "left").groupBy("feature").agg(
+        F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.coalesce(F.sum(F.col("v") * F.col("r")), F.lit(0.0)).alias("r"), F.coalesce(F.sum(F.col("v") * F.col("c")), F.lit(0.0)).alias("c"))
+    one = one.crossJoin(F.broadcast(facts)).withColumn("m", F.col("s") / F.col("n"))
+    one = one.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * F.col("m") * F.col("m")) / (F.col("n") - 1))))
+    lag = w.join(v.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), "feature", "v"), ["hx", "hy"]).groupBy("gx", "gy", "feature").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    cross = gram(v.withColumnRenamed("v", "u"), lag, ["gx", "gy"])
+    a, b = (one.select("feature", "m", "sd", k, *(["n", "s0"] if x == "a" else [])).toDF(x, f"m{x}", f"sd{x}", k, *(["n", "s0"] if x == "a" else [])) for x, k in (("a", "r"), ("b", "c")))
+    full = a.crossJoin(F.broadcast(b)).join(cross, ["a", "b"], "left")
+    num = F.coalesce("num", F.lit(0.0)) - F.col("ma") * F.col("c") - F.col("mb") * F.col("r") + F.col("ma") * F.col("mb") * F.col("s0")
+    value = F.col("n") / F.col("s0") * num / (F.col("sda") * F.col("sdb")) / (F.col("n") - 1)
+    return full.select("a", "b", F.when((F.least("sda", "sdb") <= 1e-12) | (F.col("s0") == 0), F.lit(0.0)).otherwise(value).alias("l"))
 
 
 def analytic_z(pairs: DataFrame, z: DataFrame, w: DataFrame) -> DataFrame:

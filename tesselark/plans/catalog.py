@@ -35,7 +35,11 @@ def query(sql: str | None = None):
     """Registers a query, and its SQL with the views that it names."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with V.one_query():
+                return rounded(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = V.sql(sql)
         return f
@@ -101,7 +105,7 @@ def lattice_bins(s, d):
 
 @query("SELECT gx, gy, count(DISTINCT feature) AS k FROM cnt GROUP BY gx, gy HAVING k BETWEEN 2 AND 20")
 def bins_by_feature_number(s, d):
-    return G.keep_bins(V.bin_counts(s, d), 2, 20).groupBy("gx", "gy").agg(F.countDistinct("feature").alias("k"))
+    return G.keep_bins(V.bins(s, d), 2, 20).groupBy("gx", "gy").agg(F.countDistinct("feature").alias("k"))
 
 
 @query("SELECT gx, gy, feature, " + r6(v="v") + " FROM rown")
@@ -121,7 +125,7 @@ def cell_log_cpm(s, d):
 
 @query("SELECT gx, gy, feature, " + r6(v="least(v, quantile_cont(v, 0.95) OVER (PARTITION BY feature))") + " FROM dense")
 def winsorised(s, d):
-    c = G.row_normalise(V.bin_counts(s, d))
+    c = G.row_normalise(V.bins(s, d))
     dense = c.select("gx", "gy").distinct().crossJoin(c.select("feature").distinct()).join(c, ["gx", "gy", "feature"], "left").select("gx", "gy", "feature", F.coalesce("v", F.lit(0.0)).alias("v"))
     return G.winsorise(dense, "feature", "v")
 
@@ -134,7 +138,7 @@ def density_by_bin_share(s, d):
 
 @query("SELECT feature, " + r6(pct="count(*) * 100.0 / (SELECT count(*) FROM bins)") + " FROM cnt GROUP BY feature")
 def feature_coverage(s, d):
-    return G.coverage(V.bin_counts(s, d))
+    return G.coverage(V.bins(s, d))
 
 
 @query("SELECT feature, " + r6(mean="avg(n)") + " FROM cnt GROUP BY feature ORDER BY avg(n) DESC, feature LIMIT 10")
@@ -171,7 +175,7 @@ def weights_row_standardised(s, d):
     "WITH e AS (SELECT a.gx, a.gy, b.gx AS hx, b.gy AS hy, exp(-((a.gx-b.gx)*(a.gx-b.gx) + (a.gy-b.gy)*(a.gy-b.gy)) / 2.0) AS e FROM bins a JOIN bins b ON greatest(abs(a.gx-b.gx), abs(a.gy-b.gy)) BETWEEN 1 AND 2) SELECT gx, gy, hx, hy, " + r6(w="e / sum(e) OVER (PARTITION BY gx, gy)") + " FROM e"
 )
 def weights_gaussian(s, d):
-    return W.kernel(V.bin_counts(s, d))
+    return W.kernel(V.bins(s, d))
 
 
 @query("SELECT a.gx, a.gy, b.gx AS hx, b.gy AS hy FROM bins a JOIN bins b ON abs(a.gx-b.gx) + abs(a.gy-b.gy) IN (1, 2)")
@@ -181,7 +185,7 @@ def weights_two_steps(s, d):
 
 @query("SELECT gx, gy, dense_rank() OVER (ORDER BY (gy - 1) // 8, (gx - 1) // 8)::INTEGER AS tile FROM bins")
 def bin_tiles(s, d):
-    return W.tiles(V.bin_counts(s, d).select("gx", "gy").distinct())
+    return W.tiles(V.bins(s, d).select("gx", "gy").distinct())
 
 
 _DIFFUSED = "SELECT gx, gy, feature, least(1.0, greatest(0.0, sum(v))) AS v FROM (SELECT gx, gy, feature, v FROM rown UNION ALL SELECT w.gx, w.gy, feature, w.w * v * 0.05 FROM w JOIN rown r ON r.gx = hx AND r.gy = hy) GROUP BY ALL"
@@ -189,7 +193,7 @@ _DIFFUSED = "SELECT gx, gy, feature, least(1.0, greatest(0.0, sum(v))) AS v FROM
 
 @query(f"SELECT gx, gy, feature, {r6(v='v')} FROM ({_DIFFUSED})")
 def diffused(s, d):
-    c = V.bin_counts(s, d)
+    c = V.bins(s, d)
     return W.diffuse(G.row_normalise(c), W.neighbours(c), 0.05, 1)
 
 
@@ -197,7 +201,7 @@ def diffused(s, d):
     "WITH f AS (SELECT * FROM dense WHERE feature IN ('Brand#11', 'Brand#23', 'Brand#4')) SELECT p.feature AS a, q.feature AS b, " + r6(jaccard="sum(least(p.v, q.v)) / nullif(sum(greatest(p.v, q.v)), 0)") + " FROM f p JOIN f q USING (gx, gy) WHERE p.feature < q.feature GROUP BY ALL"
 )
 def fuzzy_jaccard(s, d):
-    return W.fuzzy_jaccard(G.row_normalise(V.bin_counts(s, d)), FEATURES)
+    return W.fuzzy_jaccard(G.row_normalise(V.bins(s, d)), FEATURES)
 
 
 # ---- association -----------------------------------------------------------------------------------------------------
@@ -205,12 +209,17 @@ def fuzzy_jaccard(s, d):
 
 def _z_w(s, d):
     z = V.z(s, d)
-    return z, W.neighbours(z)
+    return z, W.neighbours(V.bins(s, d))
+
+
+def _assoc(s, d):
+    """L of all pairs, made once in a query."""
+    return V.once(s, "assoc", lambda: A.association_of(G.row_normalise(V.bins(s, d)), W.neighbours(V.bins(s, d))))
 
 
 @query("SELECT a, b, " + r6(l="l") + " FROM assoc")
 def association_pairs(s, d):
-    return A.association(*_z_w(s, d))
+    return A.association_of(G.row_normalise(V.bins(s, d)), W.neighbours(V.bins(s, d)))
 
 
 @query("SELECT a, b, " + r6(l="l") + " FROM assoc")
@@ -228,7 +237,7 @@ def association_s2(s, d):
 @query("SELECT a, b, " + r6(l="l", zscore="(l + 1.0/(n-1)) / sqrt(CAST(n AS DOUBLE)*n*(n-2) / ((n-1.0)*(n-1)*(n-3)*s0))") + " FROM assoc, k")
 def association_z(s, d):
     z, w = _z_w(s, d)
-    return A.analytic_z(A.association(z, w), z, w)
+    return A.analytic_z(_assoc(s, d), z, w)
 
 
 _PERM = f"""WITH br AS (SELECT gx, gy, row_number() OVER (ORDER BY gy, gx) AS rank FROM bins),
@@ -244,30 +253,27 @@ ex AS (SELECT a, b, CAST(sum(CASE WHEN round(abs(n / s0 * num / (p.norm * q.norm
 @query(_PERM + f"SELECT a, b, exceed, {r6(p=f'(exceed + 1) / {DRAWS + 1}.0')} FROM ex")
 def association_permuted(s, d):
     z, w = _z_w(s, d)
-    chosen = A.association(z, w).where((F.col("a") < F.col("b")) & F.col("a").isin(FEATURES))
+    chosen = _assoc(s, d).where((F.col("a") < F.col("b")) & F.col("a").isin(FEATURES))
     return A.permutation_counts(z, w, chosen, DRAWS).select("a", "b", "exceed", testing.smoothed_p(F.col("exceed"), DRAWS).alias("p"))
 
 
 @query()
 def association_permuted_all(s, d):
     z, w = _z_w(s, d)
-    pairs = A.association(z, w).where("a < b")
+    pairs = _assoc(s, d).where("a < b")
     return A.permutation_counts(z, w, pairs, ALL_DRAWS).select("a", "b", "exceed", testing.smoothed_p(F.col("exceed"), ALL_DRAWS).alias("p"))
 
 
-@query("SELECT feature, " + r6(slope_x="regr_slope(z, gx)", slope_y="regr_slope(z, gy)") + " FROM z GROUP BY feature")
-def feature_gradients(s, d):
-    return A.gradients(V.z(s, d))
-
-
-SQL["feature_gradients"] = V.sql(
+@query(
     "WITH m AS (SELECT feature, covar_pop(gx, gx) AS xx, covar_pop(gy, gy) AS yy, covar_pop(gx, gy) AS xy, covar_pop(gx, z) AS xz, covar_pop(gy, z) AS yz FROM z GROUP BY feature) SELECT feature, " + r6(slope_x="(yy*xz - xy*yz) / nullif(xx*yy - xy*xy, 0)", slope_y="(xx*yz - xy*xz) / nullif(xx*yy - xy*xy, 0)") + " FROM m"
 )
+def feature_gradients(s, d):
+    return A.gradients(V.z(s, d))
 
 
 @query("SELECT p.feature AS a, q.feature AS b, " + r6(r="corr(p.v, q.v)") + ", count(*) AS n FROM dense p JOIN dense q USING (gx, gy) WHERE p.feature < q.feature GROUP BY ALL")
 def bin_correlation(s, d):
-    return A.pearson(G.row_normalise(V.bin_counts(s, d)), ["gx", "gy"])
+    return A.pearson(G.row_normalise(V.bins(s, d)), ["gx", "gy"])
 
 
 _CELLS = "WITH lc AS (SELECT cell, feature, ln(1 + n * 10000.0 / sum(n) OVER (PARTITION BY cell)) AS v FROM cellcnt), dc AS (SELECT cell, feature, coalesce(v, 0) AS v FROM (SELECT DISTINCT cell FROM lc) CROSS JOIN (SELECT DISTINCT feature FROM lc) LEFT JOIN lc USING (cell, feature)) "
@@ -288,7 +294,7 @@ def cell_correlation_fdr(s, d):
     "WITH rk AS (SELECT gx, gy, feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS v FROM dense) SELECT p.feature AS a, q.feature AS b, " + r6(r="corr(p.v, q.v)") + ", count(*) AS n FROM rk p JOIN rk q USING (gx, gy) WHERE p.feature < q.feature GROUP BY ALL"
 )
 def bin_rank_correlation(s, d):
-    c = G.row_normalise(V.bin_counts(s, d))
+    c = G.row_normalise(V.bins(s, d))
     return A.spearman(c, ["gx", "gy"], c.select("gx", "gy").distinct())
 
 
@@ -302,14 +308,14 @@ def dispersion_index(s, d):
     "WITH o AS (SELECT feature, CAST(sum(n) AS DOUBLE) AS t, CAST(sum(n*n) AS DOUBLE) AS q FROM cnt GROUP BY 1), c AS (SELECT x.feature AS a, y.feature AS b, CAST(sum(x.n*y.n) AS DOUBLE) AS ab FROM cnt x JOIN cnt y USING (gx, gy) WHERE x.feature < y.feature GROUP BY ALL) SELECT a, b, " + r6(mh="2 * ab / ((p.q/(p.t*p.t) + r.q/(r.t*r.t)) * p.t * r.t)") + " FROM c JOIN o p ON p.feature = a JOIN o r ON r.feature = b"
 )
 def overlap_morisita_horn(s, d):
-    c = V.bin_counts(s, d)
+    c = V.bins(s, d)
     f = c.select("feature").distinct()
     return A.morisita_horn(c, f.toDF("a").crossJoin(f.toDF("b")).where("a < b"))
 
 
 @query("SELECT a, b, " + r6(jaccard="j") + " FROM jac UNION ALL SELECT feature, feature, 1.0 FROM (SELECT DISTINCT feature FROM cnt)")
 def overlap_jaccard(s, d):
-    return A.jaccard(V.bin_counts(s, d))
+    return A.jaccard(V.bins(s, d))
 
 
 @query("WITH e AS (SELECT vec_id, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)) SELECT p.dim AS a, q.dim AS b, " + r6(cosine="sum(p.v*q.v) / nullif(sqrt(sum(p.v*p.v)) * sqrt(sum(q.v*q.v)), 0)") + " FROM e p JOIN e q USING (vec_id) WHERE p.dim < q.dim GROUP BY ALL")
@@ -322,8 +328,8 @@ _DELTA = "WITH rr AS (SELECT p.feature AS a, q.feature AS b, corr(p.v, q.v) AS r
 
 
 def _delta(s, d):
-    r = A.pearson(G.row_normalise(V.bin_counts(s, d)), ["gx", "gy"]).select("a", "b", "r")
-    return rounded(A.delta(A.association(*_z_w(s, d)), r))
+    r = A.pearson(G.row_normalise(V.bins(s, d)), ["gx", "gy"]).select("a", "b", "r")
+    return rounded(A.delta(_assoc(s, d), r))
 
 
 @query(_DELTA + "SELECT a, b, " + r6(l="l", r="r", delta="delta") + " FROM dl QUALIFY rank() OVER (ORDER BY delta DESC) <= 10 OR rank() OVER (ORDER BY delta) <= 10")
@@ -345,22 +351,22 @@ def delta_outside_curve(s, d):
 @query("WITH e AS (SELECT a AS feature, b AS other, l FROM assoc WHERE a <> b) SELECT e.feature, m.module, " + r6(within="avg(l) FILTER (m.module = o.module)", between="avg(l) FILTER (m.module <> o.module)", diff="avg(l) FILTER (m.module = o.module) - avg(l) FILTER (m.module <> o.module)") + " FROM e JOIN mods m USING (feature) JOIN mods o ON o.feature = e.other GROUP BY ALL")
 def within_between_modules(s, d):
     # L is symmetric for these weights, so pairs a < b stand for both directions.
-    return A.within_between(A.association(*_z_w(s, d)).where("a < b"), V.modules(s, d).where("module >= 0"), "l")
+    return A.within_between(_assoc(s, d).where("a < b"), V.modules(s, d).where("module >= 0"), "l")
 
 
 @query()
 def association_fdr(s, d):
     z, w = _z_w(s, d)
-    p = A.analytic_z(A.association(z, w), z, w).withColumn("p", testing.two_sided_normal("zscore"))
+    p = A.analytic_z(_assoc(s, d), z, w).withColumn("p", testing.two_sided_normal("zscore"))
     return testing.storey(testing.adjust(p, "p", "bh"), "p", "storey")
 
 
-_P = "WITH pv AS (SELECT a, b, round(abs(l), 6) / 2 AS p FROM assoc WHERE a < b), rk AS (SELECT a, b, p, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM pv) "
+_P = "WITH pv AS (SELECT a, b, round(abs(l), 6) AS p FROM assoc WHERE a < b), rk AS (SELECT a, b, p, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM pv) "
 
 
 @query(_P + "SELECT a, b, " + r6(p="p", bh="least(1.0, min(p * m / r) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING))", bonferroni="least(1.0, p * m)") + " FROM rk")
 def adjusted_p(s, d):
-    p = A.association(*_z_w(s, d)).where("a < b").select("a", "b", (F.round(F.abs("l"), 6) / 2).alias("p"))
+    p = _assoc(s, d).where("a < b").select("a", "b", F.round(F.abs("l"), 6).alias("p"))
     return testing.adjust(testing.adjust(p, "p", "bh"), "p", "bonferroni", "bonferroni")
 
 
@@ -368,12 +374,12 @@ def adjusted_p(s, d):
 
 
 def _edges(s, d):
-    return A.association(*_z_w(s, d)).where("a < b AND l > 0").select("a", "b", F.col("l").alias("weight"))
+    return _assoc(s, d).where("a < b AND l > 0").select("a", "b", F.col("l").alias("weight"))
 
 
 @query("SELECT a, b, " + r6(weight="weight") + " FROM medges WHERE round(weight, 9) >= 0.1")
 def graph_threshold(s, d):
-    return K.threshold_graph(A.association(*_z_w(s, d)), 0.1)
+    return K.threshold_graph(_assoc(s, d), 0.1)
 
 
 _FULL = "WITH fm AS (SELECT p.feature AS a, q.feature AS b, coalesce(e.weight, f.weight, 0) AS weight FROM (SELECT DISTINCT feature FROM cnt) p CROSS JOIN (SELECT DISTINCT feature FROM cnt) q LEFT JOIN medges e ON e.a = p.feature AND e.b = q.feature LEFT JOIN medges f ON f.b = p.feature AND f.a = q.feature) "
@@ -455,8 +461,8 @@ def simple_paths(s, d):
 
 
 def _methods(s, d):
-    one = A.association(*_z_w(s, d)).where("a < b").select(F.lit("m1").alias("method"), "a", "b", F.round("l", 6).alias("weight"))
-    two = A.jaccard(V.bin_counts(s, d), 1, 1000).where("a < b").select(F.lit("m2").alias("method"), "a", "b", F.round("jaccard", 6).alias("weight"))
+    one = _assoc(s, d).where("a < b").select(F.lit("m1").alias("method"), "a", "b", F.round("l", 6).alias("weight"))
+    two = A.jaccard(V.bins(s, d), 1, 1000).where("a < b").select(F.lit("m2").alias("method"), "a", "b", F.round("jaccard", 6).alias("weight"))
     return one.union(two)
 
 

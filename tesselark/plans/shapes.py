@@ -72,7 +72,7 @@ def plot_fold_ratios(s, d):
 
 @query("SELECT CAST(floor(round(l, 6) / 0.05) AS BIGINT) AS bin, count(*) AS n FROM assoc WHERE a < b GROUP BY 1")
 def plot_association_histogram(s, d):
-    return C.rounded(A.association(*C._z_w(s, d))).where("a < b").groupBy(F.floor(F.col("l") / 0.05).alias("bin")).agg(F.count("*").alias("n"))
+    return C.rounded(C._assoc(s, d)).where("a < b").groupBy(F.floor(F.col("l") / 0.05).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT gx, gy, floor(xmin/50)*50 + (gx - 1)*50 AS x0, floor(xmin/50)*50 + gx*50 AS x1, floor(ymin/50)*50 + (gy - 1)*50 AS y0, floor(ymin/50)*50 + gy*50 AS y1 FROM lat, lim")
@@ -92,7 +92,7 @@ _IDELTA = "SELECT feature, CASE WHEN sum(n) >= 2 THEN CAST((SELECT count(*) FROM
 
 
 def _dispersion(s, d):
-    c = V.bin_counts(s, d)
+    c = V.bins(s, d)
     return A.dispersion(c, c.select("gx", "gy").distinct().agg(F.count("*").alias("q")))
 
 
@@ -105,7 +105,7 @@ def plot_dispersion_by_module(s, d):
 
 @query("WITH dg AS (SELECT f AS feature, count(*) AS degree FROM (SELECT unnest([a, b]) AS f FROM medges WHERE round(l9, 9) >= 0.1) GROUP BY 1) SELECT feature, degree, degree > 1.1 * (SELECT median(degree) FROM dg) AS hub FROM dg".replace("l9", "weight"))
 def plot_hubs(s, d):
-    deg = K.threshold_graph(A.association(*C._z_w(s, d)), 0.1).select(F.explode(F.array("a", "b")).alias("feature")).groupBy("feature").agg(F.count("*").alias("degree"))
+    deg = K.threshold_graph(C._assoc(s, d), 0.1).select(F.explode(F.array("a", "b")).alias("feature")).groupBy("feature").agg(F.count("*").alias("degree"))
     mid = deg.agg((F.percentile("degree", 0.5) * 1.1).alias("m"))
     return deg.crossJoin(F.broadcast(mid)).select("feature", "degree", (F.col("degree") > F.col("m")).alias("hub"))
 
@@ -197,7 +197,7 @@ def module_bridges(s, d):
 
 @query()
 def rewired_null(s, d):
-    return M.rewired(K.threshold_graph(A.association(*C._z_w(s, d)), 0.05).select("a", "b", "weight"), 5)
+    return M.rewired(K.threshold_graph(C._assoc(s, d), 0.05).select("a", "b", "weight"), 5)
 
 
 # ---- hexagons ------------------------------------------------------------------------------------------------------

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.operators import grid
+from tesselark.sources.files import materialised
 
 ROI = [(63, 61), (417, 93), (452, 404), (243, 467), (56, 298)]
 
@@ -34,8 +39,36 @@ def bin_counts(spark: SparkSession, sf_dir: str, size: float = 50) -> DataFrame:
     return grid.on_lattice(grid.count_bins(grid.bin_points(points, limits, size)), grid.lattice(limits, size))
 
 
+_scope: ContextVar[dict | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def one_query():
+    """Within it, tables that a query uses several times are made and written once."""
+    token = _scope.set({})
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of that name, written to the shared folder when it is first asked for in a query."""
+    held = _scope.get()
+    if held is None:
+        return make()
+    if name not in held:
+        held[name] = materialised(make(), name)
+    return held[name]
+
+
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, for queries that need them several times: points are read and binned once."""
+    return once(spark, "bins", lambda: bin_counts(spark, sf_dir))
+
+
 def z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.z_scores(grid.row_normalise(bin_counts(spark, sf_dir)))
+    return grid.z_scores(grid.row_normalise(bins(spark, sf_dir)))
 
 
 def brand_number(column: str):
@@ -80,12 +113,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as cumulative CPU time and memory of their users."""
+    """Events as cumulative CPU time (whole microseconds) and memory of their users."""
     from pyspark.sql.window import Window
 
     running = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (F.sum("value").over(running) * 1e6).alias("cpu_usec"), (F.col("value") * 1048576).alias("mem_bytes"))
+    return e.select(F.col("user_id").alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.sum(F.round(F.col("value") * 1e6).cast("long")).over(running).alias("cpu_usec"), (F.col("value") * 1048576).alias("mem_bytes"))
 
 
 # The views in SQL, written apart from the code above.
@@ -113,7 +146,7 @@ SQL = {
     "ordersets": "SELECT DISTINCT l_orderkey, p_brand AS p FROM lineitem JOIN part ON l_partkey = p_partkey",
     "inter": "SELECT x.p AS p, y.p AS q, CAST(count(*) * 37 % 1000 AS INTEGER) AS score FROM ordersets x JOIN ordersets y ON x.l_orderkey = y.l_orderkey AND x.p < y.p JOIN brands bx ON bx.feature = x.p JOIN brands bq ON bq.feature = y.p WHERE (bx.num + bq.num) % 4 <> 0 GROUP BY 1, 2",
     "cellcnt": "SELECT o_custkey AS cell, p_brand AS feature, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL",
-    "smp": "SELECT user_id AS series, epoch_us(ts)/1e6 AS t, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)*1e6 AS cpu_usec, value*1048576 AS mem_bytes FROM events",
+    "smp": "SELECT user_id AS series, epoch_us(ts)/1e6 AS t, CAST(sum(CAST(round(value*1e6) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cpu_usec, value*1048576 AS mem_bytes FROM events",
     # Scored edges: association of pairs a < b as one method, overlap of bins as another.
     "jac": "SELECT a.feature AS a, b.feature AS b, coalesce(c, 0) / (a.k + b.k - coalesce(c, 0)) AS j FROM (SELECT feature, count(*) AS k FROM cnt GROUP BY 1) a JOIN (SELECT feature, count(*) AS k FROM cnt GROUP BY 1) b ON a.feature < b.feature LEFT JOIN (SELECT x.feature AS fa, y.feature AS fb, count(*) AS c FROM cnt x JOIN cnt y USING (gx, gy) GROUP BY ALL) ON fa = a.feature AND fb = b.feature",
     "edges": "SELECT 'm1' AS method, a, b, round(l, 6) AS weight FROM assoc WHERE a < b UNION ALL SELECT 'm2', a, b, round(j, 6) FROM jac",

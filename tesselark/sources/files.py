@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share."""
+    """A new path in this application's folder among those that all machines share; the folder goes when the driver ends.
+
+    It is in spark.checkpoint.dir; only on a single machine, where that is unset, in the warehouse.
+    """
+    context = spark.sparkContext
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        here = given.get() if given.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{here.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            here = given.get()
+        elif context.master.startswith("local"):
+            here = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    top = f"{here.rstrip('/')}/tesselark-{context.applicationId}-tables"
+    if getattr(context, "_tesselark_tables", None) != top:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        context._tesselark_tables = top
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
