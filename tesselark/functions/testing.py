@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -100,3 +101,33 @@ def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
         row, col, n = int(w + x), int(w + y), int(w + x + y + z)
         out.append(min(1.0, sum(math.exp(choose(col, k) + choose(n - col, row - k) - choose(n, row)) for k in range(int(w), min(row, col) + 1) if row - k <= n - col)))
     return pd.Series(out)
+
+
+@F.pandas_udf(DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """The z with P(N <= z) = p; null outside (0, 1)."""
+    n = statistics.NormalDist()
+    return pd.Series([n.inv_cdf(x) if x is not None and 0 < x < 1 else None for x in p], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def beta_quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The x with P(Beta(a, b) <= x) = p, by halving; null for null."""
+
+    def find(q: float, u: float, v: float) -> float | None:
+        if any(pd.isna(t) for t in (q, u, v)):
+            return None
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if _beta_tail(mid, u, v) < q else (lo, mid)
+        return (lo + hi) / 2
+
+    return pd.Series([find(*t) for t in zip(p, a, b)], dtype=float)
+
+
+def permutation_error(exceed: Column, draws: int, level: float = 0.95) -> tuple[Column, Column, Column]:
+    """Of a permutation p-value (exceed + 1) / (draws + 1): its sampling error, and the ends of its interval from beta quantiles."""
+    p, tail = (exceed + 1) / (draws + 1), (1 - level) / 2
+    a, b = (exceed + 1).cast("double"), (F.lit(draws) - exceed + 1).cast("double")
+    return F.sqrt(p * (1 - p) / draws), beta_quantile(F.lit(tail), a, b), beta_quantile(F.lit(1 - tail), a, b)

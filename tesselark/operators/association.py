@@ -86,9 +86,11 @@ def gram(left: DataFrame, right: DataFrame, unit: list[str]) -> DataFrame:
     return sums.join(ids.toDF("a", "i"), "i").join(ids.toDF("b", "k"), "k").select("a", "b", "num")
 
 
-def association_of(values: DataFrame, w: DataFrame) -> DataFrame:
+def association_of(values: DataFrame, w: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """L of all ordered feature pairs as ``association`` gives it for the z-scores of ``values`` (gx, gy, feature, v; absent ones zero).
 
+    With ``only`` (feature), a is one of these; products of the others are not made.
+
     Z-scores are never made: with means m and deviations s, z_a' W z_b is v_a' W v_b less the means' terms, over s_a s_b, so only
     bins where a feature or a neighbour's is present count.
     """
@@ -101,8 +103,11 @@ def association_of(values: DataFrame, w: DataFrame) -> DataFrame:
     one = one.crossJoin(F.broadcast(facts)).withColumn("m", F.col("s") / F.col("n"))
     one = one.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * F.col("m") * F.col("m")) / (F.col("n") - 1))))
     lag = w.join(v.select(F.col("gx").alias("hx"), F.col("gy").alias("hy"), "feature", "v"), ["hx", "hy"]).groupBy("gx", "gy", "feature").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    cross = gram(v.withColumnRenamed("v", "u"), lag, ["gx", "gy"])
+    chosen = v if only is None else v.join(F.broadcast(only.select("feature").distinct()), "feature", "left_semi")
+    cross = gram(chosen.select("gx", "gy", "feature", F.col("v").alias("u")), lag, ["gx", "gy"])
     a, b = (one.select("feature", "m", "sd", k, *(["n", "s0"] if x == "a" else [])).toDF(x, f"m{x}", f"sd{x}", k, *(["n", "s0"] if x == "a" else [])) for x, k in (("a", "r"), ("b", "c")))
+    if only is not None:
+        a = a.join(F.broadcast(only.select(F.col("feature").alias("a")).distinct()), "a", "left_semi")
     full = a.crossJoin(F.broadcast(b)).join(cross, ["a", "b"], "left")
     num = F.coalesce("num", F.lit(0.0)) - F.col("ma") * F.col("c") - F.col("mb") * F.col("r") + F.col("ma") * F.col("mb") * F.col("s0")
     value = F.col("n") / F.col("s0") * num / (F.col("sda") * F.col("sdb")) / (F.col("n") - 1)
@@ -129,18 +134,21 @@ def permuted(z: DataFrame, draws: int, seed: int) -> DataFrame:
 
 
 def permutation_counts(z: DataFrame, w: DataFrame, pairs: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """For pairs (a, b, l): how many draws have |L*| >= |L| (compared at 9 digits)."""
+    """For pairs (a, b, l): how many draws have |L*| >= |L| (compared at 9 digits).
+
+    With a column r, the correlation, which moving all features together leaves as it is: how many have |L* - r| >= |L - r|.
+    """
+    chosen = pairs.select("a", "b", "l", F.col("r") if "r" in pairs.columns else F.lit(0.0).alias("r"))
     moved = permuted(z, draws, seed)
     there = moved.select("draw", F.col("gx").alias("hx"), F.col("gy").alias("hy"), "feature", "z")
     lag = w.join(there, ["hx", "hy"]).groupBy("draw", "gx", "gy", "feature").agg(F.sum(F.col("w") * F.col("z")).alias("wz"))
-    chosen = pairs.select("a", "b", "l")
-    left = moved.join(F.broadcast(chosen), F.col("feature") == F.col("a")).select("draw", "gx", "gy", "a", "b", "l", "z")
-    num = left.join(lag.withColumnRenamed("feature", "b"), ["draw", "gx", "gy", "b"]).groupBy("a", "b", "l", "draw").agg(F.sum(F.col("z") * F.col("wz")).alias("num"))
+    left = moved.join(chosen, F.col("feature") == F.col("a")).select("draw", "gx", "gy", "a", "b", "l", "r", "z")
+    num = left.join(lag.withColumnRenamed("feature", "b"), ["draw", "gx", "gy", "b"]).groupBy("a", "b", "l", "r", "draw").agg(F.sum(F.col("z") * F.col("wz")).alias("num"))
     norms = z.groupBy("feature").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("norm"))
     num = num.join(norms.select(F.col("feature").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("feature").alias("b"), F.col("norm").alias("nb")), "b")
     num = num.crossJoin(F.broadcast(_scale(z, w, "s0")))
     star = F.coalesce(F.col("k") * F.col("num") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0)), F.lit(0.0))
-    return num.groupBy("a", "b").agg(F.sum((F.round(F.abs(star), 9) >= F.round(F.abs("l"), 9)).cast("long")).alias("exceed"))
+    return num.groupBy("a", "b").agg(F.sum((F.round(F.abs(star - F.col("r")), 9) >= F.round(F.abs(F.col("l") - F.col("r")), 9)).cast("long")).alias("exceed"))
 
 
 def gradients(z: DataFrame) -> DataFrame:
@@ -182,18 +190,34 @@ def dispersion(counts: DataFrame, bins: int | Column | DataFrame) -> DataFrame:
     return sums.select("feature", F.when(F.col("total") >= 2, q * F.col("pairs") / (F.col("total") * (F.col("total") - 1))).alias("idelta"))
 
 
-def morisita_horn(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Overlap 2 sum ab / ((la + lb) Na Nb) for edges (a, b), with l = sum n^2 / N^2; 0 where that has no sense."""
-    one = counts.groupBy("feature").agg(F.sum("n").cast("double").alias("t"), F.sum(F.col("n") * F.col("n")).cast("double").alias("q"))
-    p = counts.select("gx", "gy", F.col("feature").alias("a"), F.col("n").alias("u"))
-    r = counts.select("gx", "gy", F.col("feature").alias("b"), F.col("n").alias("v"))
+def morisita_horn(counts: DataFrame, edges: DataFrame, chao: bool = False) -> DataFrame:
+    """Overlap 2 sum ab / ((la + lb) Na Nb) for edges (a, b), with l = sum n^2 / N^2; 0 where that has no sense.
+
+    With ``chao``, l is lowered by the share U = 2 f2 / (N (N - 1)) of doubletons: (sum n^2 - N (N - 1) (1 - U)) / N^2, at least 0; where
+    that leaves both features nothing, the plain l stay.
+    """
+    n = F.col("n")
+    one = counts.groupBy("feature").agg(F.sum(n).cast("double").alias("t"), F.sum(n * n).cast("double").alias("q"), F.sum((n == 2).cast("double")).alias("f2"))
+    more = F.col("t") * (F.col("t") - 1)
+    less = F.greatest(F.lit(0.0), (F.col("q") - more * (1 - F.coalesce(2 * F.col("f2") / F.nullif(more, F.lit(0.0)), F.lit(0.0)))) / (F.col("t") * F.col("t")))
+    one = one.withColumn("l", F.col("q") / (F.col("t") * F.col("t"))).withColumn("c", less)
+    p = counts.select("gx", "gy", F.col("feature").alias("a"), n.alias("u"))
+    r = counts.select("gx", "gy", F.col("feature").alias("b"), n.alias("v"))
     cross = edges.select("a", "b").join(p, "a").join(r, ["gx", "gy", "b"]).groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).cast("double").alias("ab"))
-    a, b = (one.select(F.col("feature").alias(x), F.col("t").alias(f"t{x}"), (F.col("q") / (F.col("t") * F.col("t"))).alias(f"l{x}")) for x in "ab")
-    den = (F.col("la") + F.col("lb")) * F.col("ta") * F.col("tb")
+    a, b = (one.select(F.col("feature").alias(x), *(F.col(c).alias(c + x) for c in "tlc")) for x in "ab")
+    plain, lowered = F.col("la") + F.col("lb"), F.col("ca") + F.col("cb")
+    den = (F.when(lowered > 0, lowered).otherwise(plain) if chao else plain) * F.col("ta") * F.col("tb")
     full = edges.select("a", "b").join(cross, ["a", "b"], "left").join(a, "a", "left").join(b, "b", "left")
     return full.select("a", "b", F.when(den > 0, 2 * F.coalesce("ab", F.lit(0.0)) / den).otherwise(0.0).alias("mh"))
 
 
+def auto_scaled(values: DataFrame, value: str = "mh") -> DataFrame:
+    """Values times 1000, 100 or 10 where the greatest is under 0.001, 0.01 or 0.1."""
+    top = values.agg(F.max(value).alias("_top"))
+    by = F.when(F.col("_top") < 0.001, 1000.0).when(F.col("_top") < 0.01, 100.0).when(F.col("_top") < 0.1, 10.0).otherwise(1.0)
+    return values.crossJoin(F.broadcast(top)).withColumn(value, F.col(value) * by).drop("_top")
+
+
 def jaccard(counts: DataFrame, fewest: int = 8, most: int = 60) -> DataFrame:
     """Overlap of the bins of features a <= b; features present in enough bins, the most present ones (a report's limit)."""
     here = counts.where("n > 0").select("gx", "gy", "feature")

@@ -114,22 +114,83 @@ def module_null(modules: DataFrame, background: DataFrame, reference: DataFrame,
     return j.groupBy("module", "obs").agg(((F.sum((F.round("v", 9) >= F.round("obs", 9)).cast("long")) + 1) / (F.count("*") + 1)).alias("p"), F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_sd"))
 
 
-def quantile_normalise(edges: DataFrame) -> DataFrame:
-    """Weights of methods brought to one distribution: a row's average rank takes the mean over methods of their values there.
+def quantile_normalise(edges: DataFrame, places: int = 1000) -> DataFrame:
+    """Weights of methods brought to one distribution: the mean over methods of their quantiles at evenly spaced probabilities.
 
-    Values between ranks are interpolated linearly at (rank - 1/2) / n.
+    Quantiles are of Hyndman and Fan's type 8; a row's average rank finds its place among them, linearly between two.
     """
     by = Window.partitionBy("method")
+    n, last = F.count("*").over(by), places - 1
     r = F.rank().over(by.orderBy("weight")) + (F.count("*").over(Window.partitionBy("method", "weight")) - 1) / 2
-    ranked = edges.withColumn("u", (r - 0.5) / F.count("*").over(by))
-    table = ranked.groupBy("method").agg(F.array_sort(F.collect_list("weight")).alias("vs"))  # one array per method: a report's edges
-    pos = F.col("u") * F.size("vs") - 0.5
-    lo = F.greatest(F.lit(0), F.least(F.size("vs") - 1, F.floor(pos).cast("int")))
-    hi = F.least(F.size("vs") - 1, lo + 1)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), pos - lo))
-    value = F.get("vs", lo) + t * (F.get("vs", hi) - F.get("vs", lo))
-    levels = ranked.select("u").distinct().crossJoin(F.broadcast(table)).select("u", value.alias("v")).groupBy("u").agg(F.avg("v").alias("norm"))
-    return ranked.join(levels, "u").select("method", "a", "b", "weight", "norm")
+    ranked = edges.select("method", "a", "b", "weight", F.row_number().over(by.orderBy("weight")).alias("k"), n.alias("n"), ((r - 0.5) / n * last).alias("at"))
+    h = (F.col("n") + 1 / 3) * F.col("i") / last + 1 / 3
+    spots = ranked.groupBy("method").agg(F.max("n").alias("n")).crossJoin(edges.sparkSession.range(places).withColumnRenamed("id", "i")).withColumn("h", h)
+    inside = lambda k: F.least(F.greatest(k, F.lit(1)), F.col("n"))
+    spots = spots.select("method", "i", (F.col("h") - F.floor("h")).alias("t"), inside(F.floor("h")).alias("lo"), inside(F.floor("h") + 1).alias("hi"))
+    value = lambda k, name: ranked.select("method", F.col("k").cast("long").alias(k), F.col("weight").alias(name))
+    q = spots.join(value("lo", "x"), ["method", "lo"]).join(value("hi", "y"), ["method", "hi"])
+    levels = q.groupBy("i").agg(F.avg(F.col("x") + F.col("t") * (F.col("y") - F.col("x"))).alias("v"))
+    here, there = levels.toDF("i", "v0"), levels.select((F.col("i") - 1).alias("i"), F.col("v").alias("v1"))
+    grid = here.join(there, "i", "left")  # as many rows as places
+    found = ranked.withColumn("i", F.floor("at")).join(F.broadcast(grid), "i")
+    return found.select("method", "a", "b", "weight", (F.col("v0") + (F.col("at") - F.col("i")) * (F.coalesce("v1", "v0") - F.col("v0"))).alias("norm"))
+
+
+def refill(edges: DataFrame, top: int, multiplier: int = 5) -> DataFrame:
+    """The first ``top`` edges with a score of each method, sought among ``multiplier`` times as many by weight (ties by name); with a status and how many lack."""
+    order = lambda: Window.partitionBy("method").orderBy(F.desc("weight"), "a", "b")
+    first = edges.withColumn("_k", F.row_number().over(order())).where(F.col("_k") <= top * multiplier).where("score IS NOT NULL").drop("_k")
+    held = first.withColumn("_k", F.row_number().over(order())).where(F.col("_k") <= top)
+    have = F.count("*").over(Window.partitionBy("method"))
+    return held.withColumn("shortfall", (F.lit(top) - have).cast("long")).withColumn("status", F.when(F.col("shortfall") == 0, "ok").otherwise("insufficient_mappable_edges")).drop("_k")
+
+
+def background(ids: DataFrame, reference: DataFrame, levels: list[float]) -> DataFrame:
+    """Per level: mapped ids, their pairs, and the distinct pairs of mapped ids with a score at or above the level."""
+    known = ids.where("id IS NOT NULL").select("id").distinct()
+    x, y = key_pair("p", "q")
+    best = reference.join(known.toDF("p"), "p", "left_semi").join(known.toDF("q"), "q", "left_semi").where("p <> q").groupBy(x.alias("x"), y.alias("y")).agg(F.max("score").alias("s"))
+    n = known.agg(F.count("*").alias("genes"))
+    marks = edges_levels(reference.sparkSession, levels)
+    strong = marks.join(best, F.col("s") >= F.col("level"), "left").groupBy("level").agg(F.count("s").alias("positives"))
+    return strong.crossJoin(n).select("level", "genes", (F.col("genes") * (F.col("genes") - 1) / 2).cast("long").alias("pairs"), "positives")
+
+
+def edges_levels(spark, levels: list[float]) -> DataFrame:
+    return spark.createDataFrame([(float(v),) for v in levels], "level double")
+
+
+def payload(edges: DataFrame, back: DataFrame, least: float = 700, unmapped: str = "negative") -> DataFrame:
+    """One row per method of edges (method, a, b, weight, score): numbers, coverage, rate of positives, areas with the reason where undefined, enrichment.
+
+    Edges without a score count as negatives, or with ``unmapped="drop"`` only in the coverage. ``back`` has one row (pairs, positives).
+    """
+    known = F.col("score") >= least
+    e = edges.withColumn("label", F.coalesce(known, F.lit(False)) if unmapped == "negative" else known)
+    yes, no = F.sum(F.col("label").cast("long")), F.sum((~F.col("label")).cast("long"))
+    facts = e.groupBy("method").agg(
+        F.count("*").alias("n_edges"), F.count("label").alias("n_comparable"), (F.count("score") / F.count("*")).alias("coverage"), F.coalesce(yes, F.lit(0)).alias("pos"), F.coalesce(no, F.lit(0)).alias("neg")
+    )
+    reason = F.when(F.col("n_comparable") == 0, "no_comparable_edges").when(F.col("pos") == 0, "no_positive_labels").when(F.col("neg") == 0, "no_negative_labels").otherwise("ok")
+    facts = facts.join(auprc(e), "method", "left").join(auroc(e), "method", "left").crossJoin(F.broadcast(back.select("pairs", "positives")))
+    rate = F.col("pos") / F.nullif(F.col("n_comparable"), F.lit(0).cast("long"))
+    return facts.select("method", "n_edges", "n_comparable", "coverage", rate.alias("positive_rate"), reason.alias("reason"), "auprc", "auroc", (rate / F.nullif(F.col("positives") / F.col("pairs"), F.lit(0.0))).alias("enrichment"))
+
+
+def first_of_pair(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row of each unordered pair (p, q), the first by an order, with its ends in order (x, y)."""
+    x, y = key_pair("p", "q")
+    keyed = rows.withColumn("x", x).withColumn("y", y)
+    return keyed.withColumn("_k", F.row_number().over(Window.partitionBy("x", "y").orderBy(*order))).where("_k = 1").drop("_k", "p", "q")
+
+
+def long_form(wide: DataFrame, key: str, pattern: str) -> DataFrame:
+    """(key, name, v) of the columns whose names fit a pattern of two groups, a name and a repeat; of a name's repeats the last with a value counts."""
+    import re
+
+    fits = [(m[1], int(m[2]), c) for c in wide.columns if (m := re.fullmatch(pattern, c))]
+    cells = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(rep).alias("rep"), F.col(c).cast("double").alias("v")) for name, rep, c in fits))
+    return wide.select(key, F.explode(cells).alias("c")).where("c.v IS NOT NULL").groupBy(key, "c.name").agg(F.max_by("c.v", "c.rep").alias("v"))
 
 
 def box_stats(values: DataFrame, by: str, value: str) -> DataFrame:

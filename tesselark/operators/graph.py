@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselark.sources.files import materialised
+
 
 def symmetric(edges: DataFrame, value: str = "weight", how=F.max) -> DataFrame:
     """One row for each unordered pair, loops left out: the maximum (or mean) of both directions."""
@@ -36,6 +38,14 @@ def threshold_graph(pairs: DataFrame, least: float, value: str = "l") -> DataFra
     return symmetric(pairs.where((F.round(value, 9) >= least) & (F.col(value) > 0)).withColumnRenamed(value, "weight"))
 
 
+def where_value(pairs: DataFrame, op: str, cut: float, value: str = "l", triangle: str = "upper") -> DataFrame:
+    """Pairs whose value is gt, ge, lt, le, ne or eq a cut (at 9 digits), of the upper or lower triangle, or of all (loops left out)."""
+    v, c = F.round(value, 9), F.lit(cut)
+    kept = {"gt": v > c, "ge": v >= c, "lt": v < c, "le": v <= c, "ne": v != c, "eq": v == c}[op]
+    side = {"upper": F.col("a") < F.col("b"), "lower": F.col("a") > F.col("b"), "all": F.col("a") != F.col("b")}[triangle]
+    return pairs.where(kept & side)
+
+
 def consensus(labels: DataFrame, least: float = 0.95) -> DataFrame:
     """Share of runs in which two features have one label, for pairs at or above it; labels (run, feature, label)."""
     runs = labels.select("run").distinct().agg(F.count("*").alias("runs"))
@@ -113,15 +123,17 @@ def modularity(edges: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """PageRank of an undirected weighted graph by power iteration; rounds are joins and sums, written out every five."""
+    """PageRank of an undirected weighted graph by power iteration; a round is a join and a sum; every fifth is written out, so lineage stays short."""
     both = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("src", "dst", "weight")
     share = both.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "p")
     nodes = both.select(F.col("src").alias("feature")).distinct()
     n = nodes.agg(F.count("*").alias("n"))
     rank = nodes.crossJoin(F.broadcast(n)).select("feature", "n", (1 / F.col("n")).alias("pr"))
-    for _ in range(rounds):
+    for step in range(1, rounds + 1):
         came = share.join(rank, F.col("src") == F.col("feature")).groupBy(F.col("dst").alias("feature"), "n").agg(F.sum(F.col("p") * F.col("pr")).alias("in"))
         rank = came.select("feature", "n", ((1 - damping) / F.col("n") + damping * F.col("in")).alias("pr"))
+        if step % 5 == 0 and step < rounds:
+            rank = materialised(rank, "rank")
     return rank.select("feature", "pr")
 
 

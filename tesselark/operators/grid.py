@@ -69,6 +69,41 @@ def keep_bins(counts: DataFrame, fewest: int = 1, most: int | None = None) -> Da
     return counts.join(kinds, ["gx", "gy"], "left_semi")
 
 
+def keep_segmented(counts: DataFrame, vertices: DataFrame, least: int) -> DataFrame:
+    """Bins with at least so many outline vertices (gx, gy, vertices); all bins where none has as many."""
+    good = vertices.where(F.col("vertices") >= least).select("gx", "gy").distinct()
+    some = good.agg((F.count("*") > 0).alias("_some"))
+    marked = counts.join(good.withColumn("_good", F.lit(True)), ["gx", "gy"], "left").crossJoin(F.broadcast(some))
+    return marked.where("_good OR NOT _some").drop("_good", "_some")
+
+
+def bins_used(counts: DataFrame, grid: DataFrame, keep_zero: bool = False) -> DataFrame:
+    """The bins that statistics run over: those with counts, or all of the lattice."""
+    return (grid if keep_zero else counts).select("gx", "gy").distinct()
+
+
+def of_features(values: DataFrame, features: list[str] | None = None, modules: DataFrame | None = None, module: int | None = None) -> DataFrame:
+    """Rows of the given features; else of a module's members; else all."""
+    if features is not None:
+        return values.where(F.col("feature").isin(features))
+    if module is not None:
+        return values.join(modules.where(F.col("module") == module).select("feature").distinct(), "feature", "left_semi")
+    return values
+
+
+def plain_bins(points: DataFrame, size: float) -> DataFrame:
+    """Counts and mean positions of bins counted from 0 at the least coordinates, of features whose counts vary over the bins (as comparators want them)."""
+    low = points.agg(F.min("x").alias("_x"), F.min("y").alias("_y"))
+    at = lambda v, o: F.floor((F.col(v) - F.col(o)) / size).cast("int")
+    placed = points.crossJoin(F.broadcast(low)).select(at("x", "_x").alias("gx"), at("y", "_y").alias("gy"), "feature", "x", "y")
+    centres = placed.groupBy("gx", "gy").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    counts = placed.groupBy("gx", "gy", "feature").agg(F.count("*").alias("n"))
+    bins = centres.agg(F.count("*").alias("bins"))
+    # A feature is constant if it has the same count in every bin.
+    vary = counts.groupBy("feature").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).crossJoin(F.broadcast(bins)).where("lo < hi OR k < bins")
+    return counts.join(vary, "feature", "left_semi").join(centres, ["gx", "gy"])
+
+
 def on_lattice(counts: DataFrame, grid: DataFrame) -> DataFrame:
     return counts.join(grid.select("gx", "gy"), ["gx", "gy"], "left_semi")
 

@@ -48,6 +48,34 @@ def kernel(bins: DataFrame, radius: int = 2, sigma: float = 1.0, shape: str = "g
     return row_standardise(_joined(bins.select("gx", "gy").distinct(), _offsets([(a, b, value(a, b)) for a, b in around])))
 
 
+def hex_kernel(bins: DataFrame, radius: int = 2, sigma: float = 1.0, shape: str = "gaussian", kind: str = "oddr") -> DataFrame:
+    """Weights of hexagons at most ``radius`` steps away, flat or Gaussian in the steps, summing to 1 for every bin; kinds as in ``neighbours``."""
+    odd, by_row = kind.startswith("odd"), kind.endswith("r")
+
+    def around(moved: int) -> Column:
+        made = []
+        for q in range(-radius, radius + 1):
+            for r in range(-radius, radius + 1):
+                steps = max(abs(q), abs(r), abs(q + r))
+                if 0 < steps <= radius:
+                    # A shifted line lies half a bin further; lines an odd number apart are not both shifted.
+                    along = (2 * q + r + moved - (moved + r) % 2) // 2
+                    made.append((*((along, r) if by_row else (r, along)), math.exp(-steps * steps / (2 * sigma * sigma)) if shape == "gaussian" else 1.0))
+        return _offsets(made)
+
+    line = (F.col("gy") if by_row else F.col("gx")) - 1
+    return row_standardise(_joined(bins.select("gx", "gy").distinct(), F.when(F.pmod(line, F.lit(2)) == (1 if odd else 0), around(1)).otherwise(around(0))))
+
+
+def grown(w: DataFrame, bins: DataFrame, least: float, most: int = 4) -> DataFrame:
+    """Pairs of bins within as few steps as give ``least`` neighbours on average, at most ``most`` steps."""
+    n = bins.select("gx", "gy").distinct().count()
+    for order in range(1, most + 1):
+        found = within_hops(w, order)
+        if order == most or found.count() >= least * n:
+            return found
+
+
 def within_hops(w: DataFrame, order: int) -> DataFrame:
     """Pairs of bins at most ``order`` steps apart."""
     one = w.select("gx", "gy", "hx", "hy").distinct()
