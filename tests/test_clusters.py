@@ -1,6 +1,7 @@
 """The modules' second stage, quality, scoring: queries against DuckDB, and small cases by hand."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def test_queries_agree_with_sql(spark, sf_dir, duck, name):
     want = duck.execute(catalog.SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns) and len(got) == len(want)
-    value = lambda v: None if v != v else round(v, 5) + 0.0 if isinstance(v, float) else v
+    value = lambda v: None if pd.isna(v) else round(v, 5) + 0.0 if isinstance(v, float) else v
     key = lambda df: sorted((tuple(map(value, r)) for r in df[cols].itertuples(index=False)), key=str)
     for g, w in zip(key(got), key(want)):
         assert g == pytest.approx(w, abs=2e-5) if all(isinstance(v, (int, float)) for v in g) else g == w
