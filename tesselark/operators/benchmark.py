@@ -151,13 +151,10 @@ def background(ids: DataFrame, reference: DataFrame, levels: list[float]) -> Dat
     x, y = key_pair("p", "q")
     best = reference.join(known.toDF("p"), "p", "left_semi").join(known.toDF("q"), "q", "left_semi").where("p <> q").groupBy(x.alias("x"), y.alias("y")).agg(F.max("score").alias("s"))
     n = known.agg(F.count("*").alias("genes"))
-    marks = edges_levels(reference.sparkSession, levels)
-    strong = marks.join(best, F.col("s") >= F.col("level"), "left").groupBy("level").agg(F.count("s").alias("positives"))
-    return strong.crossJoin(n).select("level", "genes", (F.col("genes") * (F.col("genes") - 1) / 2).cast("long").alias("pairs"), "positives")
-
-
-def edges_levels(spark, levels: list[float]) -> DataFrame:
-    return spark.createDataFrame([(float(v),) for v in levels], "level double")
+    # One pass, a sum for each level; levels are a few literals.
+    strong = best.agg(*(F.coalesce(F.sum((F.col("s") >= v).cast("long")), F.lit(0)).alias(f"_{i}") for i, v in enumerate(levels)))
+    rows = F.explode(F.array(*(F.struct(F.lit(float(v)).alias("level"), F.col(f"_{i}").alias("positives")) for i, v in enumerate(levels)))).alias("r")
+    return strong.select(rows).crossJoin(n).select("r.level", "genes", (F.col("genes") * (F.col("genes") - 1) / 2).cast("long").alias("pairs"), "r.positives")
 
 
 def payload(edges: DataFrame, back: DataFrame, least: float = 700, unmapped: str = "negative") -> DataFrame:
