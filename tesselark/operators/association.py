@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselark.operators.weights import tiles
+
 
 def spatial_lag(z: DataFrame, w: DataFrame) -> DataFrame:
     """W z: (gx, gy, feature, wz)."""
@@ -122,24 +124,41 @@ def analytic_z(pairs: DataFrame, z: DataFrame, w: DataFrame) -> DataFrame:
     return full.select("a", "b", "l", ((F.col("l") + 1 / (n - 1)) / F.sqrt(var)).alias("zscore"))
 
 
-def permuted(z: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, gx, gy, feature, z): all features moved together by a permutation of the bins from a hash of draw and bin."""
-    spark = z.sparkSession
-    bins = z.select("gx", "gy").distinct().withColumn("rank", F.row_number().over(Window.orderBy("gy", "gx")))
-    many = bins.crossJoin(spark.range(1, draws + 1).withColumnRenamed("id", "draw"))
-    h = F.md5(F.concat_ws("|", F.lit(seed), "draw", "gx", "gy"))
-    target = many.select("draw", F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.row_number().over(Window.partitionBy("draw").orderBy(h, "gy", "gx")).alias("rank"))
-    moved = target.join(bins, "rank").select("draw", "tx", "ty", "gx", "gy")
+def _numbered(bins: DataFrame) -> DataFrame:
+    """Adds rank, from 1 by gy, then gx: rows of the lattice are counted and their sums run, so that no window holds more than a row."""
+    before = bins.groupBy("gy").agg(F.count("*").alias("k")).select("gy", (F.sum("k").over(Window.orderBy("gy")) - F.col("k")).alias("before"))
+    return bins.join(F.broadcast(before), "gy").select("gx", "gy", (F.col("before") + F.row_number().over(Window.partitionBy("gy").orderBy("gx"))).alias("rank"))
+
+
+def permuted(z: DataFrame, draws: int, seed: int, side: int | None = None) -> DataFrame:
+    """(draw, gx, gy, feature, z): all features moved together by a permutation of the bins from a hash of draw and bin.
+
+    With ``side``, tiles of side x side bins are dealt anew, each with its bins in their order, and laid on the bins in order; only a draw's
+    tiles are ordered, not its bins. Null hashes can't occur; no bins give no rows.
+    """
+    draw = z.sparkSession.range(1, draws + 1).withColumnRenamed("id", "draw")
+    bins = _numbered(z.select("gx", "gy").distinct())
+    if side is None:
+        h = F.md5(F.concat_ws("|", F.lit(seed), "draw", "gx", "gy"))
+        target = bins.crossJoin(draw).select("draw", F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.row_number().over(Window.partitionBy("draw").orderBy(h, "gy", "gx")).alias("rank"))
+        moved = target.join(bins, "rank").select("draw", "tx", "ty", "gx", "gy")
+    else:
+        tiled = bins.join(tiles(bins, side), ["gx", "gy"]).withColumn("k", F.row_number().over(Window.partitionBy("tile").orderBy("rank")))
+        h = F.md5(F.concat_ws("|", F.lit(seed), "draw", "tile"))
+        dealt = tiled.groupBy("tile").agg(F.count("*").alias("n")).crossJoin(draw)
+        dealt = dealt.select("draw", "tile", (F.sum("n").over(Window.partitionBy("draw").orderBy(h, "tile").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+        source = tiled.join(dealt, "tile").select("draw", "gx", "gy", (F.col("before") + F.col("k")).alias("rank"))
+        moved = source.join(bins.toDF("tx", "ty", "rank"), "rank").select("draw", "tx", "ty", "gx", "gy")
     return moved.join(z, ["gx", "gy"]).select("draw", F.col("tx").alias("gx"), F.col("ty").alias("gy"), "feature", "z")
 
 
-def permutation_counts(z: DataFrame, w: DataFrame, pairs: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """For pairs (a, b, l): how many draws have |L*| >= |L| (compared at 9 digits).
+def permutation_counts(z: DataFrame, w: DataFrame, pairs: DataFrame, draws: int, seed: int = 1, side: int | None = None) -> DataFrame:
+    """For pairs (a, b, l): how many draws have |L*| >= |L| (compared at 9 digits); with ``side``, draws move whole tiles.
 
     With a column r, the correlation, which moving all features together leaves as it is: how many have |L* - r| >= |L - r|.
     """
     chosen = pairs.select("a", "b", "l", F.col("r") if "r" in pairs.columns else F.lit(0.0).alias("r"))
-    moved = permuted(z, draws, seed)
+    moved = permuted(z, draws, seed, side)
     there = moved.select("draw", F.col("gx").alias("hx"), F.col("gy").alias("hy"), "feature", "z")
     lag = w.join(there, ["hx", "hy"]).groupBy("draw", "gx", "gy", "feature").agg(F.sum(F.col("w") * F.col("z")).alias("wz"))
     left = moved.join(chosen, F.col("feature") == F.col("a")).select("draw", "gx", "gy", "a", "b", "l", "r", "z")
@@ -238,6 +257,34 @@ def cosine(values: DataFrame, unit: str) -> DataFrame:
     return dot.join(a, "a").join(b, "b").select("a", "b", (F.col("dot") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))).alias("cosine"))
 
 
+def layer_similarity(values: DataFrame, bins: DataFrame, method: str, threshold: float = 0.0, scaled: bool = True, fewest: int = 5, most: int | None = None) -> DataFrame:
+    """Likeness (a, b, value) of layers a < b, say densities of modules, given as (gx, gy, feature, v) over all of ``bins``; null and absent values are zeros.
+
+    Layers are z-scored first unless ``scaled`` is false; a constant one is then zero throughout. Only layers above ``threshold`` in at least
+    ``fewest`` bins count, and of them at most ``most``, the most present ones (a report's limit; ties by name). "jaccard" compares the bins
+    above the threshold; "pearson", "spearman" and "cosine" the values.
+    """
+    names = values.select("feature").distinct()
+    v = bins.select("gx", "gy").distinct().crossJoin(names).join(values.select("gx", "gy", "feature", "v"), ["gx", "gy", "feature"], "left")
+    v = v.select("gx", "gy", "feature", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    if scaled:
+        m = v.groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
+        v = v.join(F.broadcast(m), "feature").select("gx", "gy", "feature", F.when(F.col("sd") > 1e-12, (F.col("v") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("v"))
+    above = v.where(F.round("v", 9) > threshold)
+    size = above.groupBy("feature").agg(F.count("*").alias("k")).where(F.col("k") >= fewest)
+    if most is not None:
+        size = size.orderBy(F.desc("k"), "feature").limit(most)
+    v, above = (x.join(size, "feature", "left_semi") for x in (v, above))
+    if method == "jaccard":
+        both = above.select("gx", "gy", F.col("feature").alias("a")).join(above.select("gx", "gy", F.col("feature").alias("b")), ["gx", "gy"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+        pairs = size.toDF("a", "ka").join(size.toDF("b", "kb"), F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+        c = F.coalesce("c", F.lit(0))
+        return pairs.select("a", "b", (c / (F.col("ka") + F.col("kb") - c)).alias("value"))
+    if method == "cosine":
+        return cosine(v.withColumn("unit", F.struct("gx", "gy")), "unit").withColumnRenamed("cosine", "value")
+    return (pearson(v, ["gx", "gy"]) if method == "pearson" else spearman(v, ["gx", "gy"], bins.select("gx", "gy").distinct())).select("a", "b", F.col("r").alias("value"))
+
+
 def within_between(pairs: DataFrame, modules: DataFrame, value: str) -> DataFrame:
     """Per feature: mean of a pair value with its own module's members and with others, and the difference."""
     ends = pairs.select("a", "b", value).union(pairs.select("b", "a", value)).toDF("feature", "other", "v")

@@ -163,6 +163,12 @@ def in_polygon(points: DataFrame, vertices: list[tuple[float, float]]) -> DataFr
     return points.where(odd)
 
 
-def top_features(counts: DataFrame, n: int) -> DataFrame:
-    """The n features of the largest mean count over bins where present, ties by name."""
-    return counts.groupBy("feature").agg(F.avg("n").alias("mean")).orderBy(F.desc("mean"), "feature").limit(n)
+def top_features(counts: DataFrame, n: int, by: str = "mean", seed: int = 1) -> DataFrame:
+    """The n features (feature, value) of the largest mean, variance or share of bins present ("presence"), over all bins with any count; or n by a
+    hash of seed and name ("random"). Ties by name."""
+    bins = counts.select("gx", "gy").distinct().agg(F.count("*").alias("bins"))
+    one = counts.groupBy("feature").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count(F.when(F.col("n") > 0, 1)).alias("k")).crossJoin(F.broadcast(bins))
+    mean = F.col("s") / F.col("bins")
+    values = {"mean": mean, "variance": F.col("q") / F.col("bins") - mean * mean, "presence": F.col("k") / F.col("bins")}
+    value = values[by] if by != "random" else F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "feature")), 1, 8), 16, 10).cast("double")
+    return one.select("feature", value.alias("value")).orderBy(F.round("value", 9).desc(), "feature").limit(n)

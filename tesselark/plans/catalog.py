@@ -25,6 +25,8 @@ FEATURES = ["Brand#11", "Brand#23", "Brand#4"]
 DRAWS = 8
 #: Draws of the permutation queries without SQL.
 ALL_DRAWS = 1000
+#: Draws of those of whole tiles, held to their SQL.
+TILE_DRAWS = 200
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -141,9 +143,14 @@ def feature_coverage(s, d):
     return G.coverage(V.bins(s, d))
 
 
-@query("SELECT feature, " + r6(mean="avg(n)") + " FROM cnt GROUP BY feature ORDER BY avg(n) DESC, feature LIMIT 10")
+_TOP = "WITH o AS (SELECT feature, sum(n) / b AS mean, sum(n * n) / b - (sum(n) / b) * (sum(n) / b) AS variance, count(*) / b AS presence, CAST(CAST('0x' || substr(md5(concat_ws('|', 1, feature)), 1, 8) AS BIGINT) AS DOUBLE) AS random FROM cnt, (SELECT CAST(count(*) AS DOUBLE) AS b FROM bins) GROUP BY feature, b) "
+
+
+@query(_TOP + "SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{by}' AS measure, feature, round({by}, 6) + 0.0 AS value FROM o ORDER BY round({by}, 9) DESC, feature LIMIT 10)" for by in ("mean", "variance", "presence", "random")) + ")")
 def top_features(s, d):
-    return G.top_features(V.bin_counts(s, d), 10)
+    c = V.bins(s, d)
+    found = [G.top_features(c, 10, by).select(F.lit(by).alias("measure"), "feature", "value") for by in ("mean", "variance", "presence", "random")]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 # ---- weights -------------------------------------------------------------------------------------------------------

@@ -61,6 +61,53 @@ def delta_permuted(s, d):
     return A.permutation_counts(z, w, pairs, ALL_DRAWS).select("a", "b", "exceed", testing.smoothed_p(F.col("exceed"), ALL_DRAWS).alias("p"))
 
 
+# Tiles of 8 x 8 bins keep their inner order.
+_TILED = f"""br AS (SELECT gx, gy, row_number() OVER (ORDER BY gy, gx) AS rank, dense_rank() OVER (ORDER BY (gy - 1) // 8, (gx - 1) // 8) AS tile FROM bins),
+src AS (SELECT draw, gx, gy, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 1, draw, tile)), tile, rank) AS rank FROM br, range(1, {C.TILE_DRAWS + 1}) t(draw)),
+pz AS (SELECT draw, br.gx, br.gy, feature, z FROM src JOIN br ON br.rank = src.rank JOIN z ON z.gx = src.gx AND z.gy = src.gy),
+plag AS (SELECT draw, w.gx, w.gy, feature, sum(w*z) AS wz FROM w JOIN pz ON pz.gx = hx AND pz.gy = hy GROUP BY ALL),
+pn AS (SELECT a.feature AS a, b.feature AS b, draw, sum(a.z*b.wz) AS num FROM pz a JOIN plag b USING (draw, gx, gy) WHERE a.feature < b.feature GROUP BY ALL),
+st AS (SELECT pn.a, pn.b, CASE WHEN p.norm * q.norm = 0 THEN 0 ELSE n / s0 * num / (p.norm * q.norm) END AS star FROM pn JOIN norms p ON p.feature = a JOIN norms q ON q.feature = b, k)
+"""
+
+
+def _tiled(pairs: str, centre: str) -> str:
+    return f"{pairs}, {_TILED}, ex AS (SELECT a, b, CAST(sum(CASE WHEN round(abs(star - {centre}), 9) >= round(abs(l - {centre}), 9) THEN 1 ELSE 0 END) AS BIGINT) AS exceed FROM st JOIN se USING (a, b) GROUP BY a, b) SELECT a, b, exceed, " + r6(p=f"(exceed + 1) / {C.TILE_DRAWS + 1}.0") + " FROM ex"
+
+
+def _tile_counts(s, d, pairs):
+    z, w = C._z_w(s, d)
+    return A.permutation_counts(z, w, pairs, C.TILE_DRAWS, side=8).select("a", "b", "exceed", testing.smoothed_p(F.col("exceed"), C.TILE_DRAWS).alias("p"))
+
+
+@query(_tiled("WITH se AS (SELECT a, b, l FROM assoc WHERE a < b)", "0"))
+def association_permuted_tiles(s, d):
+    return _tile_counts(s, d, C._assoc(s, d).where("a < b"))
+
+
+@query(_tiled(C._DELTA + ", se AS (SELECT a, b, l, r FROM dl)", "r"))
+def delta_permuted_tiles(s, d):
+    return _tile_counts(s, d, C._delta(s, d))
+
+
+_LAYERS = """WITH dn AS (SELECT gx, gy, module, coalesce(n, 0) / 2500.0 AS v FROM lat CROSS JOIN (SELECT DISTINCT module FROM mods) LEFT JOIN (SELECT gx, gy, module, sum(n) AS n FROM cnt JOIN mods USING (feature) GROUP BY ALL) USING (gx, gy, module)),
+zz AS (SELECT gx, gy, module AS f, CASE WHEN stddev_samp(v) OVER g > 1e-12 THEN (v - avg(v) OVER g) / stddev_samp(v) OVER g ELSE 0 END AS v FROM dn WINDOW g AS (PARTITION BY module)),
+sz AS (SELECT f, count(*) AS k FROM zz WHERE round(v, 9) > 0 GROUP BY f HAVING count(*) >= 5),
+ka AS (SELECT zz.*, rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0 AS r FROM zz SEMI JOIN sz USING (f)),
+pq AS (SELECT p.f AS a, q.f AS b, count(*) FILTER (round(p.v, 9) > 0 AND round(q.v, 9) > 0) AS c, corr(p.v, q.v) AS pearson, corr(p.r, q.r) AS spearman, sum(p.v*q.v) / sqrt(sum(p.v*p.v) * sum(q.v*q.v)) AS cosine FROM ka p JOIN ka q USING (gx, gy) WHERE p.f < q.f GROUP BY ALL),
+al AS (SELECT a, b, c / (x.k + y.k - c) AS jaccard, pearson, spearman, cosine FROM pq JOIN sz x ON x.f = a JOIN sz y ON y.f = b) """
+
+
+@query(_LAYERS + " UNION ALL ".join(f"SELECT '{m}' AS method, a, b, round({m}, 6) + 0.0 AS value FROM al" for m in ("jaccard", "pearson", "spearman", "cosine")))
+def module_density_similarity(s, d):
+    lattice = V.once(s, "lattice", lambda: G.lattice(G.bounds(V.kept(s, d)), 50))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    n = V.bins(s, d).join(V.modules(s, d).where("module >= 0"), "feature").groupBy("gx", "gy", F.col("module").alias("feature")).agg(F.sum("n").alias("n"))
+    layers = V.once(s, "layers", lambda: lattice.join(n, ["gx", "gy"]).select("gx", "gy", "feature", (F.col("n") / area).alias("v")))
+    found = [A.layer_similarity(layers, lattice, m).select(F.lit(m).alias("method"), "a", "b", "value") for m in ("jaccard", "pearson", "spearman", "cosine")]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 _SIGN = "CASE WHEN substr(md5(concat_ws('|', 1, {})), 1, 1) IN ('1','3','5','7','9','b','d','f') THEN 1.0 ELSE -1.0 END"
 _LSH = "WITH sd AS (SELECT feature, t, k, CASE WHEN round(sum(z * " + _SIGN.format("t, k, gx, gy") + "), 9) >= 0 THEN 1 ELSE 0 END AS side FROM z, range(0, 4) a(t), range(0, 8) b(k) GROUP BY ALL), sg AS (SELECT feature, CAST(t AS INTEGER) AS \"table\", CAST(sum(side * (1 << k)) AS BIGINT) AS signature FROM sd GROUP BY feature, t) "
 

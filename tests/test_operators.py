@@ -8,6 +8,7 @@ from tesselark.functions import testing
 from tesselark.operators import association as A
 from tesselark.operators import benchmark as B
 from tesselark.operators import graph as K
+from tesselark.operators import grid as G
 from tesselark.operators import weights as W
 from tesselark.plans import catalog
 
@@ -57,6 +58,40 @@ def test_distribution_functions(spark):
     assert r.p == pytest.approx(0.05, abs=1e-6) and r.q == pytest.approx(0.05, abs=1e-3) and r.f == pytest.approx(17 / 70)
 
 
+def test_permuted_tiles_keep_their_inner_order(spark):
+    """Brute force: every draw is the tiles' bins, one tile after the other, laid on the bins by gy, then gx."""
+    bins = [(x, y) for y in range(1, 6) for x in range(1, 5) if (x, y) != (2, 3)]
+    z = spark.createDataFrame([(x, y, "a", float(10 * y + x)) for x, y in bins], "gx int, gy int, feature string, z double")
+    tile = lambda x, y: ((y - 1) // 2, (x - 1) // 2)
+    rows = A.permuted(z, 6, 1, side=2).collect()
+    seen = set()
+    for draw in range(1, 7):
+        at = {(r.gx, r.gy): (int(r.z) % 10, int(r.z) // 10) for r in rows if r.draw == draw}
+        moved = [at[b] for b in bins]
+        order = list(dict.fromkeys(tile(*b) for b in moved))
+        assert moved == [b for t in order for b in bins if tile(*b) == t] and len(order) == 6
+        seen.add(tuple(order))
+    assert len(seen) > 1
+    assert A.permuted(z.limit(0), 2, 1, side=2).count() == 0
+
+
+def test_layers(spark):
+    bins = grid3(spark)
+    rows = [(1, y, "p", 2.0) for y in (1, 2, 3)] + [(1, y, "q", 1.0) for y in (1, 2)] + [(2, 1, "q", 1.0), (1, 1, "few", 5.0), (1, 1, "q2", None)]
+    layers = spark.createDataFrame(rows, "gx int, gy int, feature string, v double")
+    got = {m: [(r.a, r.b, round(r.value, 6)) for r in A.layer_similarity(layers, bins, m, fewest=2).collect()] for m in ("jaccard", "pearson", "spearman", "cosine")}
+    assert got == {"jaccard": [("p", "q", 0.5)], "pearson": [("p", "q", 0.5)], "spearman": [("p", "q", 0.5)], "cosine": [("p", "q", 0.5)]}
+    assert [(r.a, r.b, round(r.value, 6)) for r in A.layer_similarity(layers, bins, "cosine", scaled=False, fewest=2).collect()] == [("p", "q", round(2 / 3, 6))]
+    assert A.layer_similarity(layers.limit(0), bins, "jaccard").count() == 0
+
+
+def test_top_features(spark):
+    c = spark.createDataFrame([(1, 1, "a", 4), (1, 2, "b", 2), (2, 1, "b", 2), (2, 2, "c", 5), (2, 2, "d", 4)], "gx int, gy int, feature string, n long")
+    names = lambda by: [r.feature for r in G.top_features(c, 2, by).collect()]
+    assert names("mean") == ["c", "a"] and names("variance") == ["c", "a"] and names("presence") == ["b", "a"]
+    assert names("random") == names("random") and len(set(names("random"))) == 2
+
+
 def test_permutations_take_all_pairs(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalog, "ALL_DRAWS", 20)
     got = catalog.QUERIES["association_permuted_all"](spark, sf_dir).toPandas()
