@@ -41,8 +41,15 @@ def storey(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     return raw.drop("_b", "_pi")
 
 
-def smoothed_p(exceed: Column, draws: int, mode: str = "disc") -> Column:
-    """A permutation p-value from the number of draws at least as extreme."""
+def hashed_uniform(seed: int, *keys: str) -> Column:
+    """A number in [0, 1) from a hash of seed and keys, the same in every run."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys)), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def smoothed_p(exceed: Column, draws: int, mode: str = "disc", u: Column | None = None) -> Column:
+    """A permutation p-value from the number of draws at least as extreme; "uniform" adds u, in [0, 1), to the number."""
+    if mode == "uniform":
+        return (exceed + u) / (draws + 1)
     return {"disc": (exceed + 1) / (draws + 1), "beta": (exceed + 1) / (draws + 2), "mid": (exceed + 0.5) / (draws + 1)}[mode]
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselark.functions import testing
+
 
 def key_pair(a: str, b: str):
     return F.least(a, b), F.greatest(a, b)
@@ -114,6 +116,57 @@ def module_null(modules: DataFrame, background: DataFrame, reference: DataFrame,
     return j.groupBy("module", "obs").agg(((F.sum((F.round("v", 9) >= F.round("obs", 9)).cast("long")) + 1) / (F.count("*") + 1)).alias("p"), F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_sd"))
 
 
+# Fixed values.
+STATUS = {
+    "n_pairs_total_zero": "skipped",
+    "n_random_nonpositive": "null_insufficient",
+    "cross_edge_space_too_small": "null_insufficient",
+    "valid_null_draws_lt_min": "null_insufficient",
+}
+
+
+def module_enrichment(modules: DataFrame, background: DataFrame, reference: DataFrame, draws: int, least: float = 700, fewest: int | None = None, seed: int = 1) -> DataFrame:
+    """Per method and module (method, module, feature; negative modules are none): pairs, mean score and strong share of its pairs, and both
+    against draws of as many pairs of a member with a background feature outside: null mean and deviation, delta, p, and q (BH within a method).
+
+    Unscored pairs count as 0. Modules without pairs are "skipped"; with no draws, fewer than ``fewest`` (four fifths of ``draws``) or fewer pairs
+    outward than inward they are "null_insufficient", without p; status_reason says why. Ties of hashes go by names.
+    """
+    key = ["method", "module"]
+    fewest = draws * 4 // 5 if fewest is None else fewest
+    m = modules.where("module >= 0 AND feature IS NOT NULL").select(*key, "feature").distinct()
+    x, y = key_pair("p", "q")
+    best = reference.groupBy(x.alias("a"), y.alias("b")).agg(F.max("score").cast("double").alias("s"))
+    means = [F.avg(F.coalesce("s", F.lit(0.0))).alias("mean"), F.avg(F.when(F.col("s") >= least, 1.0).otherwise(0.0)).alias("strong")]
+    inside = m.withColumnRenamed("feature", "a").join(m.withColumnRenamed("feature", "b"), key).where("a < b").join(best, ["a", "b"], "left").groupBy(*key).agg(F.count("*").alias("pairs"), *means)
+    # What is outside is a number, so no pair is made to count it.
+    known = background.select(F.col("feature").alias("other")).where("other IS NOT NULL").distinct()
+    own = m.join(known.withColumnRenamed("other", "feature"), "feature", "left_semi").groupBy(*key).agg(F.count("*").alias("own"))
+    size = m.groupBy(*key).agg(F.count("*").alias("k")).join(own, key, "left").crossJoin(F.broadcast(known.agg(F.count("*").alias("all"))))
+    facts = size.join(inside, key, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0).cast("long")))
+    room = F.col("k") * (F.col("all") - F.coalesce("own", F.lit(0)))
+    reason = F.when(F.col("pairs") == 0, "n_pairs_total_zero").when(F.lit(draws <= 0), "n_random_nonpositive")
+    reason = reason.when(room < F.col("pairs"), "cross_edge_space_too_small").when(F.lit(draws < fewest), "valid_null_draws_lt_min")
+    facts = facts.withColumn("status_reason", reason).select(*key, "pairs", "mean", "strong", "status_reason")
+    good = facts.where("status_reason IS NULL").select(*key, "pairs", "mean", "strong")
+    outside = m.join(good.select(*key, "pairs"), key).crossJoin(known).join(m.withColumnRenamed("feature", "other"), [*key, "other"], "left_anti")
+    many = outside.crossJoin(modules.sparkSession.range(1, max(draws, 0) + 1).withColumnRenamed("id", "draw"))
+    rank = F.row_number().over(Window.partitionBy(*key, "draw").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "draw", *key, "feature", "other")), "feature", "other"))
+    u, v = key_pair("feature", "other")
+    drawn = many.withColumn("k", rank).where("k <= pairs").withColumn("a", u).withColumn("b", v).join(best, ["a", "b"], "left")
+    null = drawn.groupBy(*key, "draw").agg(*means).toDF(*key, "draw", "v_mean", "v_strong").join(good, key)
+    stats = []
+    for c in ("mean", "strong"):
+        v = F.col(f"v_{c}")
+        exceed = F.sum((F.round(v, 9) >= F.round(c, 9)).cast("long"))
+        stats += [((exceed + 1) / (F.count("*") + 1)).alias(f"p_{c}"), F.avg(v).alias(f"null_{c}"), F.stddev_samp(v).alias(f"sd_{c}")]
+    full = facts.join(null.groupBy(*key).agg(*stats), key, "left")
+    for c in ("mean", "strong"):
+        full = testing.adjust(full.withColumn(f"delta_{c}", F.col(c) - F.col(f"null_{c}")), f"p_{c}", f"q_{c}", by=["method"])
+    status = F.coalesce(*[F.when(F.col("status_reason") == r, s) for r, s in STATUS.items()], F.lit("ok"))
+    return full.withColumn("status", status)
+
+
 def quantile_normalise(edges: DataFrame, places: int = 1000) -> DataFrame:
     """Weights of methods brought to one distribution: the mean over methods of their quantiles at evenly spaced probabilities.
 

@@ -138,6 +138,18 @@ def density_by_bin_share(s, d):
     return G.density(V.bin_counts(s, d), G.lattice(p, 50), FEATURES, "bin")
 
 
+def _densities(normalise: str, value: str, source: str) -> None:
+    @query("SELECT gx, gy, " + r6(density="coalesce(v, 0) / 2500.0") + f" FROM lat LEFT JOIN (SELECT gx, gy, sum(v) AS v FROM (SELECT gx, gy, feature, {value} AS v FROM cnt) WHERE feature IN ('Brand#11', 'Brand#23', 'Brand#4') GROUP BY ALL) USING (gx, gy)")
+    def f(s, d):
+        return G.density(V.bins(s, d), G.lattice(G.bounds(V.kept(s, d)), 50), FEATURES, normalise)
+
+    QUERIES[source], SQL[source] = QUERIES.pop("f"), SQL.pop("f")
+
+
+_densities("none", "n", "density_plain")
+_densities("feature", "n / sum(n) OVER (PARTITION BY feature)", "density_by_feature_share")
+
+
 @query("SELECT feature, " + r6(pct="count(*) * 100.0 / (SELECT count(*) FROM bins)") + " FROM cnt GROUP BY feature")
 def feature_coverage(s, d):
     return G.coverage(V.bins(s, d))

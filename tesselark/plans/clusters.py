@@ -90,6 +90,17 @@ def delta_permuted_tiles(s, d):
     return _tile_counts(s, d, C._delta(s, d))
 
 
+_U = "CAST(CAST('0x' || substr(md5(concat_ws('|', 1, a, b)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+
+
+@query(C._PERM + "SELECT a, b, " + r6(p_disc=f"(exceed + 1) / {C.DRAWS + 1}.0", p_beta=f"(exceed + 1) / {C.DRAWS + 2}.0", p_mid=f"(exceed + 0.5) / {C.DRAWS + 1}.0", p_uniform=f"(exceed + {_U}) / {C.DRAWS + 1}.0") + " FROM ex")
+def association_p_modes(s, d):
+    z, w = C._z_w(s, d)
+    chosen = C._assoc(s, d).where((F.col("a") < F.col("b")) & F.col("a").isin(C.FEATURES))
+    modes = [testing.smoothed_p(F.col("exceed"), C.DRAWS, m, testing.hashed_uniform(1, "a", "b")).alias(f"p_{m}") for m in ("disc", "beta", "mid", "uniform")]
+    return A.permutation_counts(z, w, chosen, C.DRAWS).select("a", "b", *modes)
+
+
 _LAYERS = """WITH dn AS (SELECT gx, gy, module, coalesce(n, 0) / 2500.0 AS v FROM lat CROSS JOIN (SELECT DISTINCT module FROM mods) LEFT JOIN (SELECT gx, gy, module, sum(n) AS n FROM cnt JOIN mods USING (feature) GROUP BY ALL) USING (gx, gy, module)),
 zz AS (SELECT gx, gy, module AS f, CASE WHEN stddev_samp(v) OVER g > 1e-12 THEN (v - avg(v) OVER g) / stddev_samp(v) OVER g ELSE 0 END AS v FROM dn WINDOW g AS (PARTITION BY module)),
 sz AS (SELECT f, count(*) AS k FROM zz WHERE round(v, 9) > 0 GROUP BY f HAVING count(*) >= 5),
@@ -274,6 +285,30 @@ def within_between_sign_flips(s, d):
 # ---- scoring -------------------------------------------------------------------------------------------------------------
 
 
+_NULLS = ("mean", "strong")
+_ENRICHED = f"""WITH mm AS (SELECT 'm1' AS method, module, feature FROM mods UNION ALL SELECT 'm2', label, feature FROM runlabels WHERE run = 1 UNION ALL SELECT 'm3', 0, 'Brand#11'),
+wt AS (SELECT x.method, x.module, count(*) AS pairs, avg(coalesce(score, 0)) AS mean, avg(CASE WHEN score >= 700 THEN 1.0 ELSE 0.0 END) AS strong FROM mm x JOIN mm y ON x.method = y.method AND x.module = y.module AND x.feature < y.feature LEFT JOIN inter ON p = x.feature AND q = y.feature GROUP BY ALL),
+os AS (SELECT mm.method, mm.module, mm.feature, g.feature AS other FROM mm, brands g WHERE NOT EXISTS (SELECT 1 FROM mm o WHERE o.method = mm.method AND o.module = mm.module AND o.feature = g.feature)),
+rm AS (SELECT method, module, count(*) AS room FROM os GROUP BY ALL),
+fa AS (SELECT method, module, coalesce(pairs, 0) AS pairs, mean, strong, CASE WHEN pairs IS NULL THEN 'n_pairs_total_zero' WHEN coalesce(room, 0) < pairs THEN 'cross_edge_space_too_small' END AS status_reason FROM (SELECT DISTINCT method, module FROM mm) LEFT JOIN wt USING (method, module) LEFT JOIN rm USING (method, module)),
+dr AS (SELECT os.*, draw, row_number() OVER (PARTITION BY method, module, draw ORDER BY md5(concat_ws('|', 1, draw, method, module, feature, other)), feature, other) AS k FROM os, range(1, {C.TILE_DRAWS + 1}) t(draw)),
+nl AS (SELECT dr.method, dr.module, draw, avg(coalesce(score, 0)) AS v_mean, avg(CASE WHEN score >= 700 THEN 1.0 ELSE 0.0 END) AS v_strong FROM dr JOIN fa ON fa.method = dr.method AND fa.module = dr.module AND fa.status_reason IS NULL AND k <= fa.pairs LEFT JOIN inter ON p = least(feature, other) AND q = greatest(feature, other) GROUP BY ALL),
+st AS (SELECT method, module, """ + ", ".join(f"(count(*) FILTER (round(v_{c}, 9) >= round({c}, 9)) + 1) / (count(*) + 1) AS p_{c}, avg(v_{c}) AS null_{c}, stddev_samp(v_{c}) AS sd_{c}" for c in _NULLS) + """ FROM nl JOIN fa USING (method, module) GROUP BY method, module),
+al AS (SELECT *, """ + ", ".join(f"count(p_{c}) OVER (PARTITION BY method) AS m_{c}, count(p_{c}) OVER (PARTITION BY method ORDER BY p_{c}) AS r_{c}" for c in _NULLS) + """ FROM fa LEFT JOIN st USING (method, module))
+SELECT method, CAST(module AS INTEGER) AS module, pairs, status_reason, CASE WHEN status_reason IS NULL THEN 'ok' WHEN status_reason = 'n_pairs_total_zero' THEN 'skipped' ELSE 'null_insufficient' END AS status, """ + r6(
+    **{c: c for c in _NULLS}, **{f"{x}_{c}": f"{x}_{c}" for x in ("p", "null", "sd") for c in _NULLS}, **{f"delta_{c}": f"{c} - null_{c}" for c in _NULLS},
+    **{f"q_{c}": f"CASE WHEN p_{c} IS NOT NULL THEN least(1.0, min(p_{c} * m_{c} / r_{c}) OVER (PARTITION BY method ORDER BY p_{c} DESC RANGE UNBOUNDED PRECEDING)) END" for c in _NULLS}
+) + " FROM al"
+
+
+@query(_ENRICHED)
+def module_enrichment(s, d):
+    one = V.modules(s, d).where("module >= 0").select(F.lit("m1").alias("method"), "module", "feature")
+    two = V.labels(s, d).where("run = 1").select(F.lit("m2").alias("method"), F.col("label").alias("module"), "feature")
+    all_of = one.union(two).union(s.createDataFrame([("m3", 0, "Brand#11")], "method string, module int, feature string"))
+    return B.module_enrichment(all_of, V.brands(s, d), V.interactions(s, d), C.TILE_DRAWS)
+
+
 @query("WITH f AS (SELECT method, a, b, weight, score, row_number() OVER (PARTITION BY method ORDER BY weight DESC, a, b) AS k FROM lab), g AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY weight DESC, a, b) AS j FROM f WHERE k <= 160 AND score IS NOT NULL QUALIFY j <= 80), h AS (SELECT *, 80 - count(*) OVER (PARTITION BY method) AS lack FROM g) SELECT method, a, b, score, CAST(lack AS BIGINT) AS shortfall, CASE WHEN lack = 0 THEN 'ok' ELSE 'insufficient_mappable_edges' END AS status, " + r6(weight="weight") + " FROM h")
 def edges_refilled(s, d):
     return B.refill(C._labelled(s, d), 80, 2).select("method", "a", "b", "weight", "score", "shortfall", "status")

@@ -51,6 +51,16 @@ def file_matrix_market(s, d):
     return readers.matrix_market(s, path)
 
 
+@query("SELECT CAST(cell AS VARCHAR) AS barcode, feature, CAST(n AS DOUBLE) AS n FROM cellcnt")
+def file_coordinates(s, d):
+    path = scratch(s, "coordinates")
+    cells = V.cells(s, d)
+    # The wrong way round, with rows that say nothing.
+    rows = cells.select(F.col("cell").cast("string").alias("Row"), F.col("feature").alias("col"), F.col("n").cast("double").alias("value"))
+    rows.union(s.createDataFrame([("1", None, 2.0), (None, "Brand#11", 2.0), ("1", "none", 0.0)], rows.schema)).write.parquet(path)
+    return readers.coordinates(s, path, V.table(s, d, "orders").select(F.col("o_custkey").alias("barcode")))
+
+
 @query("SELECT CAST(cell % 7 AS VARCHAR) || '_' || CAST(cell // 7 AS VARCHAR) AS cell, feature, CAST(n AS DOUBLE) AS n FROM cellcnt")
 def file_wide_counts(s, d):
     path = scratch(s, "wide")

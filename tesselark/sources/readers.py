@@ -189,6 +189,27 @@ def matrix_market(spark: SparkSession, folder: str, spots: DataFrame | None = No
     return kept.where("n <> 0").join(features, "row").join(barcodes, "col").groupBy("barcode", "feature").agg(F.sum("n").alias("n"))
 
 
+# Names that columns of coordinate tables go by.
+COORDINATE_NAMES = {"feature": ["gene", "feature_name", "row", "i"], "barcode": ["cell", "cell_id", "column", "col", "j"], "n": ["count", "value", "data", "x"]}
+
+
+def coordinates(spark: SparkSession, path: str, cells: DataFrame | None = None) -> DataFrame:
+    """Counts (barcode, feature, n) of a matrix as Parquet rows of row, column and value, under any of their known names.
+
+    With known ``cells`` (barcode), the matrix is turned where more of them are among its rows than among its columns, and only theirs are
+    kept. Null names or values and zeros are left out; values of one place are added.
+    """
+    t = renamed(spark.read.parquet(path), COORDINATE_NAMES)
+    t = t.select(F.col("barcode").cast("string"), F.col("feature").cast("string"), number("n").alias("n"))
+    if cells is not None:
+        known = cells.select(F.col("barcode").cast("string")).distinct()
+        across, down = (t.select(F.col(c).alias("barcode")).distinct().join(known, "barcode", "left_semi").count() for c in ("barcode", "feature"))
+        if down > across:
+            t = t.select(F.col("feature").alias("barcode"), F.col("barcode").alias("feature"), "n")
+        t = t.join(known, "barcode", "left_semi")
+    return t.where("barcode IS NOT NULL AND feature IS NOT NULL AND n <> 0").groupBy("barcode", "feature").agg(F.sum("n").alias("n"))
+
+
 def cell_counts(counts: DataFrame, cells: DataFrame, keep: list[str] | None = None, exclude: str | None = None) -> DataFrame:
     """Counts of known cells, of listed features, without those whose name fits a pattern."""
     out = counts.join(cells.select("cell").distinct(), "cell", "left_semi")

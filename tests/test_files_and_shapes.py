@@ -160,3 +160,12 @@ def test_outline(spark, tmp_path):
 def test_module_numbers(spark):
     d = spark.createDataFrame([(" 7",), ("mod12",), ("x",), (None,), ("-1",)], "m string")
     assert [r[0] for r in d.select(readers.module_number("m")).collect()] == [7, 12, None, None, -1]
+
+
+def test_coordinates_either_way(spark, tmp_path):
+    rows = [("c1", "g1", 2.0), ("c1", "g1", 1.0), ("c2", "g2", 4.0), ("c3", "g1", 0.0), (None, "g1", 3.0), ("c2", None, 3.0), ("c2", "g3", None)]
+    cells = spark.createDataFrame([("c1",), ("c2",), ("c9",)], "barcode string")
+    for k, names in enumerate((["Barcode", "gene", "count"], ["i", "j", "x"])):
+        path = str(tmp_path / str(k))
+        spark.createDataFrame(rows, "u string, v string, w double").toDF(*names).write.parquet(path)
+        assert sorted(map(tuple, readers.coordinates(spark, path, cells).collect())) == [("c1", "g1", 3.0), ("c2", "g2", 4.0)]

@@ -85,6 +85,23 @@ def test_layers(spark):
     assert A.layer_similarity(layers.limit(0), bins, "jaccard").count() == 0
 
 
+def test_module_enrichment_says_why(spark):
+    """One module whose pair scores best of all, one with a single member, one with too little outside, and odd rows."""
+    rows = [("m", 0, "a"), ("m", 0, "b"), ("m", 0, "b"), ("m", 1, "c"), ("m", -1, "d"), ("m", 2, None), ("n", 0, "a"), ("n", 0, "b"), ("n", 0, "c"), ("n", 0, "d"), ("n", 0, "e")]
+    modules = spark.createDataFrame(rows, "method string, module int, feature string")
+    known = spark.createDataFrame([(f,) for f in "abcdef"] + [(None,)], "feature string")
+    scores = spark.createDataFrame([("b", "a", 900), ("a", "c", 100), ("a", "b", 800)], "p string, q string, score int")
+    got = {(r.method, r.module): r for r in B.module_enrichment(modules, known, scores, 50).collect()}
+    assert {k: (r.status, r.status_reason) for k, r in got.items()} == {("m", 0): ("ok", None), ("m", 1): ("skipped", "n_pairs_total_zero"), ("n", 0): ("null_insufficient", "cross_edge_space_too_small")}
+    best = got["m", 0]
+    assert (best.mean, best.strong, best.p_mean, best.q_mean) == (900, 1, pytest.approx(1 / 51), pytest.approx(1 / 51)) and best.null_mean <= 100
+    assert got["n", 0].p_mean is None and got["n", 0].pairs == 10
+    for draws, fewest, reason in ((0, None, "n_random_nonpositive"), (5, 6, "valid_null_draws_lt_min")):
+        why = {(r.method, r.module): r.status_reason for r in B.module_enrichment(modules, known, scores, draws, fewest=fewest).collect()}
+        assert why["m", 0] == reason and why["m", 1] == "n_pairs_total_zero"
+    assert B.module_enrichment(modules.limit(0), known, scores, 3).count() == 0
+
+
 def test_top_features(spark):
     c = spark.createDataFrame([(1, 1, "a", 4), (1, 2, "b", 2), (2, 1, "b", 2), (2, 2, "c", 5), (2, 2, "d", 4)], "gx int, gy int, feature string, n long")
     names = lambda by: [r.feature for r in G.top_features(c, 2, by).collect()]
