@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where it can express them."""
+"""The operators as queries over whole tables, and their SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, images, langid, mixing, neighbours, pii, secrets, simhash, substrings, urlfilter
+from . import bpe, codes, decontaminate, hardneg, images, langid, mixing, neighbours, pii, secrets, simhash, substrings, urlfilter
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,9 +57,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one first."""
+    rows = hardneg.from_table(_table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), positives=5, negatives=5, every=100, share=(80, 100))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_url_filter, op3_pii, op4_image_copies, op5_neighbours, op6_simhash, op7_secrets, op8_bpe, op9_repeats, op10_language)
+    for f in (op1_mix_sources, op2_url_filter, op3_pii, op4_image_copies, op5_neighbours, op6_simhash, op7_secrets, op8_bpe, op9_repeats, op10_language, op11_hard_negatives, op12_decontaminate, op13_vector_codes)
 }
 
-SQL = {"op2_url_filter": urlfilter.oracle_sql()}
+SQL = {"op2_url_filter": urlfilter.oracle_sql(), "op11_hard_negatives": hardneg.ORACLE_SQL, "op12_decontaminate": decontaminate.oracle_sql(), "op13_vector_codes": codes.oracle_sql()}
