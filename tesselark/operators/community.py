@@ -186,56 +186,6 @@ def hierarchical(edges: DataFrame, k: int, fewest: int = 1) -> DataFrame:
     return edges.sparkSession.createDataFrame([(v, first[g]) for v, g in zip(names, group.tolist())], "feature string, module int")
 
 
-def _forest(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values(["weight", "a", "b"], ascending=[False, True, True])
-    root: dict[str, str] = {}
-
-    def find(v: str) -> str:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    keep = []
-    for x, y in zip(f.a, f.b):
-        p, q = find(x), find(y)
-        keep.append(p != q)
-        if p != q:
-            root[p] = q
-    return f[np.array(keep, bool)] if len(f) else f
-
-
-def spanning_forest(edges: DataFrame, modules: DataFrame | None = None) -> DataFrame:
-    """The forest of greatest weights (of each module, if given): (module, a, b, weight).
-
-    Every task first drops what its own edges make superfluous, so a module's last step sees at most one forest from each task.
-    """
-    e = edges.select(F.lit(0).alias("module"), "a", "b", "weight") if modules is None else (
-        edges.join(modules.toDF("a", "module"), "a").join(modules.toDF("b", "other"), "b").where("module = other").select("module", "a", "b", "weight")
-    )
-    schema = e.schema
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame()
-        for f in frames:
-            held = pd.concat([held, f])
-            held = pd.concat([_forest(g) for _, g in held.groupby("module")] or [held])
-        if len(held):
-            yield held
-
-    return e.mapInPandas(partial, schema).groupBy("module").applyInPandas(_forest, schema)
-
-
-def bridges(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    """The strongest edge of each two modules, of which the forest between modules keeps some: (a, b, weight, ma, mb)."""
-    e = edges.join(modules.toDF("a", "ma"), "a").join(modules.toDF("b", "mb"), "b").where("ma <> mb")
-    top = e.groupBy(F.least("ma", "mb").alias("p"), F.greatest("ma", "mb").alias("q")).agg(F.min(F.struct((-F.col("weight")).alias("n"), "a", "b")).alias("t"))
-    best = top.select("p", "q", (-F.col("t.n")).alias("weight"), F.col("t.a").alias("x"), F.col("t.b").alias("y"))
-    tree = spanning_forest(best.select(F.col("p").cast("string").alias("a"), F.col("q").cast("string").alias("b"), "weight"))
-    kept = best.join(tree.select(F.col("a").cast("int").alias("p"), F.col("b").cast("int").alias("q")), ["p", "q"], "left_semi")
-    return kept.select(F.col("x").alias("a"), F.col("y").alias("b"), "weight", F.col("p").alias("ma"), F.col("q").alias("mb"))
-
-
 def rewired(edges: DataFrame, draws: int, swaps: int = 10, seed: int = 1) -> DataFrame:
     """Graphs (draw, a, b, weight) with every feature's number of edges kept: ends of random pairs of edges are swapped,
     ``swaps`` tries an edge; weights stay with their edges' places. One draw is one task's work."""

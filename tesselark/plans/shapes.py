@@ -180,21 +180,6 @@ def partition_second_stage(s, d):
     return M.repartitioned(_graph(s, d), V.modules(s, d).where("module >= 0"), 10, 0.5)
 
 
-@query()
-def spanning_forest(s, d):
-    return M.spanning_forest(C.rounded(_graph(s, d)))
-
-
-@query()
-def spanning_forest_by_module(s, d):
-    return M.spanning_forest(C.rounded(_graph(s, d)), V.modules(s, d).where("module >= 0"))
-
-
-@query()
-def module_bridges(s, d):
-    return M.bridges(C.rounded(_graph(s, d)), V.modules(s, d).where("module >= 0"))
-
-
 @query()
 def rewired_null(s, d):
     return M.rewired(K.threshold_graph(C._assoc(s, d), 0.05).select("a", "b", "weight"), 5)

@@ -101,21 +101,6 @@ def test_second_stage_parts(spark):
     assert got["x1"] == got["x4"] != got["y1"] and got["alone"] is None
 
 
-def test_spanning_forest_by_brute_force(spark):
-    r = np.random.default_rng(4)
-    rows = sorted({(f"n{min(p)}", f"n{max(p)}"): float(round(r.random(), 2)) for p in r.integers(0, 30, (120, 2)).tolist() if p[0] != p[1]}.items())
-    rows = [(a, b, w) for (a, b), w in rows]
-    root = {v: v for t in rows for v in t[:2]}
-    want = []
-    for a, b, w in sorted(rows, key=lambda t: (-t[2], t[0], t[1])):
-        if root[a] != root[b]:
-            want.append((a, b, w))
-            old = root[b]
-            root = {k: root[a] if v == old else v for k, v in root.items()}
-    got = M.spanning_forest(edges(spark, rows).repartition(4)).collect()
-    assert sorted((x.a, x.b, x.weight) for x in got) == sorted(want)
-
-
 def test_rewiring_keeps_degrees(spark):
     g = cliques(spark)
     count = lambda rows: sorted((v, sum(v in (x.a, x.b) for x in rows)) for v in {e for x in rows for e in (x.a, x.b)})
