@@ -1,24 +1,11 @@
-"""The course of one statistic over another: local regression, its bootstrap, bands, and knees of curves.
-
-A regression works on all pairs; on at most ``most`` of them, drawn by their hash, where the caller asks for it. Two
-numbers a pair are held on the driver and in each task, and the places of a fit are worked on in small groups.
-"""
+"""Pairs over another statistic: samples, strata, and knees of curves; the local regression is in ``regression``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Numbers (places times pairs) that a step of a regression holds.
-HELD = 1 << 22
-
-
 def downsample(pairs: DataFrame, most: int, share: float | None = None) -> DataFrame:
     """At most so many pairs, the same ones in every run; or a share of them, without a sort."""
     h = F.xxhash64("a", "b")
@@ -34,172 +21,6 @@ def strata(pairs: DataFrame, by: str = "r", n: int = 10) -> DataFrame:
     return pairs.crossJoin(F.broadcast(breaks)).withColumn("stratum", F.greatest(above, F.lit(1))).drop("br")
 
 
-def _near(x: np.ndarray, at: np.ndarray, span: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the indexes of the nearest points and their tricube weights (zero throughout if all coincide)."""
-    k = max(2, int(np.ceil(span * len(x))))
-    k = min(k, len(x), most) if most else min(k, len(x))
-    d = np.abs(at[:, None] - x[None, :])
-    idx = np.argpartition(d, k - 1, axis=1)[:, :k]
-    d = np.take_along_axis(d, idx, axis=1)
-    far = d.max(axis=1, keepdims=True)
-    w = np.where(far > 0, np.clip(1 - np.divide(d, far, out=np.zeros_like(d), where=far > 0) ** 3, 0, None) ** 3, 0)
-    return idx, w
-
-
-class Smoother:
-    """Local regression at fixed places as one linear map of the values; so every bootstrap draw is a product."""
-
-    def __init__(self, x: np.ndarray, at: np.ndarray, span: float = 0.45, degree: int = 1, most: int = 0):
-        self.map = np.zeros((len(at), len(x)))
-        self.weight = np.zeros_like(self.map)
-        if not len(x):
-            self.map[:] = np.nan
-            return
-        if len(x) < 3:
-            self.map[:] = 1 / len(x)
-            return
-        for start in range(0, len(at), 256):
-            part = at[start : start + 256]
-            idx, w = _near(x, part, span if span > 0 else 0.3, most)
-            total = w.sum(axis=1, keepdims=True)
-            flat = total[:, 0] <= 0
-            w0 = np.where(total > 0, w / np.where(total > 0, total, 1), 0)
-            c = np.where(flat[:, None], 1 / idx.shape[1], w0)
-            if degree:
-                xc = x[idx] - part[:, None]
-                s0, s1, s2 = total[:, 0], (w * xc).sum(axis=1), (w * xc * xc).sum(axis=1)
-                den = s0 * s2 - s1 * s1
-                ok = (np.abs(den) >= 1e-14) & ~flat
-                line = w * (s2[:, None] - s1[:, None] * xc) / np.where(ok, den, 1)[:, None]
-                c = np.where(ok[:, None], line, c)
-            rows = np.arange(start, start + len(part))[:, None]
-            self.map[rows, idx] = c
-            self.weight[rows, idx] = w0
-        self.at = at
-
-    def __call__(self, y: np.ndarray) -> np.ndarray:
-        return self.map @ y
-
-
-def quantile(v: np.ndarray, p: np.ndarray | float) -> np.ndarray:
-    """Quantiles at rank p (n + 1), linear between ranks, clamped at the ends; along the last axis."""
-    v = np.sort(v, axis=-1)
-    n = v.shape[-1]
-    h = np.clip(np.asarray(p, float) * (n + 1), 1, n)
-    low = np.minimum(np.floor(h).astype(int), max(n - 1, 1)) - 1
-    up = np.minimum(low + 1, n - 1)
-    low, up, h = (np.broadcast_to(np.asarray(t), v.shape[:-1]) for t in (low, up, h))
-    a, b = (np.take_along_axis(v, t[..., None], -1)[..., 0] for t in (low, up))
-    return a + (h - np.floor(np.minimum(h, n - 1 if n > 1 else 1))) * (b - a)
-
-
-def _sample(pairs: DataFrame, x: str, y: str, most: int) -> pd.DataFrame:
-    kept = pairs.where(f"{x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({x}) AND NOT isnan({y})")
-    kept = kept if most is None else downsample(kept, most)
-    return kept.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y")).orderBy("x", "a", "b").select("x", "y").toPandas()
-
-
-def _groups(at: np.ndarray, n: int) -> list[np.ndarray]:
-    """Places in groups that can be fitted over n pairs at once."""
-    step = max(1, HELD // max(1, n))
-    return [at[i : i + step] for i in range(0, len(at), step)]
-
-
-def _fitted(spark, s: pd.DataFrame, at: np.ndarray, span: float, degree: int, k_max: int) -> pd.DataFrame:
-    """For each place the fit, its own share (the weight of the pair at the place's number) and the sum and squares of the weights; places are spread over tasks."""
-    held = spark.sparkContext.broadcast((s.x.to_numpy(float), s.y.to_numpy(float), at))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xs, ys, places = held.value
-        for f in frames:
-            for ids in _groups(f["id"].to_numpy(), len(xs)):
-                m = Smoother(xs, places[ids], span, degree, k_max)
-                own = m.weight[np.arange(len(ids)), np.minimum(ids, len(xs) - 1)] if len(xs) else np.zeros(len(ids))
-                yield pd.DataFrame({"id": ids, "fit": m(ys), "own": own, "w": m.weight.sum(axis=1), "w2": (m.weight**2).sum(axis=1)})
-
-    return spark.range(len(at)).mapInPandas(run, "id long, fit double, own double, w double, w2 double").toPandas().sort_values("id", ignore_index=True)
-
-
-def loess(pairs: DataFrame, at: list[float], x: str = "r", y: str = "l", span: float = 0.45, degree: int = 1, k_max: int = 0, most: int | None = None) -> DataFrame:
-    """Local regression of y on x: rows (x, fit) at the places asked for; NaN everywhere without pairs."""
-    s = _sample(pairs, x, y, most)
-    fit = _fitted(pairs.sparkSession, s, np.asarray(at, float), span, degree, k_max)["fit"]
-    return pairs.sparkSession.createDataFrame(list(zip(map(float, at), map(float, fit))), "x double, fit double")
-
-
-def loess_facts(pairs: DataFrame, x: str = "r", y: str = "l", span: float = 0.45, degree: int = 1, k_max: int = 0, most: int | None = None) -> DataFrame:
-    """One row: n, effective degrees of freedom (sum of own kernel shares), residual variances and the residuals' median deviation."""
-    s = _sample(pairs, x, y, most)
-    xs, ys = s.x.to_numpy(float), s.y.to_numpy(float)
-    fit = _fitted(pairs.sparkSession, s, xs, span, degree, k_max)
-    res = ys - fit["fit"].to_numpy()
-    own = fit["own"].to_numpy().copy()
-    own[(fit["w"].to_numpy() == 0) & (len(xs) >= 3)] = 1
-    edf, n = float(own.sum()), len(xs)
-    ss = float((res**2).sum())
-    mad = float(1.4826 * np.median(np.abs(res - np.median(res)))) if n else None
-    row = (n, edf, ss / max(1, n - 1), ss / max(1.0, n - max(1.0, edf)), mad)
-    return pairs.sparkSession.createDataFrame([row], "n long, edf double, sigma2 double, sigma2_edf double, mad double")
-
-
-def loess_band(pairs: DataFrame, x: str = "r", y: str = "l", places: int = 1000, draws: int = 1000, span: float = 0.45, degree: int = 1, k_max: int = 0, level: float = 0.95, kind: str = "percentile", n_strata: int = 10, seed: int = 1, most: int | None = None) -> DataFrame:
-    """Curve (r, fit, lo, hi, w2) on an even grid, with a band from residuals redrawn within strata of x.
-
-    kind: percentile, basic (mirrored at the fit) or bc (bias corrected). Draws are spread over tasks, each seeded by its number.
-    """
-    spark = pairs.sparkSession
-    s = _sample(pairs, x, y, most)
-    xs, ys = s.x.to_numpy(float), s.y.to_numpy(float)
-    if len(xs) < 3:
-        return spark.createDataFrame([], "r double, fit double, lo double, hi double, w2 double")
-    at = np.linspace(xs.min(), xs.max(), places)
-    curve = _fitted(spark, s, at, span, degree, k_max)
-    seen = _fitted(spark, s, xs, span, degree, k_max)["fit"].to_numpy()
-    res = ys - seen
-    breaks = np.unique(np.quantile(xs, np.linspace(0, 1, n_strata + 1)))
-    group = np.clip(np.searchsorted(breaks, xs, "left") - 1, 0, max(0, len(breaks) - 2))
-    members = [np.flatnonzero(group == g) for g in np.unique(group)]
-    held = spark.sparkContext.broadcast((xs, seen, res, members))  # a few numbers a pair
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x0, base, rest, groups = held.value
-        for f in frames:
-            for draws_ in _groups(f["id"].to_numpy(), len(base)):  # a map is made once for the draws held
-                y2 = np.repeat(base[:, None], len(draws_), axis=1)
-                for k, draw in enumerate(draws_):
-                    rng = np.random.default_rng([seed, int(draw)])
-                    for g in groups:
-                        y2[g, k] += rest[rng.choice(g, len(g))]
-                fits = np.concatenate([Smoother(x0, part, span, degree, k_max)(y2) for part in _groups(at, len(x0))])
-                yield pd.DataFrame({"draw": draws_, "fit": list(fits.T)})
-
-    got = spark.range(draws).mapInPandas(run, "draw long, fit array<double>").orderBy("draw").toPandas()  # draws x places
-    boot = np.stack(got["fit"].to_numpy()).T
-    fit, alpha = curve["fit"].to_numpy(), 1 - level
-    lo, hi = quantile(boot, alpha / 2), quantile(boot, 1 - alpha / 2)
-    if kind == "basic":
-        lo, hi = 2 * fit - hi, 2 * fit - lo
-    elif kind == "bc":
-        normal = NormalDist()
-        z0 = np.array([normal.inv_cdf((c + 0.5) / (draws + 1)) for c in (boot < fit[:, None]).sum(axis=1)])
-        lo, hi = (quantile(boot, np.array([normal.cdf(2 * z + normal.inv_cdf(p)) for z in z0])) for p in (alpha / 2, 1 - alpha / 2))
-    w2 = curve["w2"].to_numpy()
-    return spark.createDataFrame(pd.DataFrame({"r": at, "fit": fit, "lo": lo, "hi": hi, "w2": w2}))
-
-
-def widen(curve: DataFrame, pairs: DataFrame, least: float = 0.0, neighbours: int = 200, factor: float = 1.0, most: int | None = None, x: str = "r", y: str = "l") -> DataFrame:
-    """A band at least ``least`` wide and, on each side, ``factor`` median deviations of the nearest pairs' residuals from the fit."""
-    s, c = _sample(pairs, x, y, most), curve.toPandas().sort_values("r")  # a curve has as many rows as places
-    xs, at = s.x.to_numpy(float), c["r"].to_numpy(float)
-    res = s.y.to_numpy(float) - np.interp(xs, at, c["fit"].to_numpy(float))
-    k = min(neighbours, len(xs))
-    near = np.concatenate([res[np.argpartition(np.abs(part[:, None] - xs[None, :]), k - 1, axis=1)[:, :k]] for part in _groups(at, len(xs))]) if k else np.zeros((len(at), 1))
-    mad = 1.4826 * np.median(np.abs(near - np.median(near, axis=1, keepdims=True)), axis=1)
-    side = np.maximum(least / 2, factor * mad)
-    c["lo"], c["hi"] = np.minimum(c["lo"], c["fit"] - side), np.maximum(c["hi"], c["fit"] + side)
-    return curve.sparkSession.createDataFrame(c, curve.schema)
-
-
 def exceed_error(p: str, draws: int):
     """Monte Carlo standard error of a permutation's p."""
     return F.sqrt(F.col(p) * (1 - F.col(p)) / draws)

@@ -11,6 +11,7 @@ from tesselark.operators import community as M
 from tesselark.operators import curves as R
 from tesselark.operators import graph as K
 from tesselark.operators import grid as G
+from tesselark.operators import regression as L
 from tesselark.operators import weights as W
 from tesselark.plans import catalog as C
 from tesselark.plans import views as V
@@ -28,34 +29,40 @@ _FIT = (
 
 @query(_FIT + "SELECT " + r6(x="x0", fit="(t0 - (s0*t1 - s1*t0) / (s0*s2 - s1*s1) * s1) / s0") + " FROM ss")
 def loess_curve(s, d):
-    return R.loess(C._delta(s, d), _PLACES)
+    return L.loess(C._delta(s, d), _PLACES)
 
 
 @query(_FIT + "SELECT " + r6(x="x0", fit="t0 / s0") + " FROM ss")
 def loess_flat_curve(s, d):
-    return R.loess(C._delta(s, d), _PLACES, degree=0)
+    return L.loess(C._delta(s, d), _PLACES, degree=0)
 
 
 @query()
 def loess_band(s, d):
-    return R.loess_band(C._delta(s, d), places=200, draws=200)
+    return L.loess_band(C._delta(s, d), places=200, draws=200)
 
 
 @query()
 def loess_band_widened(s, d):
     pairs = C._delta(s, d)
-    return R.widen(R.loess_band(pairs, places=100, draws=100, kind="bc"), pairs, least=0.05)
+    return L.widen(L.loess_band(pairs, places=100, draws=100, kind="bc"), pairs, least=0.05)
 
 
-@query()
+@query(
+    _POINTS + "nn AS (SELECT p.a, p.b, p.y AS y0, q.x - p.x AS d, q.y FROM pt p CROSS JOIN pt q QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY abs(q.x - p.x)) <= greatest(2, ceil(0.45 * (SELECT count(*) FROM pt)))), "
+    "ww AS (SELECT a, b, y0, d, y, pow(greatest(0, 1 - pow(abs(d) / max(abs(d)) OVER (PARTITION BY a, b), 3)), 3) AS w FROM nn), "
+    "ss AS (SELECT a, b, y0, sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*y) AS t0, sum(w*d*y) AS t1 FROM ww GROUP BY a, b, y0), "
+    "rs AS (SELECT y0 - (t0 - (s0*t1 - s1*t0) / (s0*s2 - s1*s1) * s1) / s0 AS res, 1 / s0 AS own FROM ss), f AS (SELECT count(*) AS n, sum(own) AS edf, sum(res*res) AS q FROM rs) "
+    "SELECT n, " + r6(edf="edf", sigma2="q / (n - 1)", sigma2_edf="q / (n - edf)", mad="(SELECT 1.4826 * median(abs(res - (SELECT median(res) FROM rs))) FROM rs)") + " FROM f"
+)
 def loess_facts(s, d):
-    return R.loess_facts(C._delta(s, d))
+    return L.loess_facts(C._delta(s, d))
 
 
 @query()
 def delta_outside_band(s, d):
     pairs = C._delta(s, d)
-    return A.outside_curve(pairs, R.loess_band(pairs, places=200, draws=200, kind="basic").select("r", "lo", "hi"))
+    return A.outside_curve(pairs, L.loess_band(pairs, places=200, draws=200, kind="basic").select("r", "lo", "hi"))
 
 
 @query(_POINTS + "br AS (SELECT DISTINCT unnest(quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0])) AS q FROM pt), st AS (SELECT a, b, x, greatest(1, (SELECT count(*) FROM br WHERE q < x)) AS stratum FROM pt) SELECT CAST(stratum AS INTEGER) AS stratum, count(*) AS n FROM st GROUP BY 1")

@@ -35,39 +35,6 @@ def test_queries_agree_with_sql(spark, sf_dir, duck, name):
     assert key(got) == key(want)
 
 
-def test_quantile_and_smoother():
-    assert R.quantile(np.array([[4.0, 1, 3, 2]]), 0.5)[0] == 2.5
-    assert R.quantile(np.array([[4.0, 1, 3, 2]] * 2), np.array([0.0, 1.0])).tolist() == [1, 4] and R.quantile(np.array([[5.0]]), 0.3)[0] == 5
-    x = np.linspace(0, 1, 30)
-    assert R.Smoother(x, np.array([0.2, 0.9]))(3 * x + 1) == pytest.approx([1.6, 3.7])
-    assert R.Smoother(np.ones(5), np.array([1.0]), span=1)(np.arange(5.0)) == pytest.approx([2.0])  # all coincide: the mean
-    assert R.Smoother(np.array([1.0, 2.0]), np.array([9.0]))(np.array([1.0, 2.0])) == pytest.approx([1.5])
-
-
-def test_band_holds_the_fit_and_repeats(spark):
-    r = np.random.default_rng(2)
-    rows = [(f"g{i}", f"h{i}", float(x), float(x * 0.5 + r.normal(0, 0.1))) for i, x in enumerate(r.uniform(-1, 1, 200))]
-    pairs = spark.createDataFrame(rows, "a string, b string, r double, l double")
-    one, two = (R.loess_band(pairs, places=20, draws=50).toPandas() for _ in (0, 1))
-    assert one.equals(two) and ((one.lo <= one.fit) & (one.fit <= one.hi)).mean() > 0.9
-    assert R.loess_band(pairs.limit(0)).count() == 0
-    wide = R.widen(spark.createDataFrame(one), pairs, least=0.5).toPandas()
-    assert ((wide.hi - wide.lo) >= 0.5 - 1e-9).all()
-
-
-def test_regressions_take_all_pairs(spark):
-    r = np.random.default_rng(3)
-    x = np.sort(r.uniform(-1, 1, 6000))
-    y = np.sin(3 * x) + r.normal(0, 0.1, 6000)
-    pairs = spark.createDataFrame([(f"g{i}", "h", float(u), float(v)) for i, (u, v) in enumerate(zip(x, y))], "a string, b string, r double, l double")
-    at = [-0.5, 0.0, 0.7]
-    want = R.Smoother(x, np.array(at))(y)
-    assert [t.fit for t in R.loess(pairs, at).collect()] == pytest.approx(want.tolist(), abs=1e-9)
-    assert R.loess_facts(pairs).first().n == 6000 and R.loess_facts(pairs, most=500).first().n == 500
-    band = R.loess_band(pairs, places=5, draws=20).toPandas()
-    assert band.fit.to_numpy() == pytest.approx(R.Smoother(x, band.r.to_numpy())(y), abs=1e-9) and (band.lo < band.hi).all()
-
-
 def edges(spark, rows):
     return spark.createDataFrame(rows, "a string, b string, weight double")
 
