@@ -384,7 +384,7 @@ def widen(curve: DataFrame, pairs: DataFrame, least: float = 0.0, neighbours: in
         for i, x0, d in zip(asks["id"], asks["x0"], asks["d"]):
             near = rows.assign(id=i, off=(rows["x"] - x0).abs())
             found.append(near[near["off"] <= d].sort_values("off", kind="stable").head(k)[["id", "off", "x", "a", "b", "res"]])
-        return pd.concat(found, ignore_index=True)
+        return pd.concat(found, ignore_index=True).astype({"a": object, "b": object})
 
     def with_residual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
