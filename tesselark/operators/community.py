@@ -1,21 +1,26 @@
-"""Partitions of feature graphs: restarts as tasks, consensus, hierarchical clusters, spanning forests, rewired nulls.
+"""Partitions of feature graphs by local moving in rounds of joins, hierarchical clusters, rewired nulls.
 
-A graph of features is bounded by the vocabulary (not by the points): it is collected only up to MOST_EDGES edges,
-beyond which an error is raised. What grows with restarts and draws is spread over tasks.
+Only Ward's clusters collect a graph, of at most MOST_FEATURES features; more raise an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tesselark.operators.trees import components
+from tesselark.sources.files import materialised
 
 MOST_EDGES = 5_000_000
 #: Dense similarities are worked on for at most so many features.
 MOST_FEATURES = 5000
+#: Edges of a slot of a rewiring, on average.
+SLOT = 16
 
 
 def _local(edges: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -29,72 +34,90 @@ def _local(edges: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndar
     return names, lo[order], hi[order], e.weight.to_numpy(float)[order]
 
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int, resolution: float = 1.0, objective: str = "modularity") -> np.ndarray:
-    """Labels of n nodes: nodes move while that raises the objective (modularity, or cpm by node numbers), then groups become nodes."""
-    rng = np.random.default_rng(seed)
-    label, size = np.arange(n), np.ones(n)
-    links: list[dict[int, float]] = [{} for _ in range(n)]
-    loops = np.zeros(n)
-    for i, j, x in zip(a.tolist(), b.tolist(), w.tolist()):
-        links[i][j] = links[i].get(j, 0.0) + x
-        links[j][i] = links[j].get(i, 0.0) + x
-    total = float(w.sum())
-    while total > 0:
-        m = len(links)
-        degree = np.array([sum(v.values()) for v in links]) + 2 * loops
-        mass, rate = (degree, resolution / (2 * total)) if objective == "modularity" else (size, resolution)
-        group, held = np.arange(m), mass.copy()
-        moved, active = False, True
-        while active:
-            active = False
-            for i in rng.permutation(m).tolist():
-                near: dict[int, float] = {}
-                for j, x in links[i].items():
-                    near[group[j]] = near.get(group[j], 0.0) + x
-                own = group[i]
-                held[own] -= mass[i]
-                gain = lambda g: near.get(g, 0.0) - rate * mass[i] * held[g]  # noqa: E731, B023
-                best, most = own, gain(own)
-                for g in sorted(near):
-                    if gain(g) > most + 1e-12:
-                        best, most = g, gain(g)
-                held[best] += mass[i]
-                if best != own:
-                    group[i], active, moved = best, True, True
-        if not moved:
+def _best(adjacent: DataFrame, state: DataFrame) -> DataFrame:
+    """For every node its group of the greatest gain among its neighbours' and its own: (part, node, to, gains)."""
+    keys = ["part", "node"]
+    near = adjacent.join(state.select("part", F.col("node").alias("other"), "group"), ["part", "other"]).groupBy("part", "node", "group").agg(F.sum("weight").alias("w"))
+    held = state.groupBy("part", "group").agg(F.sum("mass").alias("held"), F.count("*").alias("size"))
+    options = near.union(state.select("part", "node", "group", F.lit(0.0))).groupBy("part", "node", "group").agg(F.sum("w").alias("w"))
+    gains = options.join(state.select("part", "node", F.col("group").alias("own"), "mass", "rate"), keys).join(held, ["part", "group"])
+    away = F.col("group") != F.col("own")
+    rest = F.col("held") - F.when(away, 0.0).otherwise(F.col("mass"))
+    gains = gains.withColumn("gain", F.round(F.col("w") - F.col("rate") * F.col("mass") * rest, 12))
+    best = F.min(F.struct((-F.col("gain")).alias("n"), away.alias("away"), F.col("group").alias("to"), "size")).alias("b")
+    stay = F.max(F.when(~away, F.struct("gain", F.col("size").alias("size"), F.col("group").alias("own")))).alias("s")
+    # Of two nodes that are groups by themselves only the one of the greater name goes to the other, else they would trade places.
+    trade = (F.col("b.size") == 1) & (F.col("s.size") == 1) & (F.col("b.to") > F.col("s.own"))
+    return gains.groupBy("part", "node").agg(best, stay).select("part", "node", F.col("b.to").alias("to"), ((-F.col("b.n") > F.col("s.gain") + 1e-12) & ~trade).alias("gains"))
+
+
+def _moved(adjacent: DataFrame, state: DataFrame, seed: int, most: int, loose: int = 8) -> DataFrame:
+    """Local moving: nodes take the group of the greatest gain, round by round, until none gains.
+
+    adjacent: (part, node, other, weight) both ways; state: (part, node, group, mass, rate). In the first ``loose`` rounds a half of the nodes,
+    by hash, moves at once. Then, of neighbours that would both move, only that of the greater hash does, so that no two neighbours move in a round.
+    It ends after ``most`` rounds, should nodes still gain then.
+    """
+    keys = ["part", "node"]
+    for step in range(most):
+        turn = F.xxhash64("part", "node", F.lit(step), F.lit(seed))
+        best = materialised(_best(adjacent, state).where("gains").select("part", "node", "to", turn.alias("turn")), "movers")
+        if not best.limit(1).count():
             break
-        _, dense = np.unique(group, return_inverse=True)
-        label = dense[label]
-        k = dense.max() + 1
-        merged: list[dict[int, float]] = [{} for _ in range(k)]
-        inner = np.zeros(k)
-        np.add.at(inner, dense, loops)
-        for i, v in enumerate(links):
-            for j, x in v.items():
-                if dense[i] == dense[j]:
-                    inner[dense[i]] += x / 2
-                else:
-                    merged[dense[i]][dense[j]] = merged[dense[i]].get(dense[j], 0.0) + x
-        size = np.bincount(dense, size, k)
-        links, loops = merged, inner
-    # Labels from 1, in the order of their first members.
-    first = {g: r for r, g in enumerate(dict.fromkeys(label.tolist()), 1)}
-    return np.array([first[g] for g in label.tolist()], int)
+        if step < loose:
+            go = best.where(F.col("turn") % 2 == 0)
+        else:
+            rival = best.select("part", F.col("node").alias("other"), F.col("turn").alias("theirs"))
+            late = adjacent.join(best.select("part", "node", "turn"), keys).join(rival, ["part", "other"]).where("theirs > turn").select("part", "node").distinct()
+            go = best.join(late, keys, "left_anti")
+        state = state.join(go.select("part", "node", "to"), keys, "left").select("part", "node", F.coalesce("to", "group").alias("group"), "mass", "rate")
+        state = materialised(state, "state")
+    return state
+
+
+def partitions(edges: DataFrame, resolution: float = 1.0, objective: str = "modularity", seed: int = 1, rounds: int = 16, levels: int = 10) -> DataFrame:
+    """Labels (part, feature, label) of the partition of each part's graph, edges (part, a, b, weight); labels count from 1 in order of a group's first feature.
+
+    objective: modularity, or cpm (by numbers of nodes). Nodes move (``_moved``), groups become nodes, and so on while anything moves; then nodes move once
+    more from the groups found. Last, a group whose members its own edges don't hold together is split into its connected pieces, which can only raise
+    either objective. Edges, nodes and groups stay distributed; the driver only asks whether anything has moved. Loops and edges without a positive weight are
+    left out; repeated edges add up. Features without edges get no label.
+    """
+    e = edges.where("a <> b AND weight > 0").select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double").alias("weight"))
+    e = e.groupBy("part", "a", "b").agg(F.sum("weight").alias("weight"))
+    both = materialised(e.select("part", F.col("a").alias("node"), F.col("b").alias("other"), "weight").union(e.select("part", "b", "a", "weight")), "adjacent")
+    total = both.groupBy("part").agg((F.lit(float(resolution)) / F.sum("weight")).alias("rate"))  # both ways: twice the weight
+    nodes = both.groupBy("part", "node").agg(F.sum("weight").alias("mass")).join(total, "part")
+    if objective != "modularity":
+        nodes = nodes.select("part", "node", F.lit(1.0).alias("mass"), F.lit(float(resolution)).alias("rate"))
+    nodes = materialised(nodes.select("part", "node", "mass", "rate"), "nodes")
+    alone = nodes.select("part", "node", F.col("node").alias("group"), "mass", "rate")
+    adjacent, state, label = both, alone, nodes.select("part", "node", F.col("node").alias("group"))
+    for level in range(levels):
+        state = _moved(adjacent, state, seed * 1_000_003 + level, rounds)
+        if not state.where("group <> node").limit(1).count():
+            break
+        to = state.select("part", F.col("node").alias("group"), F.col("group").alias("to"))
+        label = materialised(label.join(to, ["part", "group"]).select("part", "node", F.col("to").alias("group")), "label")
+        ends = adjacent.join(to.toDF("part", "node", "u"), ["part", "node"]).join(to.toDF("part", "other", "v"), ["part", "other"]).where("u <> v")
+        adjacent = materialised(ends.groupBy("part", F.col("u").alias("node"), F.col("v").alias("other")).agg(F.sum("weight").alias("weight")), "adjacent")
+        state = materialised(state.groupBy("part", F.col("group").alias("node"), "rate").agg(F.sum("mass").alias("mass")).select("part", "node", F.col("node").alias("group"), "mass", "rate"), "state")
+    found = _moved(both, materialised(nodes.join(label, ["part", "node"]).select("part", "node", "group", "mass", "rate"), "state"), seed * 1_000_003 + levels, rounds)
+    group = found.select("part", "node", "group")
+    inside = both.where("node < other").join(group, ["part", "node"]).join(group.toDF("part", "other", "theirs"), ["part", "other"]).where("group = theirs")
+    key = lambda c: F.struct("part", F.col(c).alias("node"))
+    pieces = components(inside.select(key("node").alias("a"), key("other").alias("b")))
+    pieces = pieces.select("node.part", "node.node", F.col("root.node").alias("piece"))
+    split = group.join(pieces, ["part", "node"], "left").select("part", "node", F.coalesce("piece", "node").alias("group"))
+    # A piece is named by its least feature, so names are in the order of labels.
+    number = split.select("part", "group").distinct().withColumn("label", F.row_number().over(Window.partitionBy("part").orderBy("group")))
+    return split.join(number, ["part", "group"]).select("part", F.col("node").alias("feature"), F.col("label").cast("int").alias("label"))
 
 
 def restarts(edges: DataFrame, runs: int, resolution: float = 1.0, objective: str = "modularity", seed: int = 1) -> DataFrame:
-    """Labels (run, feature, label) of so many partitions, each a task's work; none for an empty graph. log1p of weights first, as the pipeline wants it, is the caller's."""
-    spark = edges.sparkSession
-    names, a, b, w = _local(edges)
-    held = spark.sparkContext.broadcast((names, a, b, w))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, i, j, x = held.value
-        for f in frames:
-            for k in f["id"] if n else ():
-                yield pd.DataFrame({"run": int(k), "feature": n, "label": louvain(len(n), i, j, x, seed * 1_000_003 + int(k), resolution, objective)})
-
-    return spark.range(runs).repartition(min(runs, 200)).mapInPandas(run, "run int, feature string, label int")
+    """Labels (run, feature, label) of so many partitions, made side by side; none for an empty graph. log1p of weights first, as the pipeline wants it, is the caller's."""
+    all_runs = edges.select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("part"), "a", "b", "weight")
+    return partitions(all_runs, resolution, objective, seed).withColumnRenamed("part", "run")
 
 
 def partition(edges: DataFrame, resolution: float = 1.0, objective: str = "modularity", seed: int = 1) -> DataFrame:
@@ -102,34 +125,26 @@ def partition(edges: DataFrame, resolution: float = 1.0, objective: str = "modul
     return restarts(edges, 1, resolution, objective, seed).select("feature", F.col("label").alias("module"))
 
 
+def final_partition(consensus: DataFrame, runs: DataFrame, resolution: float = 1.0, objective: str = "modularity", seed: int = 1) -> DataFrame:
+    """The partition (feature, module) of the consensus edges (a, b, share); where there are none, the first run's labels. Features of the runs without a consensus edge get null."""
+    made = partition(consensus.select("a", "b", F.col("share").alias("weight")), resolution, objective, seed)
+    if not consensus.limit(1).count():
+        made = runs.where("run = 0").select("feature", F.col("label").alias("module"))
+    return runs.select("feature").distinct().join(made, "feature", "left")
+
+
 def repartitioned(edges: DataFrame, modules: DataFrame, runs: int = 10, least: float = 0.95, resolution: float = 1.0, seed: int = 1) -> DataFrame:
-    """Second stage: every module is partitioned again by restarts and their consensus; (feature, module, part).
+    """Second stage: every module is partitioned again by restarts and their consensus, all modules and runs side by side; (feature, module, part).
 
-    One group of ``applyInPandas`` for each module and run; features without a consensus partner are their own part.
+    Features without a consensus partner have no part.
     """
     inside = edges.join(modules.toDF("a", "ma"), "a").join(modules.toDF("b", "mb"), "b").where("ma = mb").select(F.col("ma").alias("module"), "a", "b", "weight")
-    runs_of = inside.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["a", "b"])
-        names = sorted(set(f.a) | set(f.b))
-        at = {n: i for i, n in enumerate(names)}
-        got = louvain(len(names), f.a.map(at).to_numpy(), f.b.map(at).to_numpy(), f.weight.to_numpy(float), seed * 1_000_003 + int(f.run.iloc[0]), resolution)
-        return pd.DataFrame({"module": f.module.iloc[0], "run": f.run.iloc[0], "feature": names, "label": got})
-
-    labels = runs_of.groupBy("module", "run").applyInPandas(one, "module int, run int, feature string, label int")
+    of = inside.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).select(F.struct("module", "run").alias("part"), "a", "b", "weight")
+    labels = partitions(of, resolution, seed=seed).select("part.module", "part.run", "feature", "label")
     x, y = labels.withColumnRenamed("feature", "a"), labels.select("module", "run", "label", F.col("feature").alias("b"))
-    agreed = x.join(y, ["module", "run", "label"]).where("a < b").groupBy("module", "a", "b").count().where(F.col("count") >= F.lit(int(np.ceil(least * runs - 1e-12))))
-
-    def final(f: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(f.a) | set(f.b))
-        at = {n: i for i, n in enumerate(names)}
-        f = f.sort_values(["a", "b"])
-        got = louvain(len(names), f.a.map(at).to_numpy(), f.b.map(at).to_numpy(), f["count"].to_numpy(float), seed, resolution)
-        return pd.DataFrame({"module": f.module.iloc[0], "feature": names, "part": got})
-
-    parts = agreed.groupBy("module").applyInPandas(final, "module int, feature string, part int")
-    return modules.toDF("feature", "module").join(parts, ["feature", "module"], "left")
+    agreed = x.join(y, ["module", "run", "label"]).where("a < b").groupBy("module", "a", "b").count().where(F.col("count") >= F.lit(ceil(least * runs - 1e-12)))
+    parts = partitions(agreed.select(F.col("module").alias("part"), "a", "b", F.col("count").alias("weight")), resolution, seed=seed)
+    return modules.toDF("feature", "module").join(parts.select(F.col("part").alias("module"), "feature", F.col("label").alias("part")), ["feature", "module"], "left")
 
 
 def _ward(distance: np.ndarray) -> list[tuple[float, int, int]]:
@@ -186,31 +201,36 @@ def hierarchical(edges: DataFrame, k: int, fewest: int = 1) -> DataFrame:
     return edges.sparkSession.createDataFrame([(v, first[g]) for v, g in zip(names, group.tolist())], "feature string, module int")
 
 
+def _hashed(*columns, seed: int):
+    return F.xxhash64(*columns, F.lit(seed))
+
+
 def rewired(edges: DataFrame, draws: int, swaps: int = 10, seed: int = 1) -> DataFrame:
-    """Graphs (draw, a, b, weight) with every feature's number of edges kept: ends of random pairs of edges are swapped,
-    ``swaps`` tries an edge; weights stay with their edges' places. One draw is one task's work."""
-    spark = edges.sparkSession
-    names, a, b, w = _local(edges)
-    held = spark.sparkContext.broadcast((names, a, b, w))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, i0, j0, x = held.value
-        for f in frames:
-            for draw in f["id"] if label else ():
-                rng = np.random.default_rng([seed, int(draw)])
-                i, j = i0.tolist(), j0.tolist()
-                have = {(min(p), max(p)) for p in zip(i, j)}
-                m = len(i)
-                for _ in range(max(10, swaps * m) if m > 1 else 0):
-                    e, g, turn = int(rng.integers(m)), int(rng.integers(m)), rng.random() < 0.5
-                    p, q, r, s = i[e], j[e], *((i[g], j[g]) if turn else (j[g], i[g]))
-                    new, other = (min(p, s), max(p, s)), (min(r, q), max(r, q))
-                    if len({p, q, r, s}) < 4 or new in have or other in have:
-                        continue
-                    have -= {(min(p, q), max(p, q)), (min(r, s), max(r, s))}
-                    have |= {new, other}
-                    (i[e], j[e]), (i[g], j[g]) = new, other
-                ends = [(min(label[p], label[q]), max(label[p], label[q])) for p, q in zip(i, j)]
-                yield pd.DataFrame({"draw": int(draw), "a": [t[0] for t in ends], "b": [t[1] for t in ends], "weight": x})
-
-    return spark.range(draws).repartition(min(draws, 200)).mapInPandas(run, "draw int, a string, b string, weight double")
+    """Graphs (draw, a, b, weight) with every feature's number of edges kept: random pairs of edges of a draw swap ends; weights stay with their edges' places.
+
+    Rounds for all draws at once: a draw's edges are dealt to slots of some SLOT edges by a hash, and each slot's edges, in the order of another, try swaps two
+    by two, turned by a bit of a third. A swap that would make a loop, an edge that is there, or an edge that another swap of the round makes too, is left
+    out (by a semi-join and a count). There are as many rounds as ``swaps`` tries for each edge take.
+    Repeated edges, loops and edges with nulls are left out first.
+    """
+    one = edges.where("a <> b AND weight IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    now = one.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), F.xxhash64("a", "b").alias("place"), "a", "b", "weight")
+    now = materialised(now, "rewired")
+    n = now.where("draw = 0").count()
+    for step in range(ceil(2 * swaps * SLOT / (SLOT - 1)) if n > 1 else 0):
+        h = _hashed("draw", "place", F.lit(step), seed=seed)
+        dealt = now.select("draw", F.pmod(h, F.lit(max(1, n // SLOT))).alias("slot"), F.struct(_hashed("draw", "place", F.lit(step), seed=seed + 1).alias("turn"), "place", "a", "b", "weight").alias("e"))
+        listed = dealt.groupBy("draw", "slot").agg(F.sort_array(F.collect_list("e")).alias("l")).where(F.size("l") > 1)
+        tried = listed.select("draw", "l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("int") - 1)).alias("i"), "slot")
+        tried = tried.select("draw", F.struct("slot", "i").alias("slot"), F.col("l")[2 * F.col("i")].alias("e"), F.col("l")[2 * F.col("i") + 1].alias("g"))
+        turned = F.pmod(F.col("e.turn"), F.lit(2)) == 1
+        r, s = F.when(turned, F.col("g.a")).otherwise(F.col("g.b")), F.when(turned, F.col("g.b")).otherwise(F.col("g.a"))
+        made = tried.withColumn("r", r).withColumn("s", s).where((F.col("e.a") != F.col("s")) & (F.col("r") != F.col("e.b")) & (F.col("e.a") != F.col("r")) & (F.col("e.b") != F.col("s")))
+        ends = lambda u, v: (F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+        new = made.select("draw", "slot", F.inline(F.array(F.struct(F.col("e.place").alias("place"), *ends(F.col("e.a"), F.col("s")), F.col("e.weight").alias("weight")), F.struct(F.col("g.place").alias("place"), *ends(F.col("r"), F.col("e.b")), F.col("g.weight").alias("weight")))))
+        new = materialised(new, "tried")
+        there = new.join(now.select("draw", "a", "b"), ["draw", "a", "b"], "left_semi").select("draw", "slot")
+        twice = new.groupBy("draw", "a", "b").agg(F.count("*").alias("k"), F.collect_set("slot").alias("slots")).where("k > 1").select("draw", F.explode("slots").alias("slot"))
+        good = new.join(there.union(twice).distinct(), ["draw", "slot"], "left_anti").select("draw", "place", F.col("a").alias("na"), F.col("b").alias("nb"))
+        now = materialised(now.join(good, ["draw", "place"], "left").select("draw", "place", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "weight"), "rewired")
+    return now.select(F.col("draw").cast("int").alias("draw"), "a", "b", "weight")

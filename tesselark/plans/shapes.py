@@ -167,9 +167,8 @@ def partition_restarts(s, d):
 
 @query()
 def partition_final(s, d):
-    runs = M.restarts(_graph(s, d), 20)
-    e = K.consensus(runs, 0.5).select("a", "b", F.col("share").alias("weight"))
-    return M.partition(e)
+    runs = V.once(s, "runs", lambda: M.restarts(_graph(s, d), 20))
+    return M.final_partition(K.consensus(runs, 0.5), runs)
 
 
 @query()

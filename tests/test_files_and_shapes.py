@@ -35,48 +35,6 @@ def test_queries_agree_with_sql(spark, sf_dir, duck, name):
     assert key(got) == key(want)
 
 
-def edges(spark, rows):
-    return spark.createDataFrame(rows, "a string, b string, weight double")
-
-
-def cliques(spark):
-    rows = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "xy" for i in range(5) for j in range(i + 1, 5)]
-    return edges(spark, rows + [("x0", "y0", 0.1)])
-
-
-def test_partitions_find_cliques(spark):
-    g = cliques(spark)
-    want = [{f"{c}{i}" for i in range(5)} for c in "xy"]
-    for made in (M.partition(g), M.partition(g, 0.3, "cpm"), M.hierarchical(g, 2)):
-        groups: dict = {}
-        for r in made.collect():
-            groups.setdefault(r.module, set()).add(r.feature)
-        assert sorted(groups.values(), key=min) == want
-    assert {r.run for r in M.restarts(g, 3).collect()} == {0, 1, 2}
-    assert M.restarts(g.limit(0), 2).count() == 0
-
-
-def test_small_clusters_are_merged(spark):
-    g = cliques(spark).union(edges(spark, [("x0", "z", 0.2)]))
-    got = {r.feature: r.module for r in M.hierarchical(g, 3, 2).collect()}
-    assert got["z"] == got["x1"] != got["y1"]
-
-
-def test_second_stage_parts(spark):
-    modules = spark.createDataFrame([(f"{c}{i}", 1) for c in "xy" for i in range(5)] + [("alone", 2)], "feature string, module int")
-    got = {r.feature: r.part for r in M.repartitioned(cliques(spark), modules, 5).collect()}
-    assert got["x1"] == got["x4"] != got["y1"] and got["alone"] is None
-
-
-def test_rewiring_keeps_degrees(spark):
-    g = cliques(spark)
-    count = lambda rows: sorted((v, sum(v in (x.a, x.b) for x in rows)) for v in {e for x in rows for e in (x.a, x.b)})
-    got = M.rewired(g, 3).collect()
-    for k in range(3):
-        mine = [x for x in got if x.draw == k]
-        assert count(mine) == count(g.collect()) and len({(x.a, x.b) for x in mine}) == len(mine) and all(x.a < x.b for x in mine)
-
-
 def test_matrix_market_with_a_corner_like_its_sizes(spark, tmp_path):
     rows = [("b1", "f1", 1.0), ("b2", "f1", 5.0), ("b2", "f2", 3.0)]
     sinks.write_matrix_market(spark.createDataFrame(rows, "barcode string, feature string, n double"), str(tmp_path / "m"))
