@@ -48,43 +48,61 @@ def association(z: DataFrame, w: DataFrame, formula: str = "s0", engine: str = "
     return full.select("a", "b", F.coalesce(F.col("k") * F.coalesce("num", F.lit(0.0)) / den, F.lit(0.0)).alias("l"))
 
 
-#: Products of all pairs are summed in every task, in a square of this side at most; more features are refused (use engine "sql").
-MOST_FEATURES = 5000
+#: Features of a block: each task sums products in squares of this side. The driver names at most MOST_FEATURES features.
+BLOCK, MOST_FEATURES = 2048, 50_000
+
+
+def _summed(batches: Iterator[pa.RecordBatch], side: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (i, k, id, u, other, v) in order of the blocks i and k: the non-zero sums of u v for each of the blocks' pairs."""
+    now, total = None, np.zeros((side, side))
+
+    def made() -> Iterator[pa.RecordBatch]:
+        for begin in range(0, side, 256):
+            a, b = np.nonzero(total[begin : begin + 256])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array((a + begin + now[0] * block).astype(np.int32)), pa.array((b + now[1] * block).astype(np.int32)), pa.array(total[begin : begin + 256][a, b])], names=["i", "k", "num"])
+
+    for batch in batches:
+        blocks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
+        turns = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]).any(axis=1)]) if len(blocks) else []
+        for start, stop in zip(turns, [*turns[1:], len(blocks)]):
+            if now != tuple(blocks[start]):
+                if now is not None:
+                    yield from made()
+                    total[:] = 0
+                now = tuple(blocks[start])
+            for begin in range(start, stop, 1024):
+                part = batch.slice(begin, min(1024, stop - begin))
+                x, y = np.zeros((part.num_rows, side)), np.zeros((part.num_rows, side))
+                for dense, ids, values in ((x, part.column(2), part.column(3)), (y, part.column(4), part.column(5))):
+                    at = np.repeat(np.arange(part.num_rows), ids.value_lengths().to_numpy())
+                    np.add.at(dense, (at, ids.flatten().to_numpy()), values.flatten().to_numpy())
+                total += x.T @ y
+    if now is not None:
+        yield from made()
 
 
 def gram(left: DataFrame, right: DataFrame, unit: list[str]) -> DataFrame:
     """Sums of u v over the units for all pairs (a, b, num) of left's features (unit, feature, u) and right's (unit, feature, v).
 
-    Absent values are zeros and need not be made. Values of a unit meet in one list; each task sums outer products of its units, so only
-    tasks times pairs of features are shuffled.
+    Absent values are zeros and need not be made. A unit's values meet in one row for each two blocks of features; each task sums outer products of its
+    rows block by block, so only tasks times pairs of features are shuffled. With one block, rows stay where their units are.
     """
     names = left.select("feature").union(right.select("feature")).distinct().orderBy("feature").limit(MOST_FEATURES + 1).toPandas()["feature"].to_list()
     if len(names) > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} features; their pairs don't fit a task")
+        raise ValueError(f"more than {MOST_FEATURES} features; their names don't fit the driver")
     ids = F.broadcast(left.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, id int"))
-    zero = F.lit(0.0)
-    both = left.select(*unit, "feature", F.col("u").cast("double").alias("u"), zero.alias("v")).union(right.select(*unit, "feature", zero.alias("u"), F.col("v").cast("double").alias("v"))).join(ids, "feature")
-    rows = both.groupBy(*unit).agg(F.collect_list("id").alias("id"), F.collect_list("u").alias("u"), F.collect_list("v").alias("v")).select("id", "u", "v")
-    n = len(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros((n, n)), False
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                ids, u, v = (part.column(k) for k in range(3))
-                at = np.repeat(np.arange(part.num_rows), ids.value_lengths().to_numpy())
-                x, y = np.zeros((part.num_rows, n)), np.zeros((part.num_rows, n))
-                cell = at, ids.flatten().to_numpy()
-                np.add.at(x, cell, u.flatten().to_numpy())
-                np.add.at(y, cell, v.flatten().to_numpy())
-                total += x.T @ y
-                some = True
-        if some:
-            a, b = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b])], names=["i", "k", "num"])
-
-    sums = rows.mapInArrow(run, "i int, k int, num double").groupBy("i", "k").agg(F.sum("num").alias("num"))
+    n, number = len(names), -(-len(names) // BLOCK)
+    keys = [f"_unit{k}" for k in range(len(unit))]
+    at = lambda df, value, *to: df.select(*[F.col(c).alias(k) for c, k in zip(unit, keys)], "feature", F.col(value).cast("double").alias("x")).where("x <> 0").join(ids, "feature").groupBy(*keys, F.floor(F.col("id") / BLOCK).cast("int").alias(to[0])).agg(F.collect_list(F.col("id") % BLOCK).alias(to[1]), F.collect_list("x").alias(value))
+    rows = at(left, "u", "i", "id").join(at(right, "v", "k", "other"), keys)
+    if number > 1:
+        # Each two blocks go to some of the tasks, by their units.
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*keys), F.lit(-(-tasks // number**2)))
+        rows = rows.repartition(tasks, "i", "k", salt).sortWithinPartitions("i", "k")
+    side, block = min(n, BLOCK), BLOCK
+    sums = rows.select("i", "k", "id", "u", "other", "v").mapInArrow(lambda batches: _summed(batches, side, block), "i int, k int, num double").groupBy("i", "k").agg(F.sum("num").alias("num"))
     return sums.join(ids.toDF("a", "i"), "i").join(ids.toDF("b", "k"), "k").select("a", "b", "num")
 
 
@@ -179,12 +197,11 @@ def gradients(z: DataFrame) -> DataFrame:
 
 
 def pearson(values: DataFrame, unit: list[str], feature: str = "feature", value: str = "v") -> DataFrame:
-    """Correlations of features a < b over all units with implicit zeros; only units where both are present are joined."""
+    """Correlations of features a < b over all units with implicit zeros; products of features that are present together are summed within tasks."""
     n = values.select(*unit).distinct().agg(F.count("*").cast("double").alias("n"))
     v = values.select(*unit, F.col(feature).alias("f"), F.col(value).cast("double").alias("v"))
     one = v.groupBy("f").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    other = v.select(*unit, F.col("f").alias("g"), F.col("v").alias("u"))
-    cross = v.join(other, unit).where("f < g").groupBy(F.col("f").alias("a"), F.col("g").alias("b")).agg(F.sum(F.col("v") * F.col("u")).alias("ab"))
+    cross = gram(v.select(*unit, F.col("f").alias("feature"), F.col("v").alias("u")), v.select(*unit, F.col("f").alias("feature"), "v"), unit).where("a < b").withColumnRenamed("num", "ab")
     a, b = (one.select(F.col("f").alias(x), F.col("s").alias(f"s{x}"), F.col("q").alias(f"q{x}")) for x in "ab")
     full = a.join(b, F.col("a") < F.col("b")).join(cross, ["a", "b"], "left").crossJoin(F.broadcast(n))
     cov = F.col("n") * F.coalesce("ab", F.lit(0.0)) - F.col("sa") * F.col("sb")
@@ -317,3 +334,18 @@ def outside_curve(pairs: DataFrame, curve: DataFrame) -> DataFrame:
     hi = F.col("hi") + t * (F.coalesce("hi2", "hi") - F.col("hi"))
     inside = F.coalesce((F.col("l") >= lo) & (F.col("l") <= hi), F.lit(False))
     return hit.where(~inside).select(*pairs.columns)
+
+
+def detected(counts: DataFrame, units: int, least: float = 0.1, most: int = 8000) -> DataFrame:
+    """Features (feature) present in at least a share ``least`` of the units, of these the ``most`` of the largest totals, ties by name."""
+    one = counts.where("n > 0").groupBy("feature").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    return one.where(F.col("k") >= least * units - 1e-9).orderBy(F.desc("total"), "feature").limit(most).select("feature")
+
+
+def association_of_spots(counts: DataFrame, w: DataFrame, least: float = 0.1, most: int = 8000) -> DataFrame:
+    """L of all ordered pairs of the detected features of spots (gx, gy, feature, n): shares of a spot's total, over the spots with any count."""
+    from tesselark.operators.grid import row_normalise
+
+    kept = detected(counts, counts.select("gx", "gy").distinct().count(), least, most)
+    found = association_of(row_normalise(counts), w, kept)
+    return found.join(kept.withColumnRenamed("feature", "b"), "b", "left_semi").select("a", "b", "l")

@@ -138,11 +138,35 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
 
 
 def paths(edges: DataFrame, start: str, cutoff: int = 3) -> DataFrame:
-    """Simple paths from a feature with at most ``cutoff`` edges, as arrays."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("src", "dst").distinct()
+    """Simple paths from a feature with at most ``cutoff`` edges, as arrays; every step is written out, so lineage stays short."""
+    both = materialised(edges.select("a", "b").union(edges.select("b", "a")).toDF("src", "dst").where("src <> dst").distinct(), "steps")
     now = both.where(F.col("src") == start).select(F.array("src", "dst").alias("path"))
     out = now
     for _ in range(cutoff - 1):
-        now = now.join(both, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        now = materialised(now.join(both, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")), "paths")
         out = out.union(now)
     return out
+
+
+def paths_through(edges: DataFrame, feature: str, other: str | None = None, cutoff: int = 8, most: int = 50_000) -> DataFrame:
+    """Simple paths (path, length in features) of at most ``cutoff`` edges that hold a feature, and another if given; each once, from its lesser end.
+
+    A path is two arms that begin at the feature and share nothing else: arms are made step by step, and meet by an equi-join on the number of
+    edges that they leave each other. More than ``most`` paths are refused. Without another feature every arm is a path, so arms are bounded too.
+    """
+    arms = paths(edges, feature, cutoff)
+    if other is None and arms.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} paths; lower the cutoff")
+    arms = materialised(arms.union(edges.sparkSession.createDataFrame([([feature],)], "path array<string>")), "arms")
+    left = arms.select(F.col("path").alias("p"), F.explode(F.sequence(F.lit(0), cutoff + 1 - F.size("path"))).alias("k"))
+    right = arms.select(F.col("path").alias("q"), (F.size("path") - 1).alias("k"))
+    met = left.join(right, "k").where((F.element_at("p", -1) < F.element_at("q", -1)) & (F.size(F.array_intersect("p", "q")) == 1))
+    # q leads from the feature to the greater end.
+    path = F.concat(F.reverse("p"), F.slice("q", 2, cutoff))
+    out = met.select(path.alias("path"))
+    if other is not None:
+        out = out.where(F.array_contains("path", other))
+    out = materialised(out.limit(most + 1), "through")
+    if out.count() > most:
+        raise ValueError(f"more than {most} paths; lower the cutoff")
+    return out.select("path", F.size("path").alias("length"))

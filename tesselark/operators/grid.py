@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,6 +139,22 @@ def winsorise(values: DataFrame, by: str, value: str, q: float = 0.95) -> DataFr
     return values.join(cap, by).withColumn(value, F.least(value, "cap")).drop("cap")
 
 
+def winsorise_sparse(values: DataFrame, units: int, value: str = "v", q: float = 0.95) -> DataFrame:
+    """Values above their feature's quantile over all ``units`` are set to it; absent ones are zeros, which are counted and never made.
+
+    Values are not negative, so a feature's zeros come first: its quantile lies between the stored values whose ranks follow from their number.
+    """
+    from pyspark.sql.window import Window
+
+    of = Window.partitionBy("feature")
+    ranked = values.where(F.col(value) > 0).withColumn("rank", F.row_number().over(of.orderBy(value))).withColumn("zeros", F.lit(units) - F.count("*").over(of))
+    at = q * (units - 1)
+    pick = lambda p: F.coalesce(F.max(F.when(F.col("zeros") + F.col("rank") - 1 == int(p), F.col(value))), F.lit(0.0))
+    low, high = pick(math.floor(at)), pick(math.ceil(at))
+    cap = ranked.groupBy("feature").agg((low + (at - math.floor(at)) * (high - low)).alias("cap"))
+    return values.join(cap, "feature", "left").withColumn(value, F.least(value, F.coalesce("cap", F.lit(0.0)))).drop("cap")
+
+
 def density(counts: DataFrame, grid: DataFrame, features: list[str], normalise: str = "none") -> DataFrame:
     """Chosen features per area of every lattice bin; counts as they are, by bin total or by feature total."""
     over = {"none": None, "bin": Window.partitionBy("gx", "gy"), "feature": Window.partitionBy("feature")}[normalise]

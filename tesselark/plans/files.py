@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesselark.operators import association as A
 from tesselark.operators import grid as G
 from tesselark.plans import catalog as C
 from tesselark.plans import views as V
@@ -137,6 +138,46 @@ def file_spots(s, d):
     return readers.spots(s, path, readers.spot_scale(s, scale))
 
 
+# Suppliers as spots: rows of ten, odd rows from an odd column; their line items are counts.
+_SPOTS = """WITH sp AS (SELECT s_suppkey AS k, CAST(s_suppkey % 10 AS INTEGER) AS r, CAST(2 * (s_suppkey // 10) + s_suppkey % 2 AS INTEGER) AS c FROM supplier WHERE s_suppkey % 7 <> 0),
+ct AS (SELECT r, c, p_brand AS feature, CAST(count(*) AS DOUBLE) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN sp ON k = l_suppkey GROUP BY ALL),
+ub AS (SELECT DISTINCT r, c FROM ct), nu AS (SELECT count(*) AS n FROM ub),
+kp AS (SELECT feature FROM ct GROUP BY feature HAVING count(*) >= 0.1 * (SELECT n FROM nu) - 1e-9 ORDER BY sum(n) DESC, feature LIMIT 20),
+dn AS (SELECT r, c, feature, coalesce(v, 0) AS v FROM ub CROSS JOIN kp LEFT JOIN (SELECT r, c, feature, n / sum(n) OVER (PARTITION BY r, c) AS v FROM ct) USING (r, c, feature)),
+zz AS (SELECT r, c, feature, CASE WHEN stddev_samp(v) OVER f <= 1e-12 THEN 0 ELSE (v - avg(v) OVER f) / stddev_samp(v) OVER f END AS z FROM dn WINDOW f AS (PARTITION BY feature)),
+hw AS (SELECT a.r, a.c, b.r AS hr, b.c AS hc FROM ub a JOIN ub b ON (a.r = b.r AND abs(a.c - b.c) = 2) OR (abs(a.r - b.r) = 1 AND abs(a.c - b.c) = 1)),
+lg AS (SELECT hw.r, hw.c, feature, sum(z) AS wz FROM hw JOIN zz ON zz.r = hr AND zz.c = hc GROUP BY ALL),
+nm AS (SELECT feature, sqrt(sum(z*z)) AS norm FROM zz GROUP BY 1),
+pr AS (SELECT zz.feature AS a, lg.feature AS b, sum(z * wz) AS num FROM zz JOIN lg USING (r, c) GROUP BY ALL) """
+
+
+def _spot_sample(s, d):
+    """Written as an instrument's folder, and read back."""
+    folder = scratch(s, "sample")
+    k = F.col("s_suppkey")
+    rows = V.table(s, d, "supplier").select(k.alias("barcode"), (k % 7 != 0).cast("int").alias("in_tissue"), (k % 10).alias("array_row"), (2 * F.floor(k / 10) + k % 2).alias("array_col"), (k * 3).alias("pxl_row_in_fullres"), (k * 2).alias("pxl_col_in_fullres"))
+    rows.write.csv(f"{folder}/spatial/tissue_positions.csv", header=True)
+    sinks.write_meta(s, f"{folder}/spatial/scalefactors_json.json", spot_diameter_fullres=110.0)
+    items = V.table(s, d, "lineitem").join(V.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    counts = items.groupBy(F.col("l_suppkey").cast("string").alias("barcode"), F.col("p_brand").alias("feature")).agg(F.count("*").alias("n"))
+    sinks.write_matrix_market(counts, f"{folder}/filtered_feature_bc_matrix")
+    return readers.spot_folder(s, folder)
+
+
+@query(_SPOTS + "SELECT p.feature AS a, q.feature AS b, " + r6(l="CASE WHEN p.norm * q.norm = 0 THEN 0 ELSE (SELECT n FROM nu) / (SELECT count(*) FROM hw) * coalesce(num, 0) / (p.norm * q.norm) END") + " FROM nm p CROSS JOIN nm q LEFT JOIN pr ON pr.a = p.feature AND pr.b = q.feature")
+def spots_association(s, d):
+    sample = _spot_sample(s, d)
+    return A.association_of_spots(V.once(s, "spot_counts", lambda: sample.counts), sample.weights, most=20)
+
+
+@query(_SPOTS + "SELECT gx, gy, feature, " + r6(v="least(v, cap)") + " FROM (SELECT c // 2 + 1 AS gx, r + 1 AS gy, feature, ln(1 + n * 10000.0 / sum(n) OVER (PARTITION BY r, c)) AS v FROM ct) JOIN (SELECT feature, quantile_cont(coalesce(v, 0), 0.95) AS cap FROM ub CROSS JOIN (SELECT DISTINCT feature FROM ct) LEFT JOIN (SELECT r, c, feature, ln(1 + n * 10000.0 / sum(n) OVER (PARTITION BY r, c)) AS v FROM ct) USING (r, c, feature) GROUP BY feature) USING (feature)")
+def spots_winsorised(s, d):
+    counts = _spot_sample(s, d).counts
+    lib = counts.withColumn("spot", F.struct("gx", "gy"))
+    units = counts.select("gx", "gy").distinct().count()
+    return G.winsorise_sparse(G.log_cpm(lib, "spot"), units).select("gx", "gy", "feature", "v")
+
+
 @query("SELECT p, q, score FROM inter")
 def file_cache(s, d):
     folder = scratch(s, "cache")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselark.functions import ranks
+from tesselark.operators import graph as K
 from tesselark.operators import polygons as P
 from tesselark.operators import trees as T
 from tesselark.plans import catalog as C
@@ -72,3 +74,29 @@ def spanning_forest_by_module(s, d):
 )
 def module_bridges(s, d):
     return T.bridges(_graph(s, d), V.modules(s, d).where("module >= 0"))
+
+
+# ---- paths -----------------------------------------------------------------------------------------------------------
+
+#: All simple paths of the graph's strongest fifth, from every feature.
+_PATHS = "WITH RECURSIVE st AS (SELECT a, b FROM medges WHERE round(weight, 6) >= (SELECT quantile_cont(round(weight, 6), 0.8) FROM medges)), bo AS (SELECT a, b FROM st UNION SELECT b, a FROM st), pa AS (SELECT [a, b] AS p FROM bo UNION ALL SELECT list_append(p, b) FROM pa JOIN bo ON bo.a = p[-1] WHERE NOT list_contains(p, b) AND len(p) <= 8), hub AS (SELECT a AS f FROM bo GROUP BY a ORDER BY count(*) DESC, a LIMIT 2) "
+
+
+def _strongest(s, d):
+    e = V.once(s, "edges", lambda: C.rounded(C._edges(s, d)))
+    cut = ranks.quantiles(e, "weight", [0.8])[0]
+    kept = e.where(F.col("weight") >= cut).select("a", "b")
+    hubs = kept.select(F.explode(F.array("a", "b")).alias("f")).groupBy("f").count().orderBy(F.desc("count"), "f").limit(2).collect()
+    return kept, [h.f for h in hubs]
+
+
+@query(_PATHS + "SELECT array_to_string(p, '->') AS path, CAST(len(p) AS INTEGER) AS length FROM pa WHERE p[1] < p[-1] AND list_contains(p, (SELECT f FROM hub LIMIT 1))")
+def paths_through_feature(s, d):
+    kept, hubs = _strongest(s, d)
+    return K.paths_through(kept, hubs[0]).select(F.array_join("path", "->").alias("path"), "length")
+
+
+@query(_PATHS + "SELECT array_to_string(p, '->') AS path, CAST(len(p) AS INTEGER) AS length FROM pa WHERE p[1] < p[-1] AND (SELECT count(*) FROM hub WHERE list_contains(p, f)) = 2")
+def paths_through_two(s, d):
+    kept, hubs = _strongest(s, d)
+    return K.paths_through(kept, *hubs).select(F.array_join("path", "->").alias("path"), "length")

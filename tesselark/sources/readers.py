@@ -3,6 +3,8 @@ but for headers and, where a docstring says so, files of bounded size."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,6 +191,41 @@ def matrix_market(spark: SparkSession, folder: str, spots: DataFrame | None = No
     return kept.where("n <> 0").join(features, "row").join(barcodes, "col").groupBy("barcode", "feature").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class SpotSample:
+    """A sample of spots as tables: spots (barcode, gx, gy, x, y), counts (gx, gy, feature, n), weights of adjacent spots, and micrometres a pixel."""
+
+    um: float
+    spots: DataFrame
+    counts: DataFrame
+    weights: DataFrame
+
+
+def spot_sample(spark: SparkSession, matrix: str, positions: str, scalefactors: str, in_tissue: bool = True) -> SpotSample:
+    """The sample of a folder of counts, a table of positions and a file of scale factors.
+
+    Columns of the array advance by two within a row, odd rows starting at an odd one, so half of the column (rounded down) and the row number hexagons
+    whose odd rows are shifted. Spots off the tissue are left out unless asked for; counts of other barcodes are too.
+    """
+    from tesselark.operators.weights import neighbours
+
+    um = spot_scale(spark, scalefactors)
+    at = spots(spark, positions, um, in_tissue)
+    at = at.select("barcode", (F.floor(F.col("array_col") / 2) + 1).cast("int").alias("gx"), (F.col("array_row") + 1).alias("gy"), "x", "y")
+    counts = matrix_market(spark, matrix, at).join(at.select("barcode", "gx", "gy"), "barcode").groupBy("gx", "gy", "feature").agg(F.sum("n").alias("n"))
+    return SpotSample(um, at, counts, neighbours(counts, "oddr"))
+
+
+def spot_folder(spark: SparkSession, folder: str, in_tissue: bool = True) -> SpotSample:
+    """The sample of a folder in an instrument's layout."""
+    from tesselark.sources.files import platform
+
+    found = platform(spark, folder)
+    if found["platform"] != "visium" or not found["positions"] or not found["scalefactors"]:
+        raise ValueError(f"{folder}: no spots with positions and scale factors")
+    return spot_sample(spark, found["matrix"], found["positions"], found["scalefactors"], in_tissue)
+
+
 # Names that columns of coordinate tables go by.
 COORDINATE_NAMES = {"feature": ["gene", "feature_name", "row", "i"], "barcode": ["cell", "cell_id", "column", "col", "j"], "n": ["count", "value", "data", "x"]}
 
