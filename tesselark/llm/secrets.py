@@ -3,8 +3,8 @@
 A credential is often of several parts: who (an identifier), what (a secret) and
 where (an endpoint). Each part alone is too weak to report. The parts of a text are
 laid out as intervals within scopes (runs of lines without an empty line between
-them), and an interval join pairs each weak part with the parts of other sorts that
-lie within ``REACH`` code points of it in the same scope.
+them), and an interval join puts each part to its scope. A scope's weak parts are reported if it
+holds a secret and a part of another sort, however far apart; an identifier beside an endpoint is none.
 """
 
 from __future__ import annotations
@@ -28,9 +28,6 @@ ASSIGN_LEAST = 6
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("identifier", "secret", "endpoint")
 
-#: Parts further apart than this (code points between them) are not linked.
-REACH = 200
-
 # Parts are whole runs of their signs, however long; each pattern looks at a sign a bounded number of times.
 _IDENTIFIER = re.compile(r"""\b(?:access_?key_?id|client_?id|account_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])(?:https?|ftps?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}")
@@ -54,8 +51,8 @@ def _random_like(s: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) >= 3.0
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
-    """Weak parts of ``text`` that have a complementary part within reach, as spans; none overlaps a base span."""
+def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Weak parts of ``text`` whose scope holds a secret and a part of another sort, as spans; none overlaps a base span."""
     weak: list[tuple[int, int, str]] = []
     # Every weak secret has a digit, every endpoint "://", every identifier "=" or ":": most texts end here.
     if "://" in text:
@@ -83,23 +80,12 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
         return []
     sort = {"assign": "secret", "hex": "secret", "access": "identifier"}
     ends = [m.start() for m in _SCOPE_END.finditer(text)]
-    places: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
-    for b, e, k in sorted([(b, e, sort[k]) for b, e, k in base] + free):
-        begin, end = places.setdefault((bisect.bisect_right(ends, b), k), ([], []))
-        begin.append(b)
-        end.append(max(e, end[-1] if end else e))  # running maximum: the furthest end so far
-    out = []
-    for b, e, k in free:
-        scope = bisect.bisect_right(ends, b)
-        for other in ("identifier", "secret", "endpoint"):
-            if other == k or (scope, other) not in places:
-                continue
-            begin, end = places[scope, other]
-            i = bisect.bisect_left(begin, b)
-            if (i and b - end[i - 1] <= reach) or (i < len(begin) and begin[i] - e <= reach):
-                out.append((b, e, k))
-                break
-    return out
+    # A part's scope is numbered by the ends before it.
+    sorts: dict[int, set[str]] = {}
+    for b, _, k in [(b, e, sort[k]) for b, e, k in base] + free:
+        sorts.setdefault(bisect.bisect_right(ends, b), set()).add(k)
+    whole = {scope for scope, kinds in sorts.items() if "secret" in kinds and len(kinds) > 1}
+    return [s for s in free if bisect.bisect_right(ends, s[0]) in whole]
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

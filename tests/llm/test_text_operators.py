@@ -182,7 +182,12 @@ def test_weak_parts_need_one_another():
     assert spans(one) == spans(two) == spans("https://api.example.com/v1") == []
     assert spans(f"{one}\n{two}") == [("identifier", "shop-4711"), ("secret", two)]
     assert spans(f"{one}\n\n{two}") == []  # another scope
-    assert spans(f"{one} {'word ' * 100} {two}") == []  # out of reach
+    far = [("identifier", "shop-4711"), ("secret", two)]
+    assert spans(f"{one} {'word ' * 100} {two}") == spans(f"{one}\n{'some words here\n' * 400}{two}") == far  # anywhere in the scope
+    assert spans("login: alice42 see https://example.com/page") == []  # no secret
+    assert spans(f"login: alice42 see https://example.com/page {two}") == [("identifier", "alice42"), ("endpoint", "https://example.com/page"), ("secret", two)]
+    assert spans(f"login: alice42 see https://example.com/page\n \npassword: hunter22") == [("assign", "password: hunter22")]
+    assert spans("login: alice42\npassword: hunter22") == [("identifier", "alice42"), ("assign", "password: hunter22")]
     assert spans(f"use https://api.example.com/v1 with {two}") == [("endpoint", "https://api.example.com/v1"), ("secret", two)]
     assert secrets.mask(f"{one}\n{two} end") == "client_id = [SECRET]\n[SECRET] end"
     assert secrets.mask(None) is None and secrets.mask("plain") == "plain"
@@ -197,8 +202,8 @@ def test_weak_parts_are_whole_runs():
     late = "abcdefghijklmnopqrst" * 4 + "7"  # its only digit is far in
     assert spans(f"client_id: shop-4711 {late}")[1] == ("secret", late)
     user, url = "u1." * 100, "https://example.com/" + "a.b/" * 1000
-    assert secrets.mask(f"user: {user} {url} end") == "user: [SECRET] [SECRET] end"
-    for t in ("a1" * 200_000, "user=" * 80_000, "s3://" * 80_000, "jdbc:" * 80_000, "=" * 400_000, "jdbc:" + "a" * 400_000):
+    assert secrets.mask(f"user: {user} {url} {late} end") == "user: [SECRET] [SECRET] [SECRET] end"
+    for t in ("user: abcd https://example.com/a a1b2c3d4e5f6g7h8i9 " * 20_000, "a1" * 200_000, "user=" * 80_000, "s3://" * 80_000, "jdbc:" * 80_000, "=" * 400_000, "jdbc:" + "a" * 400_000):
         secrets.scan(t)  # in time that grows with the length
 
 
