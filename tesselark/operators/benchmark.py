@@ -84,6 +84,35 @@ def enrichment(edges: DataFrame, n: int) -> DataFrame:
     return c.groupBy("method").agg((F.sum(F.when((F.col("k") <= n) & F.col("label"), 1.0).otherwise(0.0)) / F.sum(F.when(F.col("k") <= n, 1.0)) / (F.max("pos") / F.max("n"))).alias("enrichment"))
 
 
+def enrichment_sets(edges: DataFrame, sizes: list[int], shares: list[float]) -> DataFrame:
+    """Sets of the first edges of each method, by number or by share of them: (method, top, positives, precision, enrichment over all edges, Fisher's p).
+
+    A method has the sets that are not larger than its edges; a share of n edges is rounded up, and has one at least.
+    """
+    from tesselark.functions.testing import fisher_greater
+
+    c = curve(edges)
+    name = lambda v, kind: F.struct(F.lit(f"{kind}{v}").alias("top"), (F.lit(v).cast("long") if kind == "n" else F.greatest(F.lit(1), F.ceil(F.lit(v) * F.col("n") - 1e-9)).cast("long")).alias("size"))
+    sets = c.select("method", "n", "pos").distinct().select("method", F.inline(F.array(*[name(v, "n") for v in sizes], *[name(v, "share") for v in shares])))
+    at = c.join(F.broadcast(sets), "method").where(F.col("k") == F.col("size"))
+    a, b, n = F.col("tp"), F.col("k") - F.col("tp"), F.col("n")
+    rest = F.col("pos") - a
+    return at.select("method", "top", F.col("tp").alias("positives"), F.col("precision"), (F.col("precision") / F.nullif(F.col("pos") / n, F.lit(0.0))).alias("enrichment"), fisher_greater(a, b, rest, n - F.col("k") - rest).alias("p"))
+
+
+def recall_of_universe(edges: DataFrame, reference: DataFrame, sizes: list[int], least: float = 700) -> DataFrame:
+    """Recall of the first n labelled edges of each method over all positive pairs (p, q, score) of the reference, listed by the method or not."""
+    x, y = key_pair("p", "q")
+    positive = reference.where(F.col("score") >= least).select(x.alias("p"), y.alias("q")).where("p <> q").distinct().agg(F.count("*").alias("universe"))
+    c = curve(edges).where(F.col("k").isin(sizes)).crossJoin(F.broadcast(positive))
+    return c.select("method", F.col("k").cast("int").alias("top"), "universe", (F.col("tp") / F.nullif("universe", F.lit(0).cast("long"))).alias("recall"))
+
+
+def mean_of_repeats(resampled: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Mean, sample deviation and number of the repeats at each place of their common grid (and of each group)."""
+    return resampled.groupBy(*(by or []), "grid").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
 def module_pairs(modules: DataFrame, reference: DataFrame, least: float = 700) -> DataFrame:
     """Per module: pairs, pairs with a score, their sum, pairs at or above the threshold, and means over all pairs."""
     m = modules.where("module >= 0")

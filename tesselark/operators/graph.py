@@ -122,21 +122,47 @@ def modularity(edges: DataFrame, modules: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.col("ins") / F.col("m") - (F.col("tot") / F.col("m")) ** 2).alias("modularity"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """PageRank of an undirected weighted graph by power iteration; a round is a join and a sum; every fifth is written out, so lineage stays short."""
+def preference(values: DataFrame, nodes: DataFrame, inverted: bool = False) -> DataFrame:
+    """Shares (feature, share) of where a walk begins anew, from a value of each feature: clamped to the nodes' outer tenths, then exponential.
+
+    Nodes without a value take the median of those that have one; ``inverted`` prefers small values.
+    """
+    known = nodes.select("feature").join(values.select("feature", F.col("value").cast("double").alias("value")), "feature", "left")
+    filled = known.crossJoin(F.broadcast(known.agg(F.percentile("value", 0.5).alias("middle")))).select("feature", F.coalesce("value", "middle", F.lit(0.0)).alias("value"))
+    ends = filled.agg(F.percentile("value", 0.1).alias("low"), F.percentile("value", 0.9).alias("high"))
+    clamped = filled.crossJoin(F.broadcast(ends)).select("feature", F.greatest("low", F.least("high", "value")).alias("v"), "low", "high")
+    power = F.exp((F.col("low") - F.col("v")) if inverted else (F.col("v") - F.col("high"))).alias("e")
+    raw = clamped.select("feature", power)
+    return raw.crossJoin(F.broadcast(raw.agg(F.sum("e").alias("total")))).select("feature", (F.col("e") / F.col("total")).alias("share"))
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, prefer: DataFrame | None = None) -> DataFrame:
+    """PageRank of an undirected weighted graph by power iteration; a round is a join and a sum; every fifth is written out, so lineage stays short.
+
+    Walks begin anew at all features alike, or by the shares ``prefer`` (feature, share).
+    """
     both = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("src", "dst", "weight")
-    share = both.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "p")
+    walk = both.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "p")
     nodes = both.select(F.col("src").alias("feature")).distinct()
-    n = nodes.agg(F.count("*").alias("n"))
-    rank = nodes.crossJoin(F.broadcast(n)).select("feature", "n", (1 / F.col("n")).alias("pr"))
+    if prefer is None:
+        start = nodes.crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n")))).select("feature", (1 / F.col("n")).alias("share"))
+    else:
+        start = nodes.join(prefer, "feature", "left").select("feature", F.coalesce("share", F.lit(0.0)).alias("share"))
+    rank = start.select("feature", "share", F.col("share").alias("pr"))
     for step in range(1, rounds + 1):
-        came = share.join(rank, F.col("src") == F.col("feature")).groupBy(F.col("dst").alias("feature"), "n").agg(F.sum(F.col("p") * F.col("pr")).alias("in"))
-        rank = came.select("feature", "n", ((1 - damping) / F.col("n") + damping * F.col("in")).alias("pr"))
+        came = walk.join(rank.select(F.col("feature").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("feature")).agg(F.sum(F.col("p") * F.col("pr")).alias("in"))
+        rank = start.join(came, "feature").select("feature", "share", ((1 - damping) * F.col("share") + damping * F.col("in")).alias("pr"))
         if step % 5 == 0 and step < rounds:
             rank = materialised(rank, "rank")
     return rank.select("feature", "pr")
 
 
+def reweighted(edges: DataFrame, rank: DataFrame, low: float = 0.0) -> DataFrame:
+    """Edges (a, b, weight) times the mean rank of their ends; those not above ``low`` get 0."""
+    w = edges.join(rank.toDF("a", "pa"), "a").join(rank.toDF("b", "pb"), "b").withColumn("w", F.col("weight") * (F.col("pa") + F.col("pb")) / 2)
+    return w.select("a", "b", F.when(F.col("w") > low, F.col("w")).otherwise(0.0).alias("weight"))
+
+
 def paths(edges: DataFrame, start: str, cutoff: int = 3) -> DataFrame:
     """Simple paths from a feature with at most ``cutoff`` edges, as arrays; every step is written out, so lineage stays short."""
     both = materialised(edges.select("a", "b").union(edges.select("b", "a")).toDF("src", "dst").where("src <> dst").distinct(), "steps")

@@ -114,6 +114,11 @@ def tiles(bins: DataFrame, side: int = 8) -> DataFrame:
     return t.join(F.broadcast(ids), ["tx", "ty"]).select("gx", "gy", "tile")
 
 
+# Degrees that a direction may be off, the least share of slanted directions, the limit of level or upright ones, and how far
+# the ratio of diagonal to straight distances may be off 1.
+HEX_DEGREES, HEX_SLANTED, HEX_STRAIGHT, HEX_RATIO = 10, 0.4, 0.8, 0.2
+
+
 def hex_like(centres: DataFrame) -> DataFrame:
     """One row (hex, horizontal, vertical, ratio) on the directions and distances of adjacent bins (gx, gy, cx, cy).
 
@@ -127,33 +132,42 @@ def hex_like(centres: DataFrame) -> DataFrame:
     e = e.withColumn("t", F.abs(F.degrees(F.atan2("y", "x")))).withColumn("far", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
     share = lambda c: F.avg(c.cast("double"))
     found = e.agg(
-        share(F.least("t", 180 - F.col("t")) <= 10).alias("horizontal"), share(F.abs(F.col("t") - 90) <= 10).alias("vertical"),
-        share((F.abs(F.col("t") - 60) <= 10) | (F.abs(F.col("t") - 120) <= 10)).alias("slanted"),
+        share(F.least("t", 180 - F.col("t")) <= HEX_DEGREES).alias("horizontal"), share(F.abs(F.col("t") - 90) <= HEX_DEGREES).alias("vertical"),
+        share((F.abs(F.col("t") - 60) <= HEX_DEGREES) | (F.abs(F.col("t") - 120) <= HEX_DEGREES)).alias("slanted"),
         (F.percentile(F.when((F.col("k") == 2) & (F.col("dy") == 1), F.col("far")), 0.5) / F.nullif(F.percentile(F.when(F.col("k") == 1, F.col("far")), 0.5), F.lit(0.0))).alias("ratio"),
     )
-    is_hex = (F.col("slanted") >= 0.4) & (F.greatest("horizontal", "vertical") < 0.8) & (F.abs(F.col("ratio") - 1) <= 0.2)
+    is_hex = (F.col("slanted") >= HEX_SLANTED) & (F.greatest("horizontal", "vertical") < HEX_STRAIGHT) & (F.abs(F.col("ratio") - 1) <= HEX_RATIO)
     return found.select(F.coalesce(is_hex, F.lit(False)).alias("hex"), "horizontal", "vertical", "ratio")
 
 
 def hex_parity(centres: DataFrame, by: str = "r") -> DataFrame:
-    """One row (kind): which rows (r) or columns (q) are shifted by half a cell: odd or even ones, for ``neighbours``; odd if it can't be told."""
+    """One row (kind): which rows (r) or columns (q) are shifted by half a cell: odd or even ones, for ``neighbours``.
+
+    A line's shift is how far its first centre is from the lattice of the line that begins first, in half cells: 0 on it, 1 in the middle between two
+    of its centres. The parity of the greater mean shift is the shifted one; if neither is greater, the odd one.
+    """
     line, along = ("gy", "cx") if by == "r" else ("gx", "cy")
-    gap = centres.select(F.abs(F.col(along) - F.lag(along).over(Window.partitionBy(line).orderBy(along))).alias("g")).agg((F.percentile("g", 0.5) / 2).alias("half"))
-    start = centres.groupBy(line).agg(F.min(along).alias("at"))
-    low = start.agg(F.min("at").alias("low"))
-    ratio = start.crossJoin(F.broadcast(low)).crossJoin(F.broadcast(gap)).select(F.col(line).alias("line"), ((F.col("at") - F.col("low")) / F.nullif("half", F.lit(0.0))).alias("q"))
-    flag = ratio.select("line", F.when(F.abs(F.col("q") - F.rint("q")) <= 0.35, F.pmod(F.rint("q"), F.lit(2.0))).alias("f"))
-    means = flag.agg(F.avg(F.when(F.col("line") % 2 == 1, F.col("f"))).alias("odd"), F.avg(F.when(F.col("line") % 2 == 0, F.col("f"))).alias("even"))
-    odd = F.col("odd").isNull() & F.col("even").isNull() | F.col("odd").isNotNull() & (F.col("even").isNull() | (F.col("odd") >= 0.5)) | ~F.coalesce(F.col("even") >= 0.5, F.lit(False)) & F.coalesce(F.col("odd") > 0.25, F.lit(False))
-    return means.select(F.when(odd, f"odd{by}").otherwise(f"even{by}").alias("kind"))
+    step = centres.select(F.abs(F.col(along) - F.lag(along).over(Window.partitionBy(line).orderBy(along))).alias("step")).agg(F.percentile("step", 0.5).alias("step"))
+    first = centres.groupBy(line).agg(F.min(along).alias("at"))
+    facts = first.agg(F.min("at").alias("origin")).crossJoin(step)
+    cells = (F.col("at") - F.col("origin")) / F.nullif("step", F.lit(0.0))
+    shift = 2 * F.abs(cells - F.rint(cells))
+    of = lambda parity: F.coalesce(F.avg(F.when(F.pmod(F.col(line), F.lit(2)) == parity, shift)), F.lit(0.0))
+    # Compared at nine digits, so that equal shifts are equal.
+    even = F.round(of(0), 9) > F.round(of(1), 9)
+    return first.crossJoin(F.broadcast(facts)).agg(F.when(even, f"even{by}").otherwise(f"odd{by}").alias("kind"))
 
 
 def topology(centres: DataFrame, kind: str | None = None, platform: str | None = None) -> str:
-    """The kind of neighbourhood: the one asked for, else the platform's, else what the centres look like."""
+    """The kind of neighbourhood: the one asked for, else the platform's, else what the centres look like.
+
+    ``hex_parity`` names shifted lines by their numbers, which begin at 1, ``neighbours`` by how many lines come before; so the names are turned.
+    """
     if kind:
         return kind
     if platform in ("xenium", "cosmx"):
         return "queen"
     if platform == "visium" or hex_like(centres).first().hex:
-        return hex_parity(centres).first().kind
+        found = hex_parity(centres).first().kind
+        return {"oddr": "evenr", "evenr": "oddr"}[found]
     return "queen"

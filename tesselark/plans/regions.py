@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.functions import ranks
+from tesselark.operators import benchmark as B
 from tesselark.operators import graph as K
+from tesselark.operators import grid as G
 from tesselark.operators import polygons as P
 from tesselark.operators import trees as T
 from tesselark.plans import catalog as C
@@ -100,3 +102,55 @@ def paths_through_feature(s, d):
 def paths_through_two(s, d):
     kept, hubs = _strongest(s, d)
     return K.paths_through(kept, *hubs).select(F.array_join("path", "->").alias("path"), "length")
+
+
+# ---- walks, sets of first edges, repeats -----------------------------------------------------------------------------
+
+_PREFER = (
+    "WITH bt AS (SELECT a AS src, b AS dst, round(weight, 6) AS weight FROM medges UNION ALL SELECT b, a, round(weight, 6) FROM medges), sh AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM bt), "
+    "va AS (SELECT feature, count(*) * 1.0 / (SELECT count(*) FROM bins) AS v FROM cnt WHERE feature IN (SELECT src FROM bt) GROUP BY feature), qs AS (SELECT quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM va), "
+    "ex AS (SELECT feature, exp(greatest(lo, least(hi, v)) - hi) AS e FROM va, qs), r0 AS (SELECT feature AS f, e / (SELECT sum(e) FROM ex) AS share, e / (SELECT sum(e) FROM ex) AS pr FROM ex)"
+    + "".join(f", r{i} AS (SELECT r0.f, r0.share, 0.15 * r0.share + 0.85 * pin AS pr FROM r0 JOIN (SELECT dst, sum(p * pr) AS pin FROM sh JOIN r{i - 1} ON f = src GROUP BY dst) ON dst = r0.f)" for i in range(1, 7))
+    + " "
+)
+
+
+def _walk(s, d):
+    e = V.once(s, "edges", lambda: C.rounded(C._edges(s, d)))
+    bins = V.bins(s, d)
+    share = G.coverage(bins).select("feature", (F.col("pct") / 100).alias("value"))
+    return e, K.pagerank(e, rounds=6, prefer=K.preference(share, K.degrees(e)))
+
+
+@query(_PREFER + "SELECT f AS feature, " + r6(pr="pr") + " FROM r6")
+def node_pagerank_preferring(s, d):
+    return _walk(s, d)[1]
+
+
+@query(_PREFER + "SELECT a, b, " + r6(weight="CASE WHEN w > 0.005 THEN w ELSE 0 END") + " FROM (SELECT a, b, round(weight, 6) * (x.pr + y.pr) / 2 AS w FROM medges JOIN r6 x ON x.f = a JOIN r6 y ON y.f = b)")
+def edges_reweighted(s, d):
+    e, rank = _walk(s, d)
+    return K.reweighted(e, rank, 0.005)
+
+
+_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query(
+    "WITH st AS (SELECT DISTINCT method, n, pos FROM cur), ts AS (SELECT method, n, pos, 'n' || s AS top, CAST(s AS BIGINT) AS size FROM st, (VALUES (10), (30), (50), (100)) t(s) UNION ALL SELECT method, n, pos, 'share' || CAST(s AS DOUBLE), CAST(greatest(1, ceil(s * n - 1e-9)) AS BIGINT) FROM st, (VALUES (0.01), (0.05), (0.1)) t(s)), "
+    "hit AS (SELECT ts.*, tp FROM ts JOIN cur ON cur.method = ts.method AND k = size) SELECT method, top, CAST(tp AS BIGINT) AS positives, "
+    + r6(precision="tp / size", enrichment="tp / size / nullif(pos / n, 0)", p="least(1.0, list_sum(list_transform(range(CAST(tp AS BIGINT), CAST(least(size, pos) AS BIGINT) + 1), lambda x: CASE WHEN size - x <= n - pos THEN exp(" + _CHOOSE.format("pos", "x") + " + " + _CHOOSE.format("(n - pos)", "(size - x)") + " - " + _CHOOSE.format("n", "size") + ") ELSE 0 END)))")
+    + " FROM hit"
+)
+def enrichment_of_first(s, d):
+    return B.enrichment_sets(C._labelled(s, d), [10, 30, 50, 100], [0.01, 0.05, 0.1])
+
+
+@query("SELECT method, CAST(k AS INTEGER) AS top, (SELECT count(*) FROM inter WHERE score >= 700) AS universe, " + r6(recall="tp / nullif((SELECT count(*) FROM inter WHERE score >= 700), 0)") + " FROM cur WHERE k IN (10, 30, 50, 100)")
+def recall_over_universe(s, d):
+    return B.recall_of_universe(C._labelled(s, d), V.interactions(s, d), [10, 30, 50, 100])
+
+
+@query("SELECT grid, count(gib) AS n, " + r6(mean="avg(gib)", sd="stddev_samp(gib)") + " FROM (" + C.SQL["run_resampled"] + ") GROUP BY grid")
+def run_mean_of_repeats(s, d):
+    return B.mean_of_repeats(B.resample(B.cpu_series(V.samples(s, d)), 86400, "gib"), "gib")

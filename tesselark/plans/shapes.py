@@ -193,12 +193,14 @@ def rewired_null(s, d):
 
 # ---- hexagons ------------------------------------------------------------------------------------------------------
 
-_HEX = "SELECT i AS gx, j AS gy, i + CASE WHEN j % 2 = 0 THEN 0.5 ELSE 0 END AS cx, j * 0.8660254 AS cy FROM range(1, 21) a(i), range(1, 21) b(j)"
+#: Customers as hexagons, twenty a row, even rows shifted.
+_HEX = "SELECT c_custkey % 20 + 1 AS gx, c_custkey // 20 + 1 AS gy, c_custkey % 20 + 1 + CASE WHEN (c_custkey // 20 + 1) % 2 = 0 THEN 0.5 ELSE 0 END AS cx, (c_custkey // 20 + 1) * 0.8660254 AS cy FROM customer"
 
 
-def _hexes(s):
-    return s.range(400).select((F.col("id") % 20 + 1).cast("int").alias("gx"), (F.floor(F.col("id") / 20) + 1).cast("int").alias("gy")).select(
-        "gx", "gy", (F.col("gx") + F.when(F.col("gy") % 2 == 0, 0.5).otherwise(0.0)).alias("cx"), (F.col("gy") * 0.8660254).alias("cy"))
+def _hexes(s, d):
+    k = F.col("c_custkey")
+    at = V.table(s, d, "customer").select((k % 20 + 1).cast("int").alias("gx"), (F.floor(k / 20) + 1).cast("int").alias("gy"))
+    return at.select("gx", "gy", (F.col("gx") + F.when(F.col("gy") % 2 == 0, 0.5).otherwise(0.0)).alias("cx"), (F.col("gy") * 0.8660254).alias("cy"))
 
 
 @query(
@@ -207,9 +209,20 @@ def _hexes(s):
     "SELECT sl >= 0.4 AND greatest(horizontal, vertical) < 0.8 AND abs(ratio - 1) <= 0.2 AS hex, " + r6(horizontal="horizontal", vertical="vertical", ratio="ratio") + " FROM m"
 )
 def lattice_hex_like(s, d):
-    return W.hex_like(_hexes(s))
+    return W.hex_like(_hexes(s, d))
 
 
-@query("SELECT 'evenr' AS kind")
+@query(
+    f"WITH hx AS ({_HEX}), st AS (SELECT median(step) AS step FROM (SELECT cx - lag(cx) OVER (PARTITION BY gy ORDER BY cx) AS step FROM hx)), fi AS (SELECT gy, min(cx) AS ax FROM hx GROUP BY gy), "
+    "sh AS (SELECT gy, 2 * abs(q - round_even(q, 0)) AS shift FROM (SELECT gy, (ax - (SELECT min(ax) FROM fi)) / (SELECT step FROM st) AS q FROM fi)) "
+    "SELECT CASE WHEN avg(shift) FILTER (gy % 2 = 0) > avg(shift) FILTER (gy % 2 = 1) THEN 'evenr' ELSE 'oddr' END AS kind FROM sh"
+)
 def lattice_hex_parity(s, d):
-    return W.hex_parity(_hexes(s))
+    return W.hex_parity(_hexes(s, d))
+
+
+@query(f"WITH hx AS ({_HEX}) SELECT a.gx, a.gy, count(b.gx) AS n FROM hx a JOIN hx b ON abs(a.cx - b.cx) < 1.01 AND abs(a.cy - b.cy) < 0.9 AND NOT (a.gx = b.gx AND a.gy = b.gy) AND sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) < 1.01 GROUP BY ALL")
+def weights_by_topology(s, d):
+    """Spots' neighbourhoods are hexagons; which rows are shifted is told from the centres."""
+    at = _hexes(s, d)
+    return W.neighbours(at, W.topology(at, platform="visium")).groupBy("gx", "gy").agg(F.count("*").alias("n"))

@@ -66,3 +66,31 @@ def test_paths_through_features(spark):
     with pytest.raises(ValueError, match="more than 5 paths"):
         K.paths_through(e, "1", most=5)
     assert K.paths_through(e, "absent").count() == 0
+
+
+def test_shifted_rows_are_told_and_used(spark):
+    from tesselark.operators import weights as W
+
+    for even in (True, False):
+        rows = [(x, y, x + (0.5 if (y % 2 == 0) == even else 0.0), y * 0.8660254) for x in range(1, 7) for y in range(1, 7)]
+        at = spark.createDataFrame(rows, "gx int, gy int, cx double, cy double")
+        assert W.hex_parity(at).first().kind == ("evenr" if even else "oddr")
+        near = {(p[0], p[1], q[0], q[1]) for p in rows for q in rows if 0 < np.hypot(p[2] - q[2], p[3] - q[3]) < 1.01}
+        assert {(r.gx, r.gy, r.hx, r.hy) for r in W.neighbours(at, W.topology(at, platform="visium")).collect()} == near
+    level = spark.createDataFrame([(x, y, float(x), float(y)) for x in range(1, 4) for y in range(1, 4)], "gx int, gy int, cx double, cy double")
+    assert W.hex_parity(level).first().kind == "oddr" and W.topology(level) == "queen" and W.topology(level, "rook") == "rook"
+
+
+def test_walks_that_prefer(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 3.0)], "a string, b string, weight double")
+    share = {r.feature: r.share for r in K.preference(spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 1.0)], "feature string, value double"), K.degrees(e)).collect()}
+    assert sum(share.values()) == pytest.approx(1) and share["a"] > share["b"] == share["d"]
+    p = np.array([share[k] for k in "abcd"])
+    w = np.array([[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 3], [0, 0, 3, 0]], float)
+    rank = p
+    for _ in range(7):
+        rank = 0.15 * p + 0.85 * (w / w.sum(axis=1, keepdims=True)).T @ rank
+    got = K.pagerank(e, rounds=7, prefer=spark.createDataFrame(list(share.items()), "feature string, share double"))
+    assert {r.feature: r.pr for r in got.collect()} == {k: pytest.approx(v) for k, v in zip("abcd", rank)}
+    low = K.reweighted(e, got, 0.3).collect()
+    assert [(r.a, r.weight > 0) for r in sorted(low)] == [("a", False), ("b", False), ("c", True)]
