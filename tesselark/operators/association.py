@@ -317,8 +317,11 @@ def delta(l: DataFrame, r: DataFrame) -> DataFrame:
 
 def extremes(pairs: DataFrame, value: str, n: int) -> DataFrame:
     """The n largest and the n smallest, all ties included, each pair once."""
-    up, down = Window.orderBy(F.desc(value)), Window.orderBy(value)
-    return pairs.withColumn("_u", F.rank().over(up)).withColumn("_d", F.rank().over(down)).where((F.col("_u") <= n) | (F.col("_d") <= n)).drop("_u", "_d")
+    # The n-th values are found by a bounded sort; everything at or beyond them stays, ties included.
+    kept = pairs.where(F.col(value).isNotNull())
+    high = kept.orderBy(F.desc(value)).limit(n).agg(F.min(value).alias("_high"))
+    low = kept.orderBy(value).limit(n).agg(F.max(value).alias("_low"))
+    return kept.crossJoin(F.broadcast(high)).crossJoin(F.broadcast(low)).where((F.col(value) >= F.col("_high")) | (F.col(value) <= F.col("_low"))).drop("_high", "_low")
 
 
 def outside_curve(pairs: DataFrame, curve: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselark.functions.ranks import values_at
 from tesselark.sources.files import materialised
 
 
@@ -17,20 +20,19 @@ def symmetric(edges: DataFrame, value: str = "weight", how=F.max) -> DataFrame:
 def quantile_filter(edges: DataFrame, nodes: DataFrame, q: float) -> DataFrame:
     """Weights at least the q-quantile of the full square matrix, its absent cells and both directions included.
 
-    The position is found by arithmetic: zeros are counted, not made. Weights are not negative.
+    The position is found by arithmetic: zeros are counted, not made, and the weights next to it come from ``ranks``. Weights are not negative.
     """
-    n = nodes.agg(F.count("*").alias("nodes"))
-    stored = edges.agg(F.count("*").alias("e"))
-    facts = n.crossJoin(stored).select((F.col("nodes") * F.col("nodes")).alias("cells"), (F.col("nodes") * F.col("nodes") - 2 * F.col("e")).alias("zeros"))
-    rank = F.row_number().over(Window.orderBy("weight", "a", "b"))
-    # Each edge fills two cells, at sorted positions zeros + 2 rank - 2 and the next (from 0).
-    placed = edges.withColumn("k", rank).crossJoin(F.broadcast(facts))
-    pos = F.lit(q) * (F.col("cells") - 1)
-    at = lambda p: F.max(F.when(F.floor((p - F.col("zeros")) / 2) + 1 == F.col("k"), F.col("weight")))
-    cut = placed.agg(at(F.floor(pos)).alias("lo"), at(F.ceil(pos)).alias("hi"), F.max(pos - F.floor(pos)).alias("t"))
-    low, high = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(0.0))
-    cut = cut.select((low + F.coalesce("t", F.lit(0.0)) * (high - low)).alias("cut"))
-    return edges.crossJoin(F.broadcast(cut)).where(F.round("weight", 9) >= F.round("cut", 9)).drop("cut")
+    n, stored = nodes.count(), edges.count()
+    if not stored:
+        return edges
+    zeros = n * n - 2 * stored
+    # Each edge fills two cells; sorted, the zeros come first.
+    at = q * (n * n - 1)
+    places = [floor(at), ceil(at)]
+    held = sorted({(p - zeros) // 2 for p in places if p >= zeros})
+    value = dict(zip(held, values_at(edges, "weight", held)))
+    low, high = (value[(p - zeros) // 2] if p >= zeros else 0.0 for p in places)
+    return edges.where(F.round("weight", 9) >= F.round(F.lit(low + (at - places[0]) * (high - low)), 9))
 
 
 def threshold_graph(pairs: DataFrame, least: float, value: str = "l") -> DataFrame:
