@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.operators import association as A
-from tesselark.operators import community as M
+from tesselark.operators import trees as T
 
 
 def co_membership(modules: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def with_backbone(edges: DataFrame, full: DataFrame, modules: DataFrame, q: floa
     inside = lambda e: e.join(m.toDF("a", "module"), "a").join(m.toDF("b", "other"), "b").where("module = other AND weight > 0").select("module", "a", "b", "weight")
     own = inside(edges)
     lent = inside(full).join(own.select("module").distinct(), "module", "left_anti")
-    tree = M.spanning_forest(own.union(lent).select("a", "b", "weight"), m).select("a", "b", F.lit(True).alias("kept"))
+    tree = T.spanning_forest(own.union(lent).select("a", "b", "weight"), m).select("a", "b", F.lit(True).alias("kept"))
     floor = edges.where("weight > 0").agg(F.coalesce(F.greatest(F.lit(1e-8), F.percentile("weight", F.lit(min(max(q, 0.0), 0.25)))), F.lit(1e-6)).alias("floor"))
     both = edges.select("a", "b", "weight").join(tree, ["a", "b"], "full").crossJoin(F.broadcast(floor))
     return both.select("a", "b", F.when(F.col("kept"), F.greatest(F.coalesce("weight", F.lit(0.0)), "floor")).otherwise(F.col("weight")).alias("weight"))
@@ -115,7 +115,7 @@ def graph_quality(pairs: DataFrame, features: DataFrame, modules: DataFrame, lea
     facts = deg.agg(F.count("*").alias("n"), F.avg("degree").alias("mean_degree"), F.stddev_samp("degree").alias("sd_degree"), F.percentile("degree", F.lit(0.5)).alias("middle"))
     hubs = deg.crossJoin(F.broadcast(facts)).agg(F.avg((F.col("degree") > 2 * F.col("middle")).cast("double")).alias("hub_ratio"))
     # A forest has one edge less than nodes in every component.
-    tree = M.spanning_forest(e).agg(F.count("*").alias("tree"))
+    tree = T.spanning_forest(e).agg(F.count("*").alias("tree"))
     n = F.col("n").cast("double")
     return facts.crossJoin(hubs).crossJoin(tree).crossJoin(K.modularity(e, modules)).select(
         (F.col("mean_degree") / (n - 1)).alias("density"), (F.col("n") - F.col("tree")).alias("components"), "mean_degree", "sd_degree", "hub_ratio", "modularity"
