@@ -25,6 +25,15 @@ def _best_first():
     return F.min(F.struct((-F.col("weight")).alias("n"), "a", "b", "ca", "cb"))
 
 
+def hooked(first: DataFrame) -> DataFrame:
+    """Rows (node, root) of the groups that first edges outward (node, f with ca and cb) make of nodes: of two that point at each other the lesser is a root."""
+    other = F.when(F.col("f.ca") == F.col("node"), F.col("f.cb")).otherwise(F.col("f.ca"))
+    point = first.select("node", other.alias("parent"))
+    back = point.select(F.col("node").alias("parent"), F.col("parent").alias("again"))
+    parents = point.join(back, "parent").select("node", F.when((F.col("again") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent"))
+    return roots(parents)
+
+
 def spanning_forest(edges: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """The forest of greatest weights (of each module, if given): (module, a, b, weight); ties by a, then b.
 
@@ -42,12 +51,7 @@ def spanning_forest(edges: DataFrame, modules: DataFrame | None = None) -> DataF
         first = materialised(ends.groupBy("module", F.col("p.node").alias("node")).agg(_best_first().alias("f")), "first")
         chosen = first.select("module", "f.a", "f.b", (-F.col("f.n")).alias("weight")).distinct()
         kept = chosen if kept is None else kept.union(chosen)
-        # Pointers along the chosen edges: of two that point at each other the lesser is a root.
-        other = F.when(F.col("f.ca") == F.col("node"), F.col("f.cb")).otherwise(F.col("f.ca"))
-        point = first.select("node", other.alias("parent"))
-        back = point.select(F.col("node").alias("parent"), F.col("parent").alias("again"))
-        parents = point.join(back, "parent").select("node", F.when((F.col("again") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent"))
-        root = roots(parents)
+        root = hooked(first)
         moved = live.join(root.toDF("ca", "ra"), "ca").join(root.toDF("cb", "rb"), "cb").where("ra <> rb")
         one = moved.select("module", "a", "b", "weight", F.least("ra", "rb").alias("ca"), F.greatest("ra", "rb").alias("cb"))
         live = materialised(one.groupBy("module", "ca", "cb").agg(_best_first().alias("f")).select("module", "f.a", "f.b", (-F.col("f.n")).alias("weight"), "f.ca", "f.cb"), "live")
