@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselark.functions import ranks
 from tesselark.operators import benchmark as B
+from tesselark.operators import dendrogram as D
 from tesselark.operators import graph as K
 from tesselark.operators import grid as G
 from tesselark.operators import polygons as P
@@ -78,6 +79,63 @@ def module_bridges(s, d):
     return T.bridges(_graph(s, d), V.modules(s, d).where("module >= 0"))
 
 
+# ---- dendrograms -----------------------------------------------------------------------------------------------------
+
+#: Of all pairs in a tree, the last edge on their path; the two sides of each merge, the tighter first.
+_MERGES = (
+    _G + "e0 AS (SELECT 0 AS module, * FROM g), " + _FOREST.format(e="e0")
+    + ", fk AS (SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS j FROM forest), bi AS (SELECT a AS x, b AS y, j FROM fk UNION ALL SELECT b, a, j FROM fk), "
+    "tp AS (SELECT DISTINCT x AS u, x AS v, x AS prev, CAST(0 AS BIGINT) AS m FROM bi UNION ALL SELECT u, y, v, greatest(m, j) FROM tp JOIN bi ON x = v WHERE y <> prev), "
+    "mem AS (SELECT j, u AS side, v, m FROM fk JOIN tp ON (u = a OR u = b) AND m < j), "
+    "sd AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY last, side) AS place FROM (SELECT j, side, count(*) AS size, max(m) AS last FROM mem GROUP BY j, side)), "
+    "sh AS (SELECT r.j, r.side, l.size AS shift FROM sd r JOIN sd l ON l.j = r.j AND l.place = 1 AND r.place = 2), "
+    "lv AS (SELECT u AS feature, min(v) AS tree, 1 + coalesce((SELECT sum(shift) FROM mem JOIN sh USING (j, side) WHERE v = tp.u), 0) AS position FROM tp GROUP BY u) "
+)
+
+
+def _arranged(s, d):
+    return D.arranged(D.merge_tree(T.spanning_forest(_graph(s, d))))
+
+
+@query(_MERGES + "SELECT feature, tree, CAST(position AS BIGINT) AS position FROM lv")
+def dendrogram_leaf_order(s, d):
+    return D.leaf_order(_arranged(s, d))
+
+
+@query(
+    _MERGES + ", lo AS (SELECT min(weight) AS low, max(weight) AS high FROM fk) SELECT a, b, " + r6(weight="weight", height="1.2 * -ln(CASE WHEN weight > low THEN greatest((weight - low) / greatest(1e-12, high - low), 1e-9) ELSE 1e-6 END)")
+    + ", (SELECT CAST(sum(size) AS BIGINT) FROM sd WHERE sd.j = fk.j) AS size, (SELECT CAST(min(position) AS BIGINT) FROM mem JOIN lv ON feature = v WHERE mem.j = fk.j) AS start, "
+    "(SELECT a FROM fk p WHERE p.j = up) AS above_a, (SELECT b FROM fk p WHERE p.j = up) AS above_b FROM (SELECT *, (SELECT min(j) FROM mem WHERE v = f.a AND mem.j > f.j) AS up FROM fk f) fk, lo"
+)
+def dendrogram_merges(s, d):
+    forest = V.once(s, "forest", lambda: T.spanning_forest(_graph(s, d)).select("a", "b", "weight"))
+    found = D.merges(D.arranged(D.merge_tree(forest)))
+    return found.join(D.lengths(forest).select("a", "b", F.col("length").alias("height")), ["a", "b"])
+
+
+#: Five picks are more than a module of these tables has room for.
+_PICKS = 5
+
+
+def _branch_sql() -> str:
+    out = (
+        _G + "mo AS (SELECT feature, num % 3 AS module FROM brands), e0 AS (SELECT x.module, a, b, weight FROM g JOIN mo x ON x.feature = a JOIN mo y ON y.feature = b WHERE x.module = y.module), " + _FOREST.format(e="e0")
+        + ", bi AS (SELECT module, a AS x, b AS y FROM forest UNION ALL SELECT module, b, a FROM forest), "
+        "cp AS (SELECT module, x AS r, y AS t, y AS v, x AS prev FROM bi UNION ALL SELECT cp.module, r, t, y, v FROM cp JOIN bi ON x = v WHERE y <> prev), "
+        "q1 AS (SELECT module, r, t, list_append(list(v), r) AS part, count(*) AS size FROM cp WHERE (SELECT count(*) FROM bi WHERE x = r) > 1 GROUP BY module, r, t HAVING count(*) >= 3)"
+    )
+    for k in range(1, _PICKS + 1):
+        out += f", p{k} AS (SELECT module, {k} AS pick, part FROM q{k} QUALIFY row_number() OVER (PARTITION BY module ORDER BY size DESC, r, t) = 1), q{k + 1} AS (SELECT q{k}.* FROM q{k} JOIN p{k} USING (module) WHERE NOT list_has_any(q{k}.part, p{k}.part))"
+    every = " UNION ALL ".join(f"SELECT module, pick, unnest(part) AS f FROM p{k}" for k in range(1, _PICKS + 1))
+    return out + f", hit AS ({every}) SELECT x AS feature, CAST(module AS INTEGER) AS module, module || '_sub' || pick AS branch FROM (SELECT DISTINCT module, x FROM bi) LEFT JOIN (SELECT f AS x, pick FROM hit) USING (x)"
+
+
+@query(_branch_sql())
+def dendrogram_branches(s, d):
+    groups = V.brands(s, d).select("feature", (F.col("num") % 3).cast("int").alias("module"))
+    return D.branches(T.spanning_forest(_graph(s, d), groups))
+
+
 # ---- paths -----------------------------------------------------------------------------------------------------------
 
 #: All simple paths of the graph's strongest fifth, from every feature.
