@@ -315,13 +315,36 @@ def delta(l: DataFrame, r: DataFrame) -> DataFrame:
     return l.where("a < b").join(r, ["a", "b"]).select("a", "b", "l", "r", (F.col("l") - F.col("r")).alias("delta"))
 
 
-def extremes(pairs: DataFrame, value: str, n: int) -> DataFrame:
-    """The n largest and the n smallest, all ties included, each pair once."""
+def extremes(pairs: DataFrame, value: str, n: int, direction: str = "both") -> DataFrame:
+    """The n largest and the n smallest (or one of these: ``largest``, ``smallest``), all ties included, each pair once."""
     # The n-th values are found by a bounded sort; everything at or beyond them stays, ties included.
     kept = pairs.where(F.col(value).isNotNull())
     high = kept.orderBy(F.desc(value)).limit(n).agg(F.min(value).alias("_high"))
     low = kept.orderBy(value).limit(n).agg(F.max(value).alias("_low"))
-    return kept.crossJoin(F.broadcast(high)).crossJoin(F.broadcast(low)).where((F.col(value) >= F.col("_high")) | (F.col(value) <= F.col("_low"))).drop("_high", "_low")
+    beyond = {"largest": F.col(value) >= F.col("_high"), "smallest": F.col(value) <= F.col("_low")}
+    wanted = beyond["largest"] | beyond["smallest"] if direction == "both" else beyond[direction]
+    return kept.crossJoin(F.broadcast(high)).crossJoin(F.broadcast(low)).where(wanted).drop("_high", "_low")
+
+
+def top_pairs(
+    pairs: DataFrame, n: int, direction: str = "largest", curve: DataFrame | None = None, rule: str = "remove_within", r_range: tuple[float, float] = (-1.0, 1.0), l_range: tuple[float, float] = (-1.0, 1.0)
+) -> DataFrame:
+    """The pairs (a, b, l, r, delta) of the most extreme delta, ties included, among those that the band and the ranges (ends included) leave.
+
+    ``rule`` drops pairs within the curve's band, those outside it (``remove_outside``), or none; the first two need a curve, and asking for them without
+    one is an error. Pairs without a value are outside of every range. Where nothing is left the result is empty.
+    """
+    if rule not in ("remove_within", "remove_outside", "none"):
+        raise ValueError(f"unknown rule {rule}")
+    if direction not in ("largest", "smallest", "both"):
+        raise ValueError(f"unknown direction {direction}")
+    if rule != "none" and curve is None:
+        raise ValueError(f"rule {rule} needs a curve")
+    kept = pairs.where(F.col("r").between(*r_range) & F.col("l").between(*l_range))
+    if rule != "none":
+        outside = outside_curve(kept, curve)
+        kept = outside if rule == "remove_within" else kept.join(outside.select("a", "b"), ["a", "b"], "left_anti")
+    return extremes(kept, "delta", n, direction)
 
 
 def outside_curve(pairs: DataFrame, curve: DataFrame) -> DataFrame:

@@ -227,6 +227,44 @@ def refill(edges: DataFrame, top: int, multiplier: int = 5) -> DataFrame:
     return held.withColumn("shortfall", (F.lit(top) - have).cast("long")).withColumn("status", F.when(F.col("shortfall") == 0, "ok").otherwise("insufficient_mappable_edges")).drop("_k")
 
 
+def permuted_ids(ids: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """(draw, feature, id): the features' ids (missing ones too) dealt anew by hashes of seed, draw and feature; draw 0 is as given."""
+    # Features are at most some ten thousands, so the one window over their names is small.
+    placed = ids.select("feature", "id", F.row_number().over(Window.orderBy("feature")).alias("k"))
+    many = placed.select("feature", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    order = F.md5(F.concat_ws("|", F.lit(seed), "draw", "feature"))
+    dealt = many.withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy(order, "feature"))).join(placed.select("k", "id"), "k")
+    return dealt.select("draw", "feature", "id").union(placed.select(F.lit(0), "feature", "id"))
+
+
+def label_null(edges: DataFrame, ids: DataFrame, reference: DataFrame, sizes: list[int], draws: int, rate: float | None = None, least: float = 700, seed: int = 1) -> DataFrame:
+    """Per size k: the precision of the first k edges (a, b, weight) with two ids, and of as many under each of ``draws`` permuted mappings of
+    features to ids: (top, observed, null_mean, null_sd, z, p), and where an expected ``rate`` of positives is given, the enrichments.
+
+    Ties of weight go by a, then b. Draws of fewer than k such edges count over those they have; p is (1 + draws not below) / (1 + draws). Only the first
+    edges of each draw (partial top-k before the shuffle) meet the reference.
+    """
+    m = permuted_ids(ids, draws, seed).where("id IS NOT NULL")
+    one, two = (m.select("draw", F.col("feature").alias(x), F.col("id").alias(f"i{x}")) for x in "ab")
+    e = edges.where("weight IS NOT NULL").select("a", "b", "weight").join(one, "a").join(two, ["draw", "b"])
+    rank = F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("weight"), "a", "b"))
+    first = e.withColumn("k", rank).where(F.col("k") <= max(sizes))
+    x, y = key_pair("p", "q")
+    known = reference.groupBy(x.alias("x"), y.alias("y")).agg(F.max("score").alias("s")).where(F.col("s") >= least)
+    u, v = key_pair("ia", "ib")
+    hit = first.select("draw", "k", u.alias("x"), v.alias("y")).join(known, ["x", "y"], "left").select("draw", "k", F.col("s").isNotNull().cast("double").alias("yes"))
+    top = hit.select("draw", "k", "yes", F.explode(F.array(*map(F.lit, sizes))).alias("top")).where("k <= top")
+    found = top.groupBy("top", "draw").agg(F.avg("yes").alias("v"))
+    null = F.when(F.col("draw") > 0, F.col("v"))
+    seen = found.withColumn("observed", F.max(F.when(F.col("draw") == 0, F.col("v"))).over(Window.partitionBy("top")))
+    out = seen.groupBy("top", "observed").agg(F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), ((1 + F.count(F.when(null >= F.col("observed"), 1))) / (1 + F.count(null))).alias("p"))
+    out = out.withColumn("z", (F.col("observed") - F.col("null_mean")) / F.nullif("null_sd", F.lit(0.0)))
+    columns = ["top", "observed", "null_mean", "null_sd", "z", F.when(F.col("observed").isNotNull(), F.col("p")).alias("p")]
+    if rate:
+        columns += [(F.col("observed") / rate).alias("enrichment"), (F.col("null_mean") / rate).alias("null_enrichment")]
+    return out.select(*columns)
+
+
 def background(ids: DataFrame, reference: DataFrame, levels: list[float]) -> DataFrame:
     """Per level: mapped ids, their pairs, and the distinct pairs of mapped ids with a score at or above the level."""
     known = ids.where("id IS NOT NULL").select("id").distinct()

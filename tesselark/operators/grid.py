@@ -190,3 +190,22 @@ def top_features(counts: DataFrame, n: int, by: str = "mean", seed: int = 1) ->
     values = {"mean": mean, "variance": F.col("q") / F.col("bins") - mean * mean, "presence": F.col("k") / F.col("bins")}
     value = values[by] if by != "random" else F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "feature")), 1, 8), 16, 10).cast("double")
     return one.select("feature", value.alias("value")).orderBy(F.round("value", 9).desc(), "feature").limit(n)
+
+
+def clipped(values: DataFrame, value: str, share: float = 1.0) -> DataFrame:
+    """A column held below ``share`` of its greatest value, which comes as ``cut``: the colours of a plot of densities; nulls are 0."""
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    cut = values.agg((F.max(v) * share).alias("cut"))
+    return values.crossJoin(F.broadcast(cut)).withColumn(value, F.least(v, F.col("cut")))  # one row
+
+
+def expression_points(counts: DataFrame, centroids: DataFrame, features: dict[str, float]) -> DataFrame:
+    """Points (feature, cell, x, y, e) of cells that express one of some features, each held below its share of the greatest count.
+
+    Counts (cell, feature, n), repeated ones summed; cells without a centroid (cell, x, y) have no point.
+    """
+    share = F.create_map(*[F.lit(v) for pair in features.items() for v in pair])
+    n = counts.where(F.col("feature").isin(list(features))).groupBy("cell", "feature").agg(F.sum("n").cast("double").alias("e"))
+    cut = n.groupBy("feature").agg(F.max("e").alias("most"))
+    e = n.join(F.broadcast(cut), "feature").withColumn("e", F.least("e", F.col("most") * share[F.col("feature")])).where("e > 0")  # a row a feature named
+    return e.join(centroids.select("cell", "x", "y"), "cell").select("feature", "cell", "x", "y", "e")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.functions import ranks
+from tesselark.operators import association as A
 from tesselark.operators import benchmark as B
 from tesselark.operators import dendrogram as D
 from tesselark.operators import graph as K
@@ -212,3 +213,53 @@ def recall_over_universe(s, d):
 @query("SELECT grid, count(gib) AS n, " + r6(mean="avg(gib)", sd="stddev_samp(gib)") + " FROM (" + C.SQL["run_resampled"] + ") GROUP BY grid")
 def run_mean_of_repeats(s, d):
     return B.mean_of_repeats(B.resample(B.cpu_series(V.samples(s, d)), 86400, "gib"), "gib")
+
+
+# ---- selected pairs, permuted ids, tables of density plots -------------------------------------------------------------
+
+
+#: A narrow band around a line, and its segments in SQL.
+_BAND = [(r, lo / 5, hi / 5) for r, lo, hi in C._CURVE]
+_SEGMENTS = C._DELTA + ", bs AS (SELECT dl.*, lo + (r - x0) / (x1 - x0) * (l2 - lo) AS bl, hi + (r - x0) / (x1 - x0) * (h2 - hi) AS bh FROM dl JOIN (VALUES " + ", ".join("(" + ", ".join(f"CAST({v} AS DOUBLE)" for v in (a, b, *p, *q)) + ")" for (a, *p), (b, *q) in zip(_BAND, _BAND[1:])) + ") t(x0, x1, lo, hi, l2, h2) ON r >= x0 AND r < x1) SELECT a, b, " + r6(l="l", r="r", delta="delta") + " FROM bs "
+
+
+@query(_SEGMENTS + "WHERE NOT (l >= bl AND l <= bh) AND r BETWEEN -0.4 AND 0.1 AND l BETWEEN -0.5 AND 0.4 QUALIFY rank() OVER (ORDER BY delta DESC) <= 12")
+def delta_selected(s, d):
+    return A.top_pairs(C._delta(s, d), 12, "largest", s.createDataFrame(_BAND, "r double, lo double, hi double"), r_range=(-0.4, 0.1), l_range=(-0.5, 0.4))
+
+
+@query(_SEGMENTS + "WHERE l >= bl AND l <= bh QUALIFY rank() OVER (ORDER BY delta DESC) <= 7 OR rank() OVER (ORDER BY delta) <= 7")
+def delta_selected_inside(s, d):
+    return A.top_pairs(C._delta(s, d), 7, "both", s.createDataFrame(_BAND, "r double, lo double, hi double"), "remove_outside")
+
+
+@query(
+    "WITH fe AS (SELECT feature, CASE WHEN num % 11 <> 0 THEN feature END AS id, row_number() OVER (ORDER BY feature) AS i FROM brands), "
+    "dr AS (SELECT d, feature, row_number() OVER (PARTITION BY d ORDER BY md5('1|' || d || '|' || feature), feature) AS i FROM fe, range(1, 201) t(d)), "
+    "mp AS (SELECT d, dr.feature, fe.id FROM dr JOIN fe USING (i) UNION ALL SELECT 0, feature, id FROM fe), "
+    "kn AS (SELECT x.d, least(x.id, y.id) AS p, greatest(x.id, y.id) AS q, row_number() OVER (PARTITION BY x.d ORDER BY round(weight, 6) DESC, a, b) AS r FROM medges JOIN mp x ON x.feature = a JOIN mp y ON y.feature = b AND y.d = x.d WHERE x.id IS NOT NULL AND y.id IS NOT NULL), "
+    "pr AS (SELECT top, d, avg(CAST(coalesce(score, 0) >= 700 AS INT)) AS v FROM kn LEFT JOIN inter USING (p, q), (VALUES (10), (30), (50)) t(top) WHERE r <= top GROUP BY top, d), "
+    "ob AS (SELECT top, v AS o FROM pr WHERE d = 0) SELECT top, " + r6(observed="o", null_mean="avg(v)", null_sd="stddev_samp(v)", z="(o - avg(v)) / nullif(stddev_samp(v), 0)", p="(1 + count(*) FILTER (v >= o)) / (1 + count(*))", enrichment="o / 0.25", null_enrichment="avg(v) / 0.25")
+    + " FROM pr JOIN ob USING (top) WHERE d > 0 GROUP BY top, o"
+)
+def reference_label_null(s, d):
+    e = V.once(s, "edges", lambda: C.rounded(C._edges(s, d)))
+    return B.label_null(e, V.ids(s, d), V.reference(s, d), [10, 30, 50], 200, rate=0.25)
+
+
+@query("WITH de AS (SELECT gx, gy, floor(xmin/50)*50 + (gx - 0.5)*50 AS cx, floor(ymin/50)*50 + (gy - 0.5)*50 AS cy, coalesce(v, 0) / 2500.0 AS density FROM lim, lat LEFT JOIN (SELECT gx, gy, sum(n) AS v FROM cnt WHERE feature IN ('Brand#11', 'Brand#23', 'Brand#4') GROUP BY ALL) USING (gx, gy)) SELECT gx, gy, " + r6(cx="cx", cy="cy", density="least(density, 0.6 * (SELECT max(density) FROM de))", cut="0.6 * (SELECT max(density) FROM de)") + " FROM de")
+def plot_density(s, d):
+    tiles = G.lattice(G.bounds(V.kept(s, d)), 50)
+    dense = G.density(V.bins(s, d), tiles, C.FEATURES, "none")
+    return G.clipped(tiles.select("gx", "gy", "cx", "cy").join(dense, ["gx", "gy"], "left"), "density", 0.6).select("gx", "gy", "cx", "cy", "density", "cut")
+
+
+@query(
+    "WITH ctr AS (SELECT c_custkey AS cell, c_custkey % 20 + 1 + CASE WHEN (c_custkey // 20 + 1) % 2 = 0 THEN 0.5 ELSE 0 END AS x, (c_custkey // 20 + 1) * 0.8660254 AS y FROM customer) "
+    "SELECT feature, cell, " + r6(x="CAST(x AS DOUBLE)", y="CAST(y AS DOUBLE)", e="CAST(least(n, most * CASE feature WHEN 'Brand#11' THEN 0.5 ELSE 1 END) AS DOUBLE)") + " FROM (SELECT *, max(n) OVER (PARTITION BY feature) AS most FROM cellcnt) JOIN ctr USING (cell) WHERE feature IN ('Brand#11', 'Brand#23')"
+)
+def plot_density_centroids(s, d):
+    k = F.col("c_custkey")
+    row = F.floor(k / 20) + 1
+    at = V.table(s, d, "customer").select(k.alias("cell"), (k % 20 + 1 + F.when(row % 2 == 0, 0.5).otherwise(0.0)).alias("x"), (row * 0.8660254).alias("y"))
+    return G.expression_points(V.cells(s, d), at, {"Brand#11": 0.5, "Brand#23": 1.0})
