@@ -202,3 +202,50 @@ def stream_sample_windows(s, d):
     stream = s.readStream.schema(s.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     counts.run_once(counts.sample_windows(stream), f"{at}/out", f"{at}/state")
     return counts.final_state(s.read.parquet(f"{at}/out")).withColumn("start", F.unix_timestamp("start"))
+
+
+# ---- cells and images --------------------------------------------------------------------------------------------------
+
+_CENTRES = "SELECT (c_custkey % 9)::VARCHAR || '_' || (c_custkey // 9)::VARCHAR AS cell, CAST(c_custkey * 37 % 503 AS DOUBLE) AS x, CAST(c_custkey * 91 % 509 AS DOUBLE) / 2 AS y FROM customer"
+
+
+def _centre_file(s, d) -> str:
+    path = scratch(s, "centroids")
+    k = F.col("c_custkey")
+    V.table(s, d, "customer").select(
+        (k % 9).alias("cell_id"), F.floor(k / 9).alias("fov"), (k * 37 % 503).cast("double").alias("x_centroid"), ((k * 91 % 509) / 2).alias("y_centroid"), F.lit("other").alias("cell")
+    ).write.parquet(path)
+    return path
+
+
+@query(_CENTRES)
+def file_centroids(s, d):
+    return readers.centroids(s, _centre_file(s, d))
+
+
+@query(f"WITH ce AS ({_CENTRES}), co AS (SELECT (cell % 9)::VARCHAR || '_' || (cell // 9)::VARCHAR AS cell, feature, n FROM cellcnt) SELECT cell, " + r6(x="x", y="y") + ", CAST(sum(n) AS BIGINT) AS n, count(*) AS features FROM co JOIN ce USING (cell) WHERE feature NOT LIKE 'Brand#1%' GROUP BY cell, x, y")
+def file_single_cells(s, d):
+    """Cells of a centroid file with their totals; the counts name cells by number within a field, and some features go by name."""
+    at = readers.centroids(s, _centre_file(s, d))
+    c = F.col("cell")
+    counts = V.cells(s, d).withColumn("cell", F.concat_ws("_", (c % 9).cast("string"), F.floor(c / 9).cast("string")))
+    kept = readers.cell_counts(counts, at, exclude="^Brand#1")
+    return kept.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("features")).join(at, "cell").select("cell", "x", "y", "n", "features")
+
+
+@query(
+    "SELECT (c_custkey % 9)::VARCHAR || '_' || (c_custkey // 9)::VARCHAR AS cell, " + r6(x=f"avg(c_custkey * 37 % 503 + dx) * {readers.FIELD_PIXEL}", y=f"avg(c_custkey * 91 % 509 + dy) * {readers.FIELD_PIXEL}")
+    + " FROM customer, (VALUES (-3, -2), (4, -1), (1, 5), (0, 7)) t(dx, dy) GROUP BY c_custkey"
+)
+def field_cell_centres(s, d):
+    k = F.col("c_custkey")
+    corner = lambda dx, dy: F.struct((k * 37 % 503 + dx).cast("double").alias("x_px"), (k * 91 % 509 + dy).cast("double").alias("y_px"))
+    corners = V.table(s, d, "customer").select((k % 9).alias("cell_id"), F.floor(k / 9).alias("fov"), F.inline(F.array(corner(-3, -2), corner(4, -1), corner(1, 5), corner(0, 7))))
+    return readers.field_centroids(corners)
+
+
+@query("WITH px AS (SELECT x, y, feature, x / 1.25 - 40 AS px, 300 - (y / 1.25 - 25) AS py FROM kept) SELECT feature, count(*) AS n, " + r6(px="avg(px)", py="avg(py)") + " FROM px WHERE px BETWEEN 0 AND 260 AND py BETWEEN 0 AND 300 GROUP BY feature")
+def image_pixels(s, d):
+    """Points on a crop of a histology image whose rows are counted from below."""
+    on = readers.image_window(V.kept(s, d), 260, 300, 1.25, 40, 25, from_top=False)
+    return on.groupBy("feature").agg(F.count("*").alias("n"), F.avg("px").alias("px"), F.avg("py").alias("py"))

@@ -79,3 +79,32 @@ def test_coordinates_either_way(spark, tmp_path):
         path = str(tmp_path / str(k))
         spark.createDataFrame(rows, "u string, v string, w double").toDF(*names).write.parquet(path)
         assert sorted(map(tuple, readers.coordinates(spark, path, cells).collect())) == [("c1", "g1", 3.0), ("c2", "g2", 4.0)]
+
+
+def test_images_and_their_pixels(spark, tmp_path):
+    import struct
+
+    from tesselark.sources import readers
+
+    head = lambda w, h: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h) + b"\x08\x02"
+    (tmp_path / "hires.png").write_bytes(head(2000, 70_000))
+    (tmp_path / "lowres.png").write_bytes(head(600, 480))
+    (tmp_path / "broken.png").write_bytes(b"GIF89a")
+    (tmp_path / "empty.png").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in readers.image_headers(spark, str(tmp_path / "*.png")).collect()}
+    assert got == {"hires.png": (2000, 70_000), "lowres.png": (600, 480)}
+    pts = spark.createDataFrame([(1, 20.0, 30.0), (2, 20.0, 900.0), (3, None, 1.0), (4, 10.0, 10.0)], "id int, x double, y double")
+    top = {r.id: (r.px, r.py) for r in readers.image_window(pts, 100, 50, 0.5, 20, 20).collect()}
+    below = {r.id: (r.px, r.py) for r in readers.image_window(pts, 100, 50, 0.5, 20, 20, from_top=False).collect()}
+    assert top == {1: (20.0, 40.0), 4: (0.0, 0.0)} and below == {1: (20.0, 10.0), 4: (0.0, 50.0)}
+
+
+def test_counts_of_known_cells(spark):
+    from tesselark.sources import readers
+
+    counts = spark.createDataFrame([("a", "p", 1), ("a", "NegPrb1", 2), ("b", "p", 3), (None, "p", 4), ("a", "q", 5)], "cell string, feature string, n int")
+    cells = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("c", 1.0), (None, 1.0)], "cell string, x double")
+    rows = lambda df: sorted((r.cell, r.feature, r.n) for r in df.collect())
+    assert rows(readers.cell_counts(counts, cells)) == [("a", "NegPrb1", 2), ("a", "p", 1), ("a", "q", 5)]
+    assert rows(readers.cell_counts(counts, cells, ["p", "NegPrb1"], "^NegPrb")) == [("a", "p", 1)]
+    assert rows(readers.cell_counts(counts, cells.limit(0))) == []
