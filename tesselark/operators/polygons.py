@@ -52,12 +52,13 @@ def _odd(x: Column, y: Column, lines: Column) -> Column:
 
 
 def _placed(points: DataFrame, vertices: DataFrame, ring: str | None, cell: float | None) -> tuple[DataFrame, DataFrame, Column]:
+    """The points' distinct places, the index, and when a place is inside a polygon of it: points on one place are judged once."""
     from tesselark.sources.files import materialised
 
     lines = materialised(sides(vertices, ring), "sides")
     cell = cell or cell_size(lines)
     at = lambda c: F.floor(F.col(f"p.{c}") / F.lit(float(cell)))
-    p, i = points.alias("p"), index(lines, cell).alias("i")
+    p, i = points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct().alias("p"), index(lines, cell).alias("i")
     meets = (at("x") == F.col("i.cx")) & (at("y") == F.col("i.cy")) & _odd(F.col("p.x"), F.col("p.y"), F.col("i.sides"))
     return p, i, meets
 
@@ -65,10 +66,20 @@ def _placed(points: DataFrame, vertices: DataFrame, ring: str | None, cell: floa
 def inside_any(points: DataFrame, vertices: DataFrame, ring: str | None = None, cell: float | None = None) -> DataFrame:
     """Points (x, y and whatever else) inside the union of the polygons, each once; points without a place are in none."""
     p, i, meets = _placed(points, vertices, ring, cell)
-    return p.join(i, meets, "left_semi")
+    return points.join(p.join(i, meets, "left_semi"), ["x", "y"], "left_semi").select(points.columns)
 
 
 def polygons_of(points: DataFrame, vertices: DataFrame, ring: str | None = None, cell: float | None = None) -> DataFrame:
     """A row for each point and polygon around it: the point's columns and ``polygon``."""
     p, i, meets = _placed(points, vertices, ring, cell)
-    return p.join(i, meets).select("p.*", "i.polygon")
+    return points.join(p.join(i, meets).select("p.x", "p.y", "i.polygon"), ["x", "y"]).select(*points.columns, "polygon")
+
+
+def counts_by_polygon(points: DataFrame, vertices: DataFrame, by: list[str], ring: str | None = None, cell: float | None = None) -> DataFrame:
+    """(polygon, by, n): the numbers of points in each polygon, without a row for each point and polygon: points are counted by place first."""
+    from tesselark.sources.files import materialised
+
+    counted = materialised(points.groupBy("x", "y", *by).agg(F.count("*").alias("n")), "counted")
+    p, i, meets = _placed(counted, vertices, ring, cell)
+    around = p.join(i, meets).select("p.x", "p.y", "i.polygon").repartition("polygon")
+    return around.join(counted, ["x", "y"]).groupBy("polygon", *by).agg(F.sum("n").alias("n"))

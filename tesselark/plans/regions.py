@@ -48,7 +48,7 @@ def points_in_polygon_table(s, d):
 
 @query(_SIDES + "SELECT polygon, feature, CAST(sum(n) AS BIGINT) AS n FROM pl JOIN hit USING (x, y) GROUP BY polygon, feature")
 def points_by_polygon(s, d):
-    return P.polygons_of(V.kept(s, d), outlines(s, d), "ring").groupBy("polygon", "feature").agg(F.count("*").alias("n"))
+    return P.counts_by_polygon(V.kept(s, d), outlines(s, d), ["feature"], "ring")
 
 
 # ---- forests ---------------------------------------------------------------------------------------------------------

@@ -41,6 +41,17 @@ def test_polygons_of_a_table(spark, cell):
     assert P.inside_any(pts, v.limit(0), "ring", cell).count() == 0 and P.inside_any(pts.limit(0), v, "ring", cell).count() == 0
 
 
+def test_points_on_one_place_are_judged_once(spark):
+    corners = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]
+    many = spark.range(5000).selectExpr("id AS polygon", "CAST(id % 2 AS DOUBLE) AS dx").crossJoin(spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(corners)], "k int, x double, y double"))
+    v = many.selectExpr("polygon", "k", "x + 4 * dx AS x", "y")
+    pts = spark.range(1_000_000).selectExpr("CAST(id % 4 AS DOUBLE) * 3 + 1 AS x", "1D AS y", "id % 2 AS feature")  # at 1, 4, 7 and 10
+    got = P.counts_by_polygon(pts, v, ["feature"])
+    # 2.5 thousand million pairs of a point and a polygon, but some thousand of a place and a polygon.
+    assert {(r.odd, r.feature, r.n, r["count"]) for r in got.selectExpr("polygon % 2 AS odd", "feature", "n").groupBy("odd", "feature", "n").count().collect()} == {(0, 0, 500_000, 2500), (0, 1, 250_000, 2500), (1, 0, 250_000, 2500), (1, 1, 500_000, 2500)}
+    assert P.inside_any(pts, v).count() == 1_000_000
+
+
 def test_polygons_meet_by_equi_joins(spark):
     pts = spark.createDataFrame([(1.0, 1.0)], "x double, y double")
     v = spark.createDataFrame([(1, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (3.0, 0.0), (0.0, 3.0)])], "polygon int, k int, x double, y double")
