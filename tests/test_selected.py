@@ -8,6 +8,7 @@ import pytest
 from tesselark.operators import association as A
 from tesselark.operators import benchmark as B
 from tesselark.operators import grid as G
+from tesselark.plans import views as V
 
 
 def test_selected_pairs(spark):
@@ -60,3 +61,13 @@ def test_density_tables(spark):
     got = {(x.feature, x.cell): (x.x, x.y, x.e) for x in G.expression_points(counts, at, {"p": 0.5, "q": 1.0}).collect()}
     assert got == {("p", "c1"): (0.0, 1.0, 4.5), ("p", "c2"): (2.0, 3.0, 3.0), ("q", "c2"): (2.0, 3.0, 5.0)}
     assert G.expression_points(counts.limit(0), at, {"p": 1.0}).count() == 0
+
+
+def test_shared_orders_are_counted_without_a_self_join_and_once(spark, sf_dir, monkeypatch):
+    made, make = [], V._interactions
+    plan = make(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("lineitem") <= 1  # with the parts only
+    monkeypatch.setattr(V, "_interactions", lambda s, d: made.append(1) or make(s, d))
+    with V.one_query():
+        assert V.interactions(spark, sf_dir).count() == V.reference(spark, sf_dir).count() > 0
+    assert len(made) == 1
