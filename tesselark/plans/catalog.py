@@ -486,7 +486,12 @@ def _methods(s, d):
 
 
 def _labelled(s, d):
-    e = _methods(s, d)
+    """Labelled edges, made once in a query: curves, areas and numbers each read them."""
+    return V.once(s, "labelled", lambda: _labels(s, d))
+
+
+def _labels(s, d):
+    e = V.once(s, "methods", lambda: _methods(s, d))
     scored = B.label_edges(e.select("a", "b", F.col("weight")).withColumn("m", F.lit(0)).drop("m").distinct(), V.ids(s, d), V.reference(s, d)).select("a", "b", "score", "label").distinct()
     return e.join(scored, ["a", "b"])
 

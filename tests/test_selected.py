@@ -8,6 +8,7 @@ import pytest
 from tesselark.operators import association as A
 from tesselark.operators import benchmark as B
 from tesselark.operators import grid as G
+from tesselark.plans import catalog as C
 from tesselark.plans import views as V
 
 
@@ -71,3 +72,13 @@ def test_shared_orders_are_counted_without_a_self_join_and_once(spark, sf_dir, m
     with V.one_query():
         assert V.interactions(spark, sf_dir).count() == V.reference(spark, sf_dir).count() > 0
     assert len(made) == 1
+
+
+def test_labelled_edges_are_made_once(spark, sf_dir, monkeypatch):
+    made = []
+    few = lambda s, d: made.append(1) or s.createDataFrame([("m", "Brand#12", "Brand#13", 1.0), ("m", "Brand#12", "Brand#11", 2.0)], "method string, a string, b string, weight double")
+    monkeypatch.setattr(C, "_methods", few)
+    with V.one_query():
+        found = [C._labelled(spark, sf_dir), C._labelled(spark, sf_dir)]
+        assert len(made) == 1 and all("parquet" in x.inputFiles()[0] and len(x.inputFiles()) < 9 for x in found)
+    assert {(x.a, x.b, x.score is None) for x in found[0].collect()} == {("Brand#12", "Brand#13", False), ("Brand#12", "Brand#11", True)}
