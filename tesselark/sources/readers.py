@@ -70,10 +70,14 @@ def polygons(corners: DataFrame, fewest: int = 3) -> DataFrame:
     return ring.select("label", xy.alias("r")).select("label", closed.alias("ring"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (i from 0, line) of one file that fits a row: outlines, names of features and of spots."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "line"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (i from 0, line) of one file, read in blocks by all tasks: a line's number is that in its block, and the lines of the blocks before."""
+    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("block").agg(F.min("at").alias("first"), F.count("*").alias("k"))
+    # Blocks are few: one for each split of a file.
+    before = F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("block", (before - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(starts), "block").select((F.col("at") + F.col("shift")).alias("i"), "line")
 
 
 def outline(spark: SparkSession, path: str) -> list[tuple[float, float]]:
@@ -82,7 +86,7 @@ def outline(spark: SparkSession, path: str) -> list[tuple[float, float]]:
     Fewer than three corners are an error.
     """
     parts = F.split(F.trim("line"), r"[,\t;]|\s+")
-    rows = _lines(spark, path).where(~F.col("line").startswith("#")).select("i", parts.alias("p")).where("size(p) >= 2")
+    rows = numbered_lines(spark, path).where(~F.col("line").startswith("#")).select("i", parts.alias("p")).where("size(p) >= 2")
     xy = rows.select("i", number(F.regexp_replace(F.col("p")[0], '"', "")).alias("x"), number(F.regexp_replace(F.col("p")[1], '"', "")).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     found = [(r.x, r.y) for r in xy.orderBy("i").collect()]
     ring = [p for k, p in enumerate(found) if not k or p != found[k - 1]]
@@ -173,7 +177,7 @@ def matrix_market(spark: SparkSession, folder: str, spots: DataFrame | None = No
             raise FileNotFoundError(f"{folder}: {names[0]}")
         return found[0]
 
-    named = lambda path, k: _lines(spark, path).select((F.col("i") + 1).cast("long").alias(k), F.split("line", "\t").alias("f"))
+    named = lambda path, k: numbered_lines(spark, path).select((F.col("i") + 1).cast("long").alias(k), F.split("line", "\t").alias("f"))
     features = named(part("features.tsv", "genes.tsv"), "row").select("row", F.coalesce(F.get("f", F.lit(1)), F.col("f")[0]).alias("feature"))
     barcodes = named(part("barcodes.tsv"), "col").select("col", F.col("f")[0].alias("barcode"))
     if spots is not None:
@@ -205,14 +209,16 @@ def spot_sample(spark: SparkSession, matrix: str, positions: str, scalefactors:
     """The sample of a folder of counts, a table of positions and a file of scale factors.
 
     Columns of the array advance by two within a row, odd rows starting at an odd one, so half of the column (rounded down) and the row number hexagons
-    whose odd rows are shifted. Spots off the tissue are left out unless asked for; counts of other barcodes are too.
+    whose odd rows are shifted. Spots off the tissue are left out unless asked for; counts of other barcodes are too. The counts are written to the shared folder.
     """
     from tesselark.operators.weights import neighbours
+    from tesselark.sources.files import materialised
 
     um = spot_scale(spark, scalefactors)
     at = spots(spark, positions, um, in_tissue)
     at = at.select("barcode", (F.floor(F.col("array_col") / 2) + 1).cast("int").alias("gx"), (F.col("array_row") + 1).alias("gy"), "x", "y")
     counts = matrix_market(spark, matrix, at).join(at.select("barcode", "gx", "gy"), "barcode").groupBy("gx", "gy", "feature").agg(F.sum("n").alias("n"))
+    counts = materialised(counts, "spot_counts")  # the weights and whatever is made of the counts read them again
     return SpotSample(um, at, counts, neighbours(counts, "oddr"))
 
 

@@ -44,6 +44,27 @@ def test_matrix_market_with_a_corner_like_its_sizes(spark, tmp_path):
     assert readers.matrix_market(spark, str(tmp_path / "m"), some).count() == 2
 
 
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    lines = [f"{'name' * (k % 7)}{k}" if k % 50 else "" for k in range(1000)]
+    (tmp_path / "names.tsv").write_bytes("".join(v + ("\r\n" if k % 3 else "\n") for k, v in enumerate(lines)).encode())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(kept, ("700b", "1b")):
+            spark.conf.set(k, v)
+        found = readers.numbered_lines(spark, str(tmp_path / "names.tsv"))
+        assert found.rdd.getNumPartitions() > 10 and sorted(map(tuple, found.collect())) == list(enumerate(lines))
+        rows = [(f"b{k % 90:02}", f"f{k % 7}", float(k)) for k in range(1, 500)]
+        sinks.write_matrix_market(spark.createDataFrame(rows, "barcode string, feature string, n double"), str(tmp_path / "m"))
+        assert sorted(map(tuple, readers.matrix_market(spark, str(tmp_path / "m")).collect())) == sorted((b, f, sum(n for c, g, n in rows if (b, f) == (c, g))) for b, f in {r[:2] for r in rows})
+        names = (tmp_path / "m" / "barcodes.tsv").read_text().splitlines()
+        assert names == sorted(names) and len(names) == 90
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    sinks.write_matrix_market(spark.createDataFrame([], "barcode string, feature string, n double"), str(tmp_path / "e"))
+    assert readers.matrix_market(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_layouts(spark, tmp_path):
     for name in ("v/spatial", "v/filtered_feature_bc_matrix", "x/transcripts.parquet", "c/flatFiles", "r/rep2", "r/rep10"):
         (tmp_path / name).mkdir(parents=True)
