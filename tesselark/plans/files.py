@@ -65,9 +65,11 @@ def file_coordinates(s, d):
 @query("SELECT CAST(cell % 7 AS VARCHAR) || '_' || CAST(cell // 7 AS VARCHAR) AS cell, feature, CAST(n AS DOUBLE) AS n FROM cellcnt")
 def file_wide_counts(s, d):
     path = scratch(s, "wide")
-    cells = V.cells(s, d)
+    cells = V.once(s, "cells", lambda: V.cells(s, d))
     ids = {"fov": F.floor(F.col("cell") / 7).cast("int"), "cell_ID": F.col("cell") % 7}
-    wide = cells.select(*[c.alias(k) for k, c in ids.items()], "feature", "n").groupBy(*ids).pivot("feature").sum("n")
+    names = [r.feature for r in cells.select("feature").where("feature IS NOT NULL").distinct().orderBy("feature").collect()]  # columns of the file
+    at = lambda v: F.sum(F.when(F.col("feature") == v, F.col("n"))).alias(v)
+    wide = cells.select(*[c.alias(k) for k, c in ids.items()], "feature", "n").groupBy(*ids).agg(*map(at, names))
     wide.write.csv(path, header=True, compression="gzip")
     known = cells.select(F.concat_ws("_", ids["cell_ID"].cast("string"), ids["fov"].cast("string")).alias("cell"))
     return readers.resolve_cells(readers.expression(s, path), known)
@@ -167,7 +169,7 @@ def _spot_sample(s, d):
 @query(_SPOTS + "SELECT p.feature AS a, q.feature AS b, " + r6(l="CASE WHEN p.norm * q.norm = 0 THEN 0 ELSE (SELECT n FROM nu) / (SELECT count(*) FROM hw) * coalesce(num, 0) / (p.norm * q.norm) END") + " FROM nm p CROSS JOIN nm q LEFT JOIN pr ON pr.a = p.feature AND pr.b = q.feature")
 def spots_association(s, d):
     sample = _spot_sample(s, d)
-    return A.association_of_spots(V.once(s, "spot_counts", lambda: sample.counts), sample.weights, most=20)
+    return A.association_of_spots(sample.counts, sample.weights, most=20)
 
 
 @query(_SPOTS + "SELECT gx, gy, feature, " + r6(v="least(v, cap)") + " FROM (SELECT c // 2 + 1 AS gx, r + 1 AS gy, feature, ln(1 + n * 10000.0 / sum(n) OVER (PARTITION BY r, c)) AS v FROM ct) JOIN (SELECT feature, quantile_cont(coalesce(v, 0), 0.95) AS cap FROM ub CROSS JOIN (SELECT DISTINCT feature FROM ct) LEFT JOIN (SELECT r, c, feature, ln(1 + n * 10000.0 / sum(n) OVER (PARTITION BY r, c)) AS v FROM ct) USING (r, c, feature) GROUP BY feature) USING (feature)")

@@ -5,10 +5,11 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselark.operators import community as M
 from tesselark.operators import curves as R
-from tesselark.plans import catalog, files, shapes
+from tesselark.plans import catalog, files, shapes, views
 from tesselark.sources import readers, sinks
 from tesselark.sources.files import platform, repeats
 
@@ -65,6 +66,21 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
     assert readers.matrix_market(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_cells_of_a_wide_file_are_counted_once(spark, sf_dir, monkeypatch):
+    made, make = [], views.cells
+    monkeypatch.setattr(views, "cells", lambda s, d: made.append(0) or make(s, d).withColumn("n", F.col("n") + 0 * counted(F.col("n"))))
+    calls = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda n: calls.add(1) or 0, "long")
+    rows = catalog.QUERIES["file_wide_counts"](spark, sf_dir).count()
+    assert len(made) == 1 and calls.value == rows  # not again for the known cells, nor for the names of columns
+
+
+def test_spot_counts_are_read_once(spark, sf_dir):
+    sample = files._spot_sample(spark, sf_dir)
+    assert all("spot_counts" in p for p in [*sample.counts.inputFiles(), *sample.weights.inputFiles()])
+    assert sample.weights.count() > 0
+
+
 def test_layouts(spark, tmp_path):
     for name in ("v/spatial", "v/filtered_feature_bc_matrix", "x/transcripts.parquet", "c/flatFiles", "r/rep2", "r/rep10"):
         (tmp_path / name).mkdir(parents=True)
