@@ -212,6 +212,43 @@ def test_copies_of_one_image_are_compared_with_one_of_them(spark):
     assert found.count() <= 3 * 61  # not 1830
 
 
+POINTS = "image long, points array<struct<at:bigint,lo:bigint,hi:bigint>>"
+
+
+def test_meetings_of_unlike_images_are_not_shuffled(spark):
+    """Images of one common descriptor, too little for a link: what tasks send follows the images, not their pairs."""
+    r = np.random.default_rng(14)
+    written = lambda: sum(x.totalShuffleWrite() for x in (lambda found: [found.apply(i) for i in range(found.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    def sent(n):
+        d = r.integers(-(1 << 63), 1 << 63, (n, 6, 2))
+        d[:, 0] = 77
+        rows = [(i, [((13 * k << 20) | 7 * k, int(a), int(b)) for k, (a, b) in enumerate(x)]) for i, x in enumerate(d)]
+        before = written()
+        roots, found = images.classes(spark.createDataFrame(rows, POINTS))
+        assert not roots.count() and not found.count()
+        return written() - before
+
+    few, many = sent(300), sent(1200)
+    assert many < 6 * few  # not 16
+
+
+def test_classes_and_links_do_not_depend_on_blocks(spark, monkeypatch):
+    points = described(pages_with_copies(random.Random(15), 24))
+    df = spark.createDataFrame([(i, [tuple(map(int, (a, *x))) for a, x in zip(*p)]) for i, p in enumerate(points)], POINTS)
+    seen = []
+    for corners in (1 << 19, sum(len(p[0]) for p in points) // 4, sum(len(p[0]) for p in points) // 3):
+        monkeypatch.setattr(images, "BLOCK_CORNERS", corners)
+        monkeypatch.setattr(images, "SENT", 1)
+        roots, found = images.classes(df)
+        every = {tuple(x) for x in images.matches(df).collect()}
+        assert {tuple(x) for x in found.collect()} <= every
+        seen.append((set(map(tuple, roots.collect())), every))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][1]) > 20
+    by = {(i, k): images._votes(points[i], points[k]) for i, k, _ in seen[0][1]}
+    assert by == {(i, k): v for i, k, v in seen[0][1]}
+
+
 def test_images_that_repeat_themselves():
     board = np.kron(np.indices((30, 30)).sum(axis=0) % 2 * 255.0, np.ones((20, 20)))
     owner, place, d = images.describe([board, board[20:, :]])
