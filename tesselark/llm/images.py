@@ -44,7 +44,7 @@ LEAST_BLOCKS, LEAST_CORNERS = 6, 1 << 16
 #: Corners that are sent to tasks in one step, if that is more than each of them twice.
 SENT = 1 << 22
 #: Meetings of images in buckets that are counted in one step.
-MEETINGS = 1 << 22
+MEETINGS = 1 << 20
 #: Pairs of images with more pairs of corners are compared alone.
 LONG = 1 << 17
 #: Images are linked at this many agreeing matches, and this share of the corners of the one with fewer.
@@ -95,10 +95,13 @@ def drawn(text: str) -> bytes:
 
 def _box(a: np.ndarray) -> np.ndarray:
     """Sums over squares of side 5, where they lie inside; of the last two axes."""
-    b = a[..., :-1] + a[..., 1:]
-    b = b[..., :-2][..., : a.shape[-1] - 4] + b[..., 2:][..., : a.shape[-1] - 4] + a[..., 4:]
-    c = b[..., :-1, :] + b[..., 1:, :]
-    return c[..., : b.shape[-2] - 4, :] + c[..., 2 : b.shape[-2] - 2, :] + b[..., 4:, :]
+    two = a[..., :-1] + a[..., 1:]
+    b = two[..., :-2][..., : a.shape[-1] - 4] + two[..., 2:][..., : a.shape[-1] - 4]
+    b += a[..., 4:]
+    two = b[..., :-1, :] + b[..., 1:, :]
+    c = two[..., : b.shape[-2] - 4, :] + two[..., 2 : b.shape[-2] - 2, :]
+    c += b[..., 4:, :]
+    return c
 
 
 def _padded(a: np.ndarray, by: int) -> np.ndarray:
@@ -149,11 +152,19 @@ def _corners(gray: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.nda
             a = _padded(a, edge)
         if min(a.shape) < 2 * PATCH + 2:
             break
-        s = _box(_padded(a, 2)) / np.float32(25)
+        s = _box(_padded(a, 2))
+        s /= np.float32(25)
         gy, gx = s[2:, 1:-1] - s[:-2, 1:-1], s[1:-1, 2:] - s[1:-1, :-2]
-        xx, yy, xy = _box(np.stack([gx * gx, gy * gy, gx * gy]) / np.float32(100))
+        products = np.empty((3, *gx.shape), np.float32)
+        for out_, u, v in zip(products, (gx, gy, gx), (gx, gy, gy)):
+            np.multiply(u, v, out=out_)
+        products /= np.float32(100)
+        xx, yy, xy = _box(products)
         whole = xx + yy
-        corner = xx * yy - xy * xy - np.float32(0.05) * whole * whole
+        corner = xx * yy
+        xy *= xy
+        corner -= xy
+        corner -= np.float32(0.05) * whole * whole
         # A corner has a whole patch around it; its rivals lie up to ``apart`` away, as far as corners can lie.
         margin = PATCH - 3
         inner = corner[margin : corner.shape[0] - margin, margin : corner.shape[1] - margin]
@@ -167,7 +178,7 @@ def _corners(gray: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.nda
     return out
 
 
-_OFFSETS = np.stack([_GRID[0].ravel(), _GRID[1].ravel()]).astype(np.int64)
+_LINES = np.arange(-PATCH, PATCH + 1)
 _MOMENTS = (np.stack([_GRID[0], _GRID[1]]) * _DISC).reshape(2, -1).T.astype(np.float32)
 #: Corners are described in groups of at most so many.
 GROUP = 2000
@@ -175,12 +186,14 @@ GROUP = 2000
 
 def _strings(pixels: np.ndarray, base: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Angles and descriptors of the corners at places ``base`` of concatenated images of these widths."""
-    patch = pixels[base[:, None] + width[:, None] * _OFFSETS[0] + _OFFSETS[1]]
-    moment = patch @ _MOMENTS
+    # A patch is so many stretches of pixels.
+    stretches = np.lib.stride_tricks.sliding_window_view(pixels, 2 * PATCH + 1)
+    patch = stretches[base[:, None] + width[:, None] * _LINES - PATCH]
+    moment = patch.reshape(len(base), -1) @ _MOMENTS
     angle = np.arctan2(moment[:, 0], moment[:, 1])
     c, n = np.cos(angle)[:, None], np.sin(angle)[:, None]
     dy, dx = (np.concatenate([_TESTS[:, k], _TESTS[:, k + 2]]).astype(np.float32) for k in (0, 1))
-    at = base[:, None] + np.rint(n * dx + c * dy).astype(np.int64) * width[:, None] + np.rint(c * dx - n * dy).astype(np.int64)
+    at = base[:, None] + np.rint(n * dx + c * dy).astype(np.int32) * width[:, None] + np.rint(c * dx - n * dy).astype(np.int32)
     value = pixels[at]
     bits = value[:, :BITS] < value[:, BITS:]
     return np.degrees(angle), np.packbits(bits, axis=1, bitorder="little").view("<u4")
@@ -551,12 +564,17 @@ class _Task:
         """Matches of an image with others: numbers of pairs, the image's corners and the others'."""
         size = self.size[others]
         there = np.arange(size.sum()) + np.repeat(self.begin[others] - np.cumsum(size) + size, size)
-        mine = self.lo[self.begin[row] : self.begin[row] + self.size[row], None]
-        # Descriptors that differ in few bits do so in their first halves, which settle almost all.
-        i, of = np.divmod(np.flatnonzero(np.bitwise_count(mine ^ self.lo[there]) <= MOST_BITS), len(there))
-        i, k = i + self.begin[row], there[of]
-        close = np.bitwise_count(self.lo[i] ^ self.lo[k]) + np.bitwise_count(self.hi[i] ^ self.hi[k]) <= MOST_BITS
-        return np.repeat(pair, size)[of[close]], i[close], k[close]
+        lo, hi = self.lo[there], self.hi[there]
+        found = []
+        step = max(1, BLOCK // len(there))  # blocks that stay in a processor's cache
+        end = self.begin[row] + self.size[row]
+        for b in range(self.begin[row], end, step):
+            mine = slice(b, min(b + step, end))
+            differ = np.bitwise_count(self.lo[mine, None] ^ lo)
+            differ += np.bitwise_count(self.hi[mine, None] ^ hi)
+            found.append(np.flatnonzero(differ <= MOST_BITS) + b * len(there))
+        i, of = np.divmod(np.concatenate(found), len(there))
+        return np.repeat(pair, size)[of], i, there[of]
 
     def count(self, pair: np.ndarray, i: np.ndarray, k: np.ndarray, need: np.ndarray, votes: np.ndarray) -> None:
         """Puts the pairs' votes, where they are as many as needed: corners i of one image, the voters, with matches k on the other."""
