@@ -34,7 +34,7 @@ BITS, BANDS = 128, 4
 #: Matches differ in at most so many bits.
 MOST_BITS = 16
 #: Pairs of descriptors that are compared in one step.
-BLOCK = 1 << 15
+BLOCK = 1 << 16
 #: Matches whose shifts are counted in one step.
 MATCHES = 1 << 20
 #: Images of at most about so many corners are a block; pairs of images are looked for in a pair of blocks at a time.
@@ -45,8 +45,10 @@ LEAST_BLOCKS, LEAST_CORNERS = 6, 1 << 16
 SENT = 1 << 22
 #: Meetings of images in buckets that are counted in one step.
 MEETINGS = 1 << 20
+#: Images whose comparisons with others are counted together, at most.
+MOST_CALLS = 1 << 12
 #: Pairs of images with more pairs of corners are compared alone.
-LONG = 1 << 17
+LONG = 1 << 19
 #: Images are linked at this many agreeing matches, and this share of the corners of the one with fewer.
 LEAST_VOTES, LEAST_SHARE = 5, 0.25
 #: Images with a side under this get an edge around them and closer corners, so that short ones have enough.
@@ -72,7 +74,7 @@ def read_netpbm(data: bytes | None) -> np.ndarray | None:
     if not width or not height or len(raw) < width * height * planes:
         return None
     pixels = np.frombuffer(raw, np.uint8, width * height * planes)
-    return pixels.reshape(height, width).astype(np.float32) if planes == 1 else pixels.reshape(height, width, planes).mean(axis=2)
+    return pixels.reshape(height, width) if planes == 1 else pixels.reshape(height, width, planes).mean(axis=2)
 
 
 def write_pgm(gray: np.ndarray) -> bytes:
@@ -93,89 +95,142 @@ def drawn(text: str) -> bytes:
     return write_pgm(image.reshape(rows * 2, LINE * 2))
 
 
-def _box(a: np.ndarray) -> np.ndarray:
-    """Sums over squares of side 5, where they lie inside; of the last two axes."""
-    two = a[..., :-1] + a[..., 1:]
-    b = two[..., :-2][..., : a.shape[-1] - 4] + two[..., 2:][..., : a.shape[-1] - 4]
-    b += a[..., 4:]
-    two = b[..., :-1, :] + b[..., 1:, :]
-    c = two[..., : b.shape[-2] - 4, :] + two[..., 2 : b.shape[-2] - 2, :]
-    c += b[..., 4:, :]
-    return c
+def _box(a: np.ndarray, width: int) -> np.ndarray:
+    """Sums over squares of side 5 that begin at each pixel; ``a`` holds rows of this width after one another."""
+    for step in (1, width):
+        two = a[:-step] + a[step:]
+        total = two[: len(a) - 4 * step] + two[2 * step : len(a) - 2 * step]
+        total += a[4 * step :]
+        a = total
+    return a
 
 
-def _padded(a: np.ndarray, by: int) -> np.ndarray:
-    """So many more pixels on every side, like the edge's."""
-    out = np.empty((a.shape[0] + 2 * by, a.shape[1] + 2 * by), a.dtype)
-    out[by:-by, by:-by] = a
-    out[:by, by:-by], out[-by:, by:-by] = a[0], a[-1]
-    out[:, :by], out[:, -by:] = out[:, by, None], out[:, -by - 1, None]
-    return out
+def _highest(a: np.ndarray, side: int, width: int) -> np.ndarray:
+    """Maxima over squares of the given side that begin at each pixel; by maxima over sides of powers of two."""
+    for pixel in (1, width):
+        have = 1
+        while have < side:
+            step = min(have, side - have)
+            a = np.maximum(a[: -step * pixel], a[step * pixel :])
+            have += step
+    return a
 
 
-def _smoothed(a: np.ndarray) -> np.ndarray:
-    """Means over squares of side 3."""
-    p = _padded(a, 1)
-    p = p[:-2] + p[1:-1] + p[2:]
-    return (p[:, :-2] + p[:, 1:-1] + p[:, 2:]) / np.float32(9)
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Where few of many flags are true: eight are looked at together."""
+    if len(flags) < 1 << 13:
+        return flags.nonzero()[0]
+    whole = len(flags) // 8 * 8
+    words = flags[:whole].view(np.uint64)
+    word = (words != 0).nonzero()[0]
+    at = words[word].view(bool).nonzero()[0]
+    eighth = at >> 3
+    at += (word[eighth] - eighth) << 3
+    return at if whole == len(flags) else np.concatenate([at, flags[whole:].nonzero()[0] + whole])
 
 
-def _zoomed(smooth: np.ndarray, by: float) -> np.ndarray:
-    """Samples of a smoothed image at 1 / by of its size."""
-    y, x = (np.minimum((np.arange(max(1, int(n / by))) * by).astype(int), n - 1) for n in smooth.shape)
-    return smooth[y][:, x]
+#: Images of one width are stacked, so many pixels at a time (or one image).
+STACK = 1 << 18
 
 
-def _highest(a: np.ndarray, side: int) -> np.ndarray:
-    """Maxima over squares of the given side, where they lie inside; by maxima over sides of powers of two."""
-    for axis in (0, 1):
-        a, have = a.T, 1  # twice turned: once for each axis
-        while have < side:
-            step = min(have, side - have)
-            a = np.maximum(a[:-step], a[step:])
-            have += step
-    return a
+class _Stack:
+    """Images of one width under each other, as one row of pixels; each with ``pad`` more pixels on every side, like the edge's.
+
+    A step adds or compares stretches of that row, so it is a few operations for all images at once. What it makes of
+    pixels of two images or of two ends of a line is not used.
+    """
+
+    def __init__(self, lines: np.ndarray, which: np.ndarray, heights: np.ndarray, columns: np.ndarray | None, pad: int):
+        """Of an array of lines, those numbered ``which``: ``heights`` tells how many are each image's. Of lines, ``columns`` or all."""
+        self.heights, self.pad = heights + 2 * pad, pad
+        self.first = np.cumsum(self.heights) - self.heights
+        inside = np.arange(self.heights.sum()) - np.repeat(self.first + pad, self.heights)
+        inside = np.clip(inside, 0, np.repeat(heights - 1, self.heights)) + np.repeat(np.cumsum(heights) - heights, self.heights)
+        inside = which[inside]
+        self.width = (lines.shape[1] if columns is None else len(columns)) + 2 * pad
+        pixels = np.empty((len(inside), self.width), np.float32)
+        pixels[:, pad:-pad] = lines[inside] if columns is None else lines[inside].take(columns, axis=1)
+        pixels[:, :pad], pixels[:, -pad:] = pixels[:, pad, None], pixels[:, -pad - 1, None]
+        self.pixels = pixels.ravel()
+
+    def smoothed(self) -> np.ndarray:
+        """Means over squares of side 3, as lines without pads."""
+        a, w, pad = self.pixels, self.width, self.pad
+        p = a[: -2 * w] + a[w:-w]
+        p += a[2 * w :]
+        out = np.empty(len(a), np.float32)
+        mean = out[w + 1 : -w - 1]
+        np.add(p[:-2], p[1:-1], out=mean)
+        mean += p[2:]
+        mean /= np.float32(9)
+        own = np.concatenate([np.arange(b + pad, b + h - pad) for b, h in zip(self.first, self.heights)])
+        return out.reshape(-1, w)[own, pad:-pad]
+
+    def corners(self, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Means over squares of side 5, and of every corner its image's number, its row and its column; these leave out two pixels of the pad."""
+        w, margin = self.width, PATCH - 3
+        s = _box(self.pixels, w)
+        s /= np.float32(25)
+        gy, gx = s[2 * w + 1 : -1] - s[1 : -2 * w - 1], s[w + 2 : -w] - s[w : -w - 2]
+        sums = []
+        for u, v in ((gx, gx), (gy, gy), (gx, gy)):
+            product = u * v
+            product /= np.float32(100)
+            sums.append(_box(product, w))
+        xx, yy, xy = sums
+        # Around the places that have a neighbourhood (they begin three pixels in) nothing is higher than any corner.
+        reach = apart * (w + 1)
+        rivals = np.full(len(self.pixels) + 2 * reach, -np.inf, np.float32)
+        corner = rivals[reach : reach + len(xx)]
+        np.multiply(xx, yy, out=corner)
+        xy *= xy
+        corner -= xy
+        xx += yy
+        np.multiply(xx, np.float32(0.05), out=yy)
+        yy *= xx
+        corner -= yy
+        lines = rivals[reach:-reach].reshape(-1, w)
+        lines[:, -10:] = -np.inf
+        ends = self.first + self.heights
+        lines[(ends[:, None] - np.arange(1, 11)).ravel()] = -np.inf
+        found = corner >= _highest(rivals, 2 * apart + 1, w)[: len(corner)]
+        found &= corner > 1.0
+        y, x = np.divmod(_true(found), w)
+        image = np.searchsorted(self.first, y, "right") - 1
+        y -= self.first[image]
+        # A corner has a whole patch around it; its rivals lie up to ``apart`` away, as far as corners can lie.
+        inner = (y >= margin) & (y < self.heights[image] - 10 - margin) & (x >= margin) & (x < w - 10 - margin)
+        return s, image[inner], y[inner] + 3, x[inner] + 3
 
 
-def _corners(gray: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Each level, its smoothed image, the corners' rows and columns, and the width of the edge put around it.
+def _corners(grays: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of images of one width, small or not: each level, its smoothed pixels in lines of a width, and of its corners the image, the place among the pixels, the row and the column (outside of the image in an edge put around it).
 
     A small image has corners up to its sides, and closer ones: those of a larger image of the same content are among them.
     """
-    out = []
-    smooth = _smoothed(gray)
-    small = min(gray.shape) < SMALL
+    heights, width = np.array([len(g) for g in grays]), grays[0].shape[1]
+    small = min(*grays[0].shape) < SMALL
     edge, apart = (PATCH, APART // 2) if small else (0, APART)
+    lines = np.concatenate(grays)
+    stack = _Stack(lines, np.arange(len(lines)), heights, None, edge + 2)
+    smooth = stack.smoothed()
+    begin = np.cumsum(heights) - heights
+    members = np.arange(len(grays))
     for level in range(LEVELS):
-        a = gray if level == 0 else _zoomed(smooth, ZOOM**level)
-        if small:
-            a = _padded(a, edge)
-        if min(a.shape) < 2 * PATCH + 2:
-            break
-        s = _box(_padded(a, 2))
-        s /= np.float32(25)
-        gy, gx = s[2:, 1:-1] - s[:-2, 1:-1], s[1:-1, 2:] - s[1:-1, :-2]
-        products = np.empty((3, *gx.shape), np.float32)
-        for out_, u, v in zip(products, (gx, gy, gx), (gx, gy, gy)):
-            np.multiply(u, v, out=out_)
-        products /= np.float32(100)
-        xx, yy, xy = _box(products)
-        whole = xx + yy
-        corner = xx * yy
-        xy *= xy
-        corner -= xy
-        corner -= np.float32(0.05) * whole * whole
-        # A corner has a whole patch around it; its rivals lie up to ``apart`` away, as far as corners can lie.
-        margin = PATCH - 3
-        inner = corner[margin : corner.shape[0] - margin, margin : corner.shape[1] - margin]
-        rivals = np.full((inner.shape[0] + 2 * apart, inner.shape[1] + 2 * apart), -np.inf, np.float32)
-        reach = min(margin, apart)
-        rivals[apart - reach : rivals.shape[0] - apart + reach, apart - reach : rivals.shape[1] - apart + reach] = corner[
-            margin - reach : corner.shape[0] - margin + reach, margin - reach : corner.shape[1] - margin + reach
-        ]
-        y, x = np.nonzero((inner >= _highest(rivals, 2 * apart + 1)) & (inner > 1.0))
-        out.append((level, s, y + PATCH, x + PATCH, edge))
-    return out
+        if level:
+            by = ZOOM**level
+            rows, columns = (np.minimum((np.arange(max(1, int(n / by))) * by).astype(int), n - 1) for n in (int(heights.max()), width))
+            lower = np.maximum(1, (heights[members] / by).astype(int))
+            enough = np.minimum(lower, len(columns)) + 2 * edge >= 2 * PATCH + 2
+            members, lower = members[enough], lower[enough]
+            if not len(members):
+                return
+            which = np.concatenate([b + np.minimum(rows[:n], h - 1) for b, n, h in zip(begin[members], lower, heights[members])])
+            stack = _Stack(smooth, which, lower, columns, edge + 2)
+        elif min(*grays[0].shape) + 2 * edge < 2 * PATCH + 2:
+            return
+        s, image, y, x = stack.corners(apart)
+        yield level, s, stack.width, members[image], (stack.first[image] + y) * stack.width + x, y - edge, x - edge
 
 
 _LINES = np.arange(-PATCH, PATCH + 1)
@@ -193,8 +248,14 @@ def _strings(pixels: np.ndarray, base: np.ndarray, width: np.ndarray) -> tuple[n
     angle = np.arctan2(moment[:, 0], moment[:, 1])
     c, n = np.cos(angle)[:, None], np.sin(angle)[:, None]
     dy, dx = (np.concatenate([_TESTS[:, k], _TESTS[:, k + 2]]).astype(np.float32) for k in (0, 1))
-    at = base[:, None] + np.rint(n * dx + c * dy).astype(np.int32) * width[:, None] + np.rint(c * dx - n * dy).astype(np.int32)
-    value = pixels[at]
+    down, right = n * dx, c * dx
+    down += c * dy
+    right -= n * dy
+    at = np.rint(down, out=down).astype(np.int64)
+    at *= width[:, None]
+    at += np.rint(right, out=right).astype(np.int32)
+    at += base[:, None]
+    value = pixels.take(at)
     bits = value[:, :BITS] < value[:, BITS:]
     return np.degrees(angle), np.packbits(bits, axis=1, bitorder="little").view("<u4")
 
@@ -208,11 +269,10 @@ def describe(images: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, n
     parts: list[tuple] = []
 
     def work() -> None:
-        pixels = np.concatenate([s.ravel() for _, _, s, _, _, _ in parts])
-        starts = np.cumsum([0] + [s.size for _, _, s, _, _, _ in parts])
+        pixels = np.concatenate([p[0] for p in parts])
+        starts = np.cumsum([0] + [len(p[0]) for p in parts])
         owner, level, base, width, y, x = (
-            np.concatenate(v)
-            for v in zip(*((np.full(len(y), i), np.full(len(y), k), at + y * s.shape[1] + x, np.full(len(y), s.shape[1]), y - edge, x - edge) for (i, k, s, y, x, edge), at in zip(parts, starts)))
+            np.concatenate(v) for v in zip(*((owner, np.full(len(y), level), at + base, np.full(len(y), width), y, x) for (_, owner, level, base, width, y, x), at in zip(parts, starts)))
         )
         for b in range(0, len(base), GROUP):
             g = slice(b, b + GROUP)
@@ -223,35 +283,44 @@ def describe(images: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, n
             strings.append(d)
         parts.clear()
 
-    held = 0
+    alike: dict[tuple[int, bool], list[int]] = {}
     for i, gray in enumerate(images):
-        if gray is None:
-            continue
-        for k, s, y, x, edge in _corners(gray.astype(np.float32, copy=False)):
-            if len(y):
-                parts.append((i, k, s, y, x, edge))
-                held += len(y)
-        if held >= GROUP:
-            work()
-            held = 0
+        if gray is not None:
+            alike.setdefault((gray.shape[1], min(gray.shape) < SMALL), []).append(i)
+    held = 0
+    for numbers in alike.values():
+        ends = np.cumsum([images[i].size for i in numbers])
+        cut = 0
+        while cut < len(numbers):
+            begin, cut = cut, max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + STACK, "right")))
+            stacked = np.array(numbers[begin:cut])
+            for level, s, width, image, base, y, x in _corners([images[i] for i in stacked]):
+                if len(y):
+                    parts.append((s, stacked[image], level, base, width, y, x))
+                    held += len(y)
+            if held >= GROUP:
+                work()
+                held = 0
     if parts:
         work()
-    return np.concatenate(owners), np.concatenate(places), np.concatenate(strings)
+    owner, place, d = np.concatenate(owners), np.concatenate(places), np.concatenate(strings)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], place[order], d[order]
 
 
 #: Images are described so many bytes at a time.
 SLICE = 2 << 20
 
 
-def descriptors(images: DataFrame, key: str, image: str, as_bytes: bool = False) -> DataFrame:
+def descriptors(images: DataFrame, key: str, image: str, as_bytes: bool = False, draw: bool = False) -> DataFrame:
     """Rows (image, same, points): a digest of every file and its described corners, (at, lo, hi) each; (image, same, n, data) as ``packed`` has them.
 
-    One pass, in which no image is moved. Corners are none for what can't be read; the digest of null is null.
+    One pass, in which no image is moved; to ``draw``, the column holds texts, each drawn in this pass. Corners are none for what can't be read; the digest of null is null.
     """
     kind = images.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        files = batch.column(1).to_pylist()
+        files = _drawings(batch.column(1)) if draw else batch.column(1).to_pylist()
         same = [None if f is None else hashlib.sha256(f).digest() for f in files]
         first: dict[bytes, int] = {}
         which = [first.setdefault(d, i) if d is not None else i for i, d in enumerate(same)]
@@ -267,7 +336,7 @@ def descriptors(images: DataFrame, key: str, image: str, as_bytes: bool = False)
         points = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)), point)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), points], names=["image", "same", "points"])
 
-    return map_text(images.select(col(key), col(image)), run, f"image {kind}, same binary, " + ("n long, data binary" if as_bytes else "points array<struct<at:bigint,lo:bigint,hi:bigint>>"), limit=SLICE)
+    return map_text(images.select(col(key), col(image)), run, f"image {kind}, same binary, " + ("n long, data binary" if as_bytes else "points array<struct<at:bigint,lo:bigint,hi:bigint>>"), limit=SLICE // 4 if draw else SLICE)
 
 
 def _places(at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -427,6 +496,8 @@ class _Task:
         corners = np.concatenate([_unpack(data[i]) for i in order])
         self.at, self.d = corners[:, 0].copy(), corners[:, 1:].copy()
         self.lo, self.hi = (np.ascontiguousarray(self.d[:, c]).view(np.uint64) for c in (0, 1))
+        # Where two descriptors' bits differ in one half only, their folded ones differ too; those of a match differ in no more bits than it, those of few others do.
+        self.folded = self.lo ^ self.hi
         self.x, self.y, self.angle, self.level = _places(self.at)
         # A class is named by its first image here.
         self.root = np.arange(len(order))
@@ -464,10 +535,13 @@ class _Task:
 
     def enough(self, row: np.ndarray, other: np.ndarray, n: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs whose ``n`` add up to as many bands as a link needs; of different classes, or every one."""
-        pair = row * len(self.size) + other
-        keep = row != other if every else self.root[row] != self.root[other]
-        pair, n = pair[keep], np.minimum(n[keep], LEAST_VOTES)
-        pair = np.sort(np.concatenate([pair, np.repeat(pair[n > 1], n[n > 1] - 1)]))
+        keep = np.flatnonzero(row != other if every else self.root[row] != self.root[other])
+        pair, n = row[keep].astype(np.int64), n[keep]
+        pair *= len(self.size)
+        pair += other[keep]
+        more = np.flatnonzero(n > 1)
+        pair = np.concatenate([pair, np.repeat(pair[more], np.minimum(n[more], LEAST_VOTES) - 1)])
+        pair.sort()
         last = pair[LEAST_VOTES - 1 :]
         last = last[last == pair[: len(last)]]
         return np.divmod(last[_starts(last)], len(self.size))
@@ -541,7 +615,8 @@ class _Task:
         area = self.size[row] * self.size[other]
         for p in np.flatnonzero(area > LONG).tolist():
             one, two = (slice(self.begin[x], self.begin[x] + self.size[x]) for x in ((other[p], row[p]) if swap[p] else (row[p], other[p])))
-            votes[p] = _votes((self.at[one], self.d[one]), (self.at[two], self.d[two]))
+            if self.may_vote(one, two, need[p]):
+                votes[p] = _votes((self.at[one], self.d[one]), (self.at[two], self.d[two]))
         # The other pairs come in the order of ``row``: an image is compared with several at once.
         short = np.flatnonzero(area <= LONG)
         starts = _starts(row[short])
@@ -549,32 +624,72 @@ class _Task:
         for b, e in zip(starts.tolist(), [*starts.tolist()[1:], len(short)]):
             last = e == len(short)
             while b < e:
-                few = short[b : b + max(1, int(np.searchsorted(np.cumsum(area[short[b:e]]), 2 * LONG, "right")))]
-                parts.append(self.near(few, row[few[0]], other[few]))
-                held += len(parts[-1][0])
+                few = short[b:e]
+                if len(few) > 1:
+                    few = few[: max(1, int(np.searchsorted(np.cumsum(area[few]), 2 * LONG, "right")))]
+                parts.append((few, *self.near(int(row[few[0]]), other[few].tolist())))
+                held += len(parts[-1][1])
                 b += len(few)
-            if held > MATCHES // 4 or last:
-                pair, i, k = (np.concatenate(x) for x in zip(*parts))
+            if held > MATCHES // 4 or len(parts) > MOST_CALLS or last:
+                pair, i, k = self.matched(parts, row, other)
                 self.count(pair, np.where(swap[pair], k, i), np.where(swap[pair], i, k), need, votes)
                 held, parts = 0, []
         keep = votes >= need
         return np.where(swap, other, row)[keep], np.where(swap, row, other)[keep], votes[keep]
 
-    def near(self, pair: np.ndarray, row: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matches of an image with others: numbers of pairs, the image's corners and the others'."""
-        size = self.size[others]
-        there = np.arange(size.sum()) + np.repeat(self.begin[others] - np.cumsum(size) + size, size)
-        lo, hi = self.lo[there], self.hi[there]
+    def near(self, row: int, others: list[int]) -> tuple[np.ndarray, int, bool]:
+        """Where an image's folded descriptors, and those of others after one another, differ in few bits: places in a table, its width, and whether its lines are the others'."""
+        mine = self.folded[self.begin[row] : self.begin[row] + self.size[row]]
+        theirs = [self.folded[self.begin[x] : self.begin[x] + self.size[x]] for x in others]
+        theirs = np.concatenate(theirs) if len(theirs) > 1 else theirs[0]
+        turned = len(mine) > len(theirs)  # long lines are compared faster
+        return *self.close(*((theirs, mine) if turned else (mine, theirs))), turned
+
+    def matched(self, parts: list[tuple[np.ndarray, np.ndarray, int, bool]], row: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches of what ``near`` found for pairs: the pairs, the rows' corners and the others'."""
+        pairs, found, width, turned = zip(*parts)
+        many = [len(x) for x in found]
+        line, column = np.divmod(np.concatenate(found), np.repeat(width, many))
+        turned = np.repeat(turned, many)
+        i, of = np.where(turned, column, line), np.where(turned, line, column)
+        pairs = np.concatenate(pairs)
+        size = self.size[other[pairs]]
+        ends = np.cumsum(size)
+        calls = np.cumsum([len(x[0]) for x in parts])
+        before = np.r_[0, ends[calls[:-1] - 1]]
+        of += np.repeat(before, many)
+        which = np.searchsorted(ends, of, "right")
+        pair = pairs[which]
+        i += self.begin[row[pair]]
+        k = of + (self.begin[other[pairs]] + size - ends)[which]
+        keep = self.alike(i, k)
+        return pair[keep], i[keep], k[keep]
+
+    @staticmethod
+    def close(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, int]:
+        """Where folded descriptors differ in few bits: places in a table of one by two, and its width. In blocks that stay in a processor's cache."""
         found = []
-        step = max(1, BLOCK // len(there))  # blocks that stay in a processor's cache
-        end = self.begin[row] + self.size[row]
-        for b in range(self.begin[row], end, step):
-            mine = slice(b, min(b + step, end))
-            differ = np.bitwise_count(self.lo[mine, None] ^ lo)
-            differ += np.bitwise_count(self.hi[mine, None] ^ hi)
-            found.append(np.flatnonzero(differ <= MOST_BITS) + b * len(there))
-        i, of = np.divmod(np.concatenate(found), len(there))
-        return np.repeat(pair, size)[of], i, there[of]
+        step = max(1, BLOCK // len(two))
+        for b in range(0, len(one), step):
+            found.append(_true((np.bitwise_count(one[b : b + step, None] ^ two) <= MOST_BITS).ravel()))
+            if b:
+                found[-1] += b * len(two)
+        return np.concatenate(found) if len(found) > 1 else found[0], len(two)
+
+    def alike(self, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Which of these pairs of corners match."""
+        return np.bitwise_count(self.lo[i] ^ self.lo[k]) + np.bitwise_count(self.hi[i] ^ self.hi[k]) <= MOST_BITS
+
+    def may_vote(self, one: slice, two: slice, need: int) -> bool:
+        """Whether so many corners of the first image have a match on the other at all; it ends as soon as that is settled."""
+        voted = np.zeros(one.stop - one.start, bool)
+        step = max(1, LONG // len(voted))
+        for b in range(two.start, two.stop, step):
+            k, i = np.divmod(*self.close(self.folded[b : min(b + step, two.stop)], self.folded[one]))
+            voted[i[self.alike(i + one.start, k + b)]] = True
+            if np.count_nonzero(voted) >= need:
+                return True
+        return False
 
     def count(self, pair: np.ndarray, i: np.ndarray, k: np.ndarray, need: np.ndarray, votes: np.ndarray) -> None:
         """Puts the pairs' votes, where they are as many as needed: corners i of one image, the voters, with matches k on the other."""
@@ -589,6 +704,9 @@ class _Task:
             out[order] = np.repeat(np.add.reduceat(new.astype(np.int64), starts), _lengths(starts, len(group)))
             return out >= need[pair]
 
+        # A pair has no more voters than matches.
+        keep = np.bincount(pair, minlength=len(need))[pair] >= need[pair]
+        pair, i, k = pair[keep], i[keep], k[keep]
         for by_turn in (False, True):
             if not len(pair):
                 return
@@ -673,15 +791,17 @@ def classes(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _in_blocks(stored(packed(points), "packed"), False)
 
 
-def image_copies(df: DataFrame, key: str = "page_id", image: str = "image") -> DataFrame:
+def image_copies(df: DataFrame, key: str = "page_id", image: str = "image", draw: bool = False) -> DataFrame:
     """One row per row of ``df``: key, n_corners, n_links (found on the way to its class, between different images), class_id.
 
+    To ``draw``, the column holds texts, which are drawn where they are described.
+
     class_id is the least key of the images reachable over links. Equal files are one image: they share class and
     links, and are compared with others once. Null and unreadable images, and ones
     of one shade, have no corners and are linked with equal files only (nulls with nothing: their own key).
     A null key is passed on; equal keys of different images are one image for links (that of the least digest). An empty table gives an empty result.
     """
-    described = stored(descriptors(df, key, image, True), "described")
+    described = stored(descriptors(df, key, image, True, draw), "described")
     files = stored(described.select(F.col("image").alias("key"), "same", "n"), "files")
     # The least key of equal files stands for them.
     one = files.where("same IS NOT NULL AND key IS NOT NULL").groupBy("same").agg(F.min("key").alias("rep"))
@@ -701,13 +821,21 @@ def image_copies(df: DataFrame, key: str = "page_id", image: str = "image") -> D
     )
 
 
+def shown(html: Column) -> Column:
+    """Pages without their tags, scripts and styles; white space is left."""
+    return F.regexp_replace(html, r"(?is)<(?:(script|style)\b.*?</\1>|[^>]*>)", " ")
+
+
+def _drawings(texts: pa.Array) -> list[bytes | None]:
+    """Texts drawn, with single spaces between words; of bytes, ``split`` takes the white space of ASCII alone."""
+    return [None if t is None else drawn(b" ".join(t.split()).decode()) for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def with_drawings(df: DataFrame, html: Column, key: str = "page_id") -> DataFrame:
     """Rows (key, image): the visible text of pages, drawn; a null page has a null image."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"\s+", " "))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [None if t is None else drawn(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "image"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_drawings(batch.column(1)), pa.binary())], names=[key, "image"])
 
-    return map_text(df.select(col(key), text.alias("text")), run, f"`{key}` {kind}, image binary")
+    return map_text(df.select(col(key), shown(html).alias("text")), run, f"`{key}` {kind}, image binary")

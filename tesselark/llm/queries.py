@@ -30,7 +30,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds images, so the pages' visible texts are drawn."""
-    return images.image_copies(images.with_drawings(_table(spark, sf_dir, "pages"), F.col("html")))
+    pages = _table(spark, sf_dir, "pages").select("page_id", images.shown(F.col("html")).alias("text"))
+    return images.image_copies(pages, "page_id", "text", draw=True)
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -249,6 +250,39 @@ def test_classes_and_links_do_not_depend_on_blocks(spark, monkeypatch):
     assert by == {(i, k): v for i, k, v in seen[0][1]}
 
 
+def test_images_are_described_in_stacks(monkeypatch):
+    """Sums over squares are made for many images at once, and are the same for one image at a time."""
+    r = random.Random(16)
+    texts = ["".join(r.choice("abcdefghijk ") for _ in range(r.randint(60, 4000))) for _ in range(40)]
+    box, calls = images._box, []
+    monkeypatch.setattr(images, "_box", lambda *a: calls.append(1) or box(*a))
+    whole = described(texts)
+    assert len(calls) < 4 * images.LEVELS * len(texts) / 4
+    for t, (at, d) in zip(texts, whole):
+        ((alone, e),) = described([t])
+        assert (at == alone).all() and (d == e).all() and len(at)
+
+
+def test_matches_differ_in_few_bits_of_folded_descriptors():
+    """No match of two images is lost by the look at folded descriptors, in lines of either image."""
+    r = np.random.default_rng(17)
+    d = r.integers(-(1 << 63), 1 << 63, (2, 40, 2))
+    for k in range(30):  # k bits apart, in both halves
+        flips = np.zeros(128, np.uint8)
+        flips[r.choice(128, k, replace=False)] = 1
+        d[1, k] = d[0, k] ^ np.packbits(flips).view("<i8")
+    one, two = d[0], np.concatenate([d[1], r.integers(-(1 << 63), 1 << 63, (60, 2))])
+    for pair in ((one, two), (two, one)):
+        rows = [(i, 0, images._pack(np.arange(len(x), dtype=np.int64), x), None) for i, x in enumerate(pair)]
+        task = images._Task(pa.table({k: pa.array(v, kind) for k, v, kind in zip(("image", "side", "data", "root"), zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))}))
+        row, other = np.array([1]), np.array([0])
+        pairs, i, k = task.matched([(np.array([0]), *task.near(1, [0]))], row, other)
+        plain = np.bitwise_count(task.d[task.size[0] :, None].view(np.uint64) ^ task.d[: task.size[0]].view(np.uint64)).sum(axis=2) <= images.MOST_BITS
+        assert sorted(zip((i - task.size[0]).tolist(), k.tolist())) == list(zip(*map(np.ndarray.tolist, np.nonzero(plain)))) and plain.sum() == images.MOST_BITS + 1
+        for need, may in ((images.MOST_BITS + 1, True), (images.MOST_BITS + 2, False)):
+            assert task.may_vote(*(slice(b, b + n) for b, n in zip(task.begin[::-1].tolist(), task.size[::-1].tolist())), need) is may
+
+
 def test_images_that_repeat_themselves():
     board = np.kron(np.indices((30, 30)).sum(axis=0) % 2 * 255.0, np.ones((20, 20)))
     owner, place, d = images.describe([board, board[20:, :]])
